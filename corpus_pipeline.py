@@ -1,3 +1,49 @@
+"""A corpus pipeline of four operators: quality classifier, near-duplicates, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadweave.llm import bpe, minhash, mixing, quality
+from roadweave.llm.common import materialize, small, table
+from roadweave.llm.queries import PATTERN, RANKS
+
+#: None: the classifier and the encoder can't be put in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, gives a score of ``quality.KEEP`` or more."""
+    model = quality.learned(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("quality_score") >= quality.KEEP).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without near-duplicates (five-word shingles, similarity 0.8), and of each group the least doc_id."""
+    dropped = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(small(materialize(dropped)), F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources to the weights 5, 2, 1 takes them."""
+    return mixing.repeated(mixing.mix(docs))
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and the digests of ids and decoded bytes of each document."""
+    return bpe.digested(docs.select("doc_id", "source", "text"), RANKS, PATTERN).drop("text")
+
+
+STAGES = [("quality", good_documents), ("near_duplicates", one_of_each_group), ("mixing", mixed_sources), ("encoding", encoded_documents)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
