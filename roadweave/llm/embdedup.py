@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small
-from .components import connected_components
+from .components import connected_components, forest_roots
 
 
 def usable(vector: Column) -> Column:
@@ -69,17 +69,6 @@ def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return classes.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in classes.schema)}, codes array<int>")
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """For each node the least node of its component."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _bucket_links(cosine: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         table, dim, i, j = key[0].as_py(), key[1].as_py(), key[3].as_py(), key[4].as_py()
@@ -98,7 +87,7 @@ def _bucket_links(cosine: float):
             return pa.table(none, schema=OUT)
         linked = linked[np.ix_(touched, touched)]
         ids, tags, copies = (group.column(c).to_numpy()[touched] for c in ("id", "tag", "copies"))
-        roots = ids[_roots(linked)]
+        roots = ids[forest_roots(linked)]
         r, c = np.nonzero(linked)
         if table:
             codes = matrix(group.column("codes").chunk(0), group.column("codes").chunk(0).value_lengths()[0].as_py()).astype(np.int32)[touched]
