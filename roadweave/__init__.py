@@ -1,0 +1 @@
+"""Road-traffic analytics as Spark DataFrame pipelines."""

@@ -1,0 +1,21 @@
+"""Tables written between the rounds of an iterative plan, in the folder all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it again; cuts the lineage."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-roadweave-", dir="/tmp"))
+        base = sc.getCheckpointDir()
+    path = f"{base.rstrip('/')}/roadweave/{sc.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
