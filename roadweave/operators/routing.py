@@ -105,8 +105,12 @@ def accepted(routes: DataFrame) -> DataFrame:
 
 def splice(lines: DataFrame, snap: float = 5.0) -> DataFrame:
     """Lines (line, px, py) with the point inserted at its nearest place, if no vertex is within ``snap``."""
-    at = geo.project("line", "px", "py")
-    near = F.exists("line", lambda p: F.hypot(p["x"] - at["x"], p["y"] - at["y"]) <= snap)
-    spot = F.array(F.struct(at["x"].alias("x"), at["y"].alias("y")))
-    head, tail = geo.clip("line", F.lit(0.0), at["along"]), geo.clip("line", at["along"], at["total"])
-    return lines.withColumn("line", F.when(near, F.col("line")).otherwise(F.concat(F.slice(head, 1, F.size(head) - 1), spot, F.slice(tail, 2, F.size(tail) - 1))))
+    # steps of their own: written into each other, these expressions would grow without bound
+    rows = lines.withColumn("_at", geo.project("line", "px", "py"))
+    rows = rows.withColumns({"_along": F.col("_at.along"), "_total": F.col("_at.total")})
+    parts = F.transform(F.filter(geo.segments("line"), lambda s: s.isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["a"].alias("p")))
+    rows = rows.withColumn("_near", F.exists("line", lambda p: F.hypot(p["x"] - F.col("_at.x"), p["y"] - F.col("_at.y")) <= snap)).withColumn("_parts", parts)
+    side = lambda before: F.transform(F.filter("_parts", lambda s: (s["start"] < F.col("_along")) == F.lit(before)), lambda s: s["p"])
+    spot = F.array(F.struct(F.col("_at.x").alias("x"), F.col("_at.y").alias("y")))
+    whole = F.concat(side(True), spot, side(False), F.array(F.element_at("line", -1)))
+    return rows.withColumn("line", F.when(F.col("_near"), F.col("line")).otherwise(whole)).drop("_at", "_along", "_total", "_near", "_parts")
