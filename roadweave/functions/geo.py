@@ -230,14 +230,12 @@ def point_in_box(lon, lat, box: tuple[float, float, float, float]) -> Column:
 
 
 def segment_in_box(ax, ay, bx, by, box: tuple[float, float, float, float]) -> Column:
-    """Whether a segment meets a box (borders count): Liang and Barsky's parameter interval."""
-    ax, ay, dx, dy = _c(ax), _c(ay), _c(bx) - _c(ax), _c(by) - _c(ay)
-    lo, hi, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
-    for p, d, a, b in ((ax, dx, box[0], box[2]), (ay, dy, box[1], box[3])):
-        u, v = (F.lit(a) - p) / F.when(d != 0, d), (F.lit(b) - p) / F.when(d != 0, d)
-        lo, hi = F.greatest(lo, F.least(u, v)), F.least(hi, F.greatest(u, v))
-        inside = inside & ((d != 0) | p.between(a, b))
-    return inside & (lo <= hi)
+    """Whether a segment meets a box (borders count): no side of the box and not the segment's own
+    line has both on different sides."""
+    ax, ay, bx, by = _c(ax), _c(ay), _c(bx), _c(by)
+    overlap = (F.least(ax, bx) <= box[2]) & (F.greatest(ax, bx) >= box[0]) & (F.least(ay, by) <= box[3]) & (F.greatest(ay, by) >= box[1])
+    corners = [(bx - ax) * (F.lit(y) - ay) - (by - ay) * (F.lit(x) - ax) for x in (box[0], box[2]) for y in (box[1], box[3])]
+    return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
 
 def line_in_box(line, box: tuple[float, float, float, float]) -> Column:

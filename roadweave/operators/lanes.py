@@ -205,6 +205,18 @@ def assigned(moves: DataFrame) -> DataFrame:
     return moves.withColumn("_p", F.explode(F.when(F.col("role") == "primary", primary).otherwise(branch))).select(*moves.columns, "_p.s_lane", "_p.t_lane")
 
 
+def blocks(moves: DataFrame, target: list[str], source: str) -> DataFrame:
+    """The lanes first_lane to last_lane of a target that each of its sources gets, from left to right.
+
+    Sources lie in the order of their turn into the target, the sharpest left first. Where they
+    bring more lanes than the target has, none gets a block.
+    """
+    order = Window.partitionBy(*target).orderBy("turn", source)
+    before = F.coalesce(F.sum("s_lanes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = F.sum("s_lanes").over(Window.partitionBy(*target)) <= F.col("t_lanes")
+    return moves.withColumns({"first_lane": F.when(fits, (before + 1).cast("int")), "last_lane": F.when(fits, (before + F.col("s_lanes")).cast("int"))})
+
+
 def classified(pairs: DataFrame) -> DataFrame:
     """split, join or continuation of each lane pair; a pair that would be both is left out."""
     a, b = Window.partitionBy("s_segment", "s_travel", "s_lane"), Window.partitionBy("t_segment", "t_travel", "t_lane")

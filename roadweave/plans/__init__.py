@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "network")
+MODULES = ("relational", "network", "details")
 
 
 def _modules():
