@@ -63,8 +63,9 @@ def coalesced_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(C("source_id") % 3 != 0, F.array(F.struct(C("alon").alias("x"), C("alat").alias("y")), F.struct(C("blon").alias("x"), C("blat").alias("y"))))
     rows = overlay.lanes(spark, sf_dir).withColumn("line", line)
     at = lambda i, k, other: F.coalesce(F.get("line", F.lit(i))[k], C(other))
-    ends = rows.select("source_id", at(0, "x", "alon").alias("x0"), at(0, "y", "alat").alias("y0"), at(1, "x", "alon").alias("x1"), at(1, "y", "alat").alias("y1"))
-    return ends.where(geo.segment_in_box("x0", "y0", "x1", "y1", BOX)).select("source_id")
+    # the ends are bound once for the test, which names them many times
+    ends = F.array(F.struct(at(0, "x", "alon").alias("x0"), at(0, "y", "alat").alias("y0"), at(1, "x", "alon").alias("x1"), at(1, "y", "alat").alias("y1")))
+    return rows.where(F.exists(ends, lambda s: geo.segment_in_box(s["x0"], s["y0"], s["x1"], s["y1"], BOX))).select("source_id")
 
 
 @query(f"""WITH {overlay.SQL} SELECT source_id, CASE WHEN source_id % 4 = 0 THEN blon ELSE alon END AS best, CASE WHEN source_id % 4 = 0 THEN blon END AS matched, round(((degrees(atan2(bx - ax, by_ - ay)) % 360) + 360) % 360, 4) AS azimuth FROM lane""")
