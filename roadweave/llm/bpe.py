@@ -33,7 +33,7 @@ from tokenizers.models import BPE
 from .common import without
 
 #: Different matches that a task remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> list[str]:
