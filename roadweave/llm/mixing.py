@@ -102,7 +102,9 @@ def cuts(keys: DataFrame, ratios: Sequence[int], max_epochs: int) -> DataFrame:
     return materialize(
         p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left")
         .join(last, F.col("p.source").eqNullSafe(F.col("l.source")), "left")
-        .select(F.col("p.source").alias("_cut_source"), "source_size", "target", "epochs", "edge_bucket", F.col("last._mix_key").alias("last_key"), F.col("last._mix_md5").alias("last_md5"))
+        .select(
+            F.col("p.source").alias("_cut_source"), *[F.col(c).alias(f"_cut_{c}") for c in ("source_size", "target", "epochs", "edge_bucket")], F.col("last._mix_key").alias("_cut_last_key"), F.col("last._mix_md5").alias("_cut_last_md5")
+        )
     )
 
 
@@ -119,14 +121,15 @@ def mix(docs: DataFrame, ratios: Sequence[int] = (5, 2, 1), max_epochs: int = 3,
     rows = keyed(docs, seed, weight)
     keys = materialize(rows.select(*dict.fromkeys([*[c for c in columns if c != "text"], "doc_id", "source"]), "_mix_size", "_mix_key", "_mix_md5", "_mix_bucket"))
     cut = small(cuts(keys.select("source", "_mix_size", "_mix_key", "_mix_md5", "_mix_bucket"), ratios, max_epochs))
-    drawn = (F.col("_mix_bucket") < F.col("edge_bucket")) | ((F.col("_mix_bucket") == F.col("edge_bucket")) & F.coalesce(F.struct("_mix_key", "_mix_md5") <= F.struct("last_key", "last_md5"), F.lit(False)))
+    edge = F.col("_cut_edge_bucket")
+    drawn = (F.col("_mix_bucket") < edge) | ((F.col("_mix_bucket") == edge) & F.coalesce(F.struct("_mix_key", "_mix_md5") <= F.struct("_cut_last_key", "_cut_last_md5"), F.lit(False)))
     rows = (rows if "text" in columns else keys).join(cut, F.col("source").eqNullSafe(F.col("_cut_source")))
     return rows.select(
         *columns,
         F.col("_mix_size").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        (F.col("epochs") + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)).cast("int").alias("mix_copies"),
+        F.col("_cut_source_size").alias("mix_source_size"),
+        F.col("_cut_target").alias("mix_target"),
+        (F.col("_cut_epochs") + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)).cast("int").alias("mix_copies"),
     )
 
 
