@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, ratios: Sequence[int], max_epochs: int) -> DataFra
     Sources by code point take ``ratios`` in turn. All words are shared by these weights; no
     target exceeds ``max_epochs`` times its source, and the excess goes to the others by weight.
     The sources are ordered by the fill level at which they reach their bound; running sums give
-    the level at which the rest meets.
+    the level at which the rest meets. These windows span one row a source, never documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_level = Window.orderBy("bound_level", "rank")
