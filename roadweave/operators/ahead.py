@@ -127,7 +127,7 @@ def context_states(fixes: DataFrame) -> DataFrame:
     A fetch is due on a new road, after 150 m, 20 degrees or 30 s; at 120 degrees, 500 m or 120 s
     the context held is void. Compared with the fix before, as a window per device.
     """
-    w = Window.partitionBy("device").orderBy("ts")
+    w = Window.partitionBy("device").orderBy("ts", *(c for c in ("event_id",) if c in fixes.columns))
     moved = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
     turned = geo.angle_between("heading", F.lag("heading").over(w))
     age = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
@@ -139,6 +139,6 @@ def context_states(fixes: DataFrame) -> DataFrame:
 
 def held_selection(choices: DataFrame, hold: int = 4) -> DataFrame:
     """Choices (channel, ts, id or null) where a gap of up to ``hold`` seconds keeps the last id."""
-    w = Window.partitionBy("channel").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("channel").orderBy("ts", *(c for c in ("event_id",) if c in choices.columns)).rowsBetween(Window.unboundedPreceding, 0)
     last, seen = F.last("id", ignorenulls=True).over(w), F.last(F.when(F.col("id").isNotNull(), F.unix_timestamp("ts")), ignorenulls=True).over(w)
     return choices.withColumn("shown", F.when(F.unix_timestamp("ts") - seen <= hold, last))

@@ -106,3 +106,43 @@ def target_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = C("o_orderkey")
     m = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((C("o_custkey") % 300).alias("target"), k.alias("source"), (k * 7 % 181 - 90).cast("double").alias("turn"), (k % 3 + 1).cast("int").alias("s_lanes"), F.lit(8).alias("t_lanes"))
     return lanes.blocks(m, ["target"], "source").where("first_lane is not null").select("target", "source", "first_lane", "last_lane")
+
+
+FIXES = "SELECT user_id AS device, event_id, ts, value * 10 AS x, value * 3 AS y, (event_id * 37 % 360)::DOUBLE AS heading, event_type AS road FROM events WHERE user_id < 60"
+
+
+@query(f"""WITH f AS ({FIXES}), l AS (SELECT *, row_number() OVER w AS n, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS m,
+  abs((((heading - lag(heading) OVER w + 180) % 360) + 360) % 360 - 180) AS t, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS a, road IS DISTINCT FROM lag(road) OVER w AS r FROM f WINDOW w AS (PARTITION BY device ORDER BY ts, event_id))
+SELECT device, event_id, CASE WHEN coalesce(t >= 120, false) OR coalesce(m > 500, false) OR coalesce(a > 120, false) THEN 'discard' WHEN n = 1 OR r OR coalesce(m >= 150, false) OR coalesce(t >= 20, false) OR coalesce(a >= 30, false) THEN 'fetch' ELSE 'keep' END AS action FROM l""")
+def context_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("user_id < 60")
+    fixes = e.select(C("user_id").alias("device"), "event_id", "ts", (C("value") * 10).alias("x"), (C("value") * 3).alias("y"), (C("event_id") * 37 % 360).cast("double").alias("heading"), C("event_type").alias("road"))
+    return ahead.context_states(fixes).select("device", "event_id", "action")
+
+
+@query("""WITH c AS (SELECT user_id AS channel, event_id, ts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS id FROM events),
+w AS (SELECT *, last_value(id IGNORE NULLS) OVER o AS last_id, last_value(CASE WHEN id IS NOT NULL THEN floor(epoch(ts)) END IGNORE NULLS) OVER o AS seen FROM c WINDOW o AS (PARTITION BY channel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CASE WHEN floor(epoch(ts)) - seen <= 7200 THEN last_id END AS shown FROM w""")
+def held_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").select(C("user_id").alias("channel"), "event_id", "ts", F.when(C("event_id") % 3 != 0, C("event_type")).alias("id"))
+    return ahead.held_selection(c, hold=7200).select("event_id", "shown")
+
+
+@query("""WITH w AS (SELECT o_orderkey % 3000 AS segment, o_custkey % 2 AS end_, o_totalprice / 39999.0::DOUBLE AS wish, (o_orderkey % 3000 % 40 + 5)::DOUBLE AS length FROM orders),
+e AS (SELECT segment, end_, max(wish) AS wish, max(length) AS length FROM w GROUP BY 1, 2),
+b AS (SELECT *, sum(wish) OVER (PARTITION BY segment) AS total, greatest(0, least(length * 0.8, length - greatest(2.0, length * 0.2))) AS budget FROM e)
+SELECT segment, end_, round(CASE WHEN total > budget THEN wish * budget / total ELSE wish END, 6) AS trim FROM b""")
+def connector_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    wishes = o.select((C("o_orderkey") % 3000).alias("segment"), F.lit("fwd").alias("travel"), (C("o_custkey") % 2).alias("end"), (C("o_totalprice") / 39999.0).alias("wish"), (C("o_orderkey") % 3000 % 40 + 5).cast("double").alias("length"))
+    return lanes.trims(wishes).select("segment", C("end").alias("end_"), F.round("trim", 6).alias("trim"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS s, l_partkey % 500 AS t, l_linenumber AS lane, l_extendedprice AS score FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2) WHERE l_orderkey % 4 = 0),
+u AS (SELECT s, t, min(lane) AS lane, min(score) AS score FROM p GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY s) AS no, count(*) OVER (PARTITION BY t) AS ni, row_number() OVER (PARTITION BY s ORDER BY score, t) AS a, row_number() OVER (PARTITION BY t ORDER BY score, s) AS b FROM u)
+SELECT s, t, CASE WHEN no > 1 AND a > 1 THEN 'split' WHEN ni > 1 AND b > 1 THEN 'join' ELSE 'continuation' END AS kind FROM r WHERE NOT (no > 1 AND a > 1 AND ni > 1 AND b > 1)""")
+def lane_pair_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy(C("l_orderkey").alias("s_segment"), (C("l_partkey") % 500).alias("t_segment")).agg(F.min("l_extendedprice").alias("score"))
+    pairs = rows.withColumns({"s_travel": F.lit("fwd"), "t_travel": F.lit("fwd"), "s_lane": F.lit(1), "t_lane": F.lit(1)})
+    return lanes.classified(pairs).select(C("s_segment").alias("s"), C("t_segment").alias("t"), C("kind_of_lane").alias("kind"))
