@@ -8,11 +8,13 @@ missed with probability (1 - 0.8^5)^32 = 3e-6, a more similar pair less often.
 Texts with equal words are one class, whatever their number. In each bucket the pairs (member,
 least member) are candidates; those whose signature bytes agree too rarely for the threshold (four
 and a half standard deviations) fall, the others are confirmed on full shingle sets. Confirmed
-pairs make parts, all candidate pairs make groups of parts. A group with one part is done, which
-is what a group of copies comes to: it costs its size, not its square. In a group of several parts
-all members outside its largest part are compared with all others, exactly and in blocks, and only
-a spanning forest of their links leaves a task. So a pair of similarity 0.8 counts unless the two
-share no bucket, or every bucket they share has a least member unlike one of them.
+pairs make parts. A bucket with one part is done, which is what a bucket of copies comes to: it
+costs its size, not its square. In a bucket of several parts the signature bytes of all members
+outside its largest part are compared with those of all others of about their size, in blocks, and
+a spanning forest of the likely pairs leaves a task. All likely pairs make groups of parts; in a
+group of several parts all members outside its largest part are compared with all others in the
+same way, but exactly. So a pair of similarity 0.8 counts unless the two share no bucket, or their
+signature bytes agree too rarely.
 
 Defined results: texts without words, null texts and rows without doc_id link with nothing and
 are kept; rows that repeat a doc_id share its component; an empty table gives an empty table;
@@ -22,6 +24,7 @@ other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,10 +99,15 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, n_shingles long, sketch binary, bands array<long>")
 
 
+def least_agreement(threshold: float, values: int) -> float:
+    """Least share of equal sketch bytes with which a pair may be this similar."""
+    return threshold - 4.5 * (threshold * (1 - threshold) / values) ** 0.5
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, permutations: int) -> DataFrame:
     """The pairs (a, b) whose sketches agree as pairs of at least this similarity would."""
     values = 2 * permutations
-    floor = threshold - 4.5 * (threshold * (1 - threshold) / values) ** 0.5
+    floor = least_agreement(threshold, values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,12 +200,12 @@ def _group_links(width: int, percent: int):
     return run
 
 
-def links_across(groups: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join all linked documents of different parts within each group.
+def blocks_across(groups: DataFrame) -> DataFrame:
+    """whole, i, j, rep and part: the blocks (whole, i, j) in which members of different parts meet.
 
-    ``groups``: rep, part and whole (the group). Members of a group's largest part are compared
-    with the others only, in blocks of up to ``MEMBERS``: the largest part costs its size times
-    that of the rest. Sets are compared exactly; what comes out is linear in the members.
+    ``groups``: rep, part and whole (the group). Members of a group's largest part meet the others
+    only, in blocks of up to ``MEMBERS`` by ``MEMBERS``: the largest part costs its size times
+    that of the rest.
     """
     sizes = groups.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.groupBy("whole").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top")).where(F.col("all") > F.col("top.n"))
@@ -207,7 +215,59 @@ def links_across(groups: DataFrame, packed: DataFrame, width: int, percent: int)
     place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     as_column = rows.select("*", place(F.col("columns")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("i"))
     as_line = rows.where("part <> top and columns > 1").select("*", place(F.col("lines")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
-    dealt = as_column.unionByName(as_line).select("whole", "i", "j", "rep", "part").join(packed.withColumnRenamed("doc_id", "rep"), "rep")
+    return as_column.unionByName(as_line).select("whole", "i", "j", "rep", "part")
+
+
+def crowds(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """whole, rep and part of the members of buckets that hold several parts.
+
+    ``entries``: rep, n_shingles and key (the bucket). A pair of the threshold's similarity has sizes
+    within its ratio, so that a bucket is split by size: a member is in the class of its size and in
+    the next one, and such a pair meets in one of them. Buckets of the same members count once.
+    """
+    size = F.floor(F.log(F.col("n_shingles")) / math.log(100.1 / percent)).cast("int")
+    held = entries.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"), "key", F.explode(F.array(size, size + 1)).alias("size"))
+    held = materialize(held)
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    several = held.groupBy("key", "size").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *same).where("lo <> hi")
+    several = several.groupBy("n", "x", "y").agg(F.min(F.struct("key", "size")).alias("one")).select("one.key", "one.size")
+    return held.join(small(materialize(several)), ["key", "size"]).select(F.xxhash64("key", "size").alias("whole"), "rep", "part")
+
+
+def likely_across(groups: DataFrame, sketches: DataFrame, threshold: float, permutations: int) -> DataFrame:
+    """Edges (a, b) that join all documents of different parts within each group whose sketches agree as in ``likely``."""
+    values = 2 * permutations
+    floor = least_agreement(threshold, values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for members in batch.column("members"):
+                rows = members.values
+                ids, parts = rows.field("rep").to_numpy(), rows.field("part").to_numpy()
+                sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, values).T.copy()
+                agree = np.zeros((len(ids), len(ids)), np.uint16)
+                for v in sketch:
+                    agree += v[:, None] == v[None, :]
+                linked = (agree >= floor * values) & (parts[:, None] != parts[None, :])
+                touched = np.flatnonzero(linked.any(axis=1))
+                roots = forest_roots(linked[np.ix_(touched, touched)])
+                keep = roots != np.arange(len(roots))
+                a.append(ids[touched][roots][keep])
+                b.append(ids[touched][keep])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    dealt = blocks_across(groups).join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
+    blocks = dealt.groupBy("whole", "i", "j").agg(F.collect_list(F.struct("rep", "part", "sketch")).alias("members"))
+    return blocks.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def links_across(groups: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join all linked documents of different parts within each group (see ``blocks_across``).
+
+    Sets are compared exactly; what comes out is linear in the members.
+    """
+    dealt = blocks_across(groups).join(packed.withColumnRenamed("doc_id", "rep"), "rep")
     return dealt.groupBy("whole", "i", "j").applyInArrow(_group_links(width, percent), "a long, b long")
 
 
@@ -224,14 +284,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     members = sigs.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
     chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("digest"))
     reps = materialize(sigs.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
-    entries = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1").select("key", "first")
+    entries = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
     pairs = entries.join(shared, "key").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialize(likely(pairs, reps.select("doc_id", "sketch"), percent / 100, permutations))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     packed = materialize(packed_texts(docs, materialize(reps.select("doc_id", "digest").join(ends, "doc_id", "left_semi"))))
     parts = materialize(connected_components(confirmed(pairs, packed, width, percent)))
 
+    # what shares a bucket of several parts, but is like its least member in none
+    crowded = materialize(crowds(entries.join(shared.where("n > 2").select("key"), "key"), parts, percent))
+    rest = materialize(likely_across(crowded, reps.select("doc_id", "sketch"), percent / 100, permutations))
+    pairs = pairs.unionByName(rest)
+    late = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(ends, "doc_id", "left_anti")
+    late = materialize(reps.select("doc_id", "digest").join(late, "doc_id", "left_semi"))
+    if not late.isEmpty():
+        packed = packed.unionByName(materialize(packed_texts(docs, late)))
+
     # groups of parts that candidate pairs connect; what the links joined is one node from here on
     of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     contracted = lambda edges: edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -122,3 +122,13 @@ def test_intersections_by_matrix(monkeypatch):
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(30)]
     both = minhash.common_counts(sets)
     assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+
+
+def test_copies_behind_long_quoting_documents(spark):
+    """Two late near copies; the least member of every bucket they share is a longer document that quotes them."""
+    passage = [f"p0x{i}" for i in range(104)]
+    rows = [(i, " ".join([*passage, *(f"l{i}x{k}" for k in range(80))])) for i in range(2000)]
+    rows += [(5000 + p, " ".join([*passage[:p], f"c{p}", *passage[p + 1 :]])) for p in (30, 60)]
+    got = {d: c for d, _, c, _ in found(spark, rows, 5)}
+    assert (got[5030], got[5060]) == (5030, 5030)
+    assert all(got[i] == i for i in range(2000))
