@@ -10,7 +10,9 @@ decides, and all windows are compressed with both. With ``g`` and ``b`` the summ
 go through a logistic calibration fitted on labelled rows that gave no dictionary text.
 
 The fit is bounded by parameters: ``sample_rows`` rows of each label, those with the least
-digests of their doc_ids, give dictionaries and calibration. Scoring covers whole texts of all rows.
+digests of their doc_ids, give dictionaries and calibration. Calibrating rows weigh as many as all
+labelled rows of their label do, so that the share of good rows does not depend on the bound. A
+dictionary sees windows spread over whole texts; calibration and scoring cover whole texts.
 
 Defined results: null and empty texts, and texts of white space only, hold nothing to judge; they
 score as the text " " does. Labels that are null or neither 0 nor 1, and rows without doc_id,
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ WINDOW = 256
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 6000
-#: Most windows of a label that a dictionary is trained on, and most bytes of one sampled text.
+#: Most windows of a label that a dictionary is trained on, and most bytes of windows of one text.
 SAMPLE_WINDOWS = 40_000
 SAMPLE_TEXT = 16 << 10
 KEEP = 0.7
@@ -80,21 +81,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ (x, y, 1.0), -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the last is the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, row i counting ``often[i]`` times; the last is the intercept."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (often * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (often * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-10:
             break
     return w
 
 
-def _trained(texts: list[bytes]) -> bytes:
-    pieces = [w for t in texts for w in windows(t[:SAMPLE_TEXT])]
+def spread(text: bytes) -> list[bytes]:
+    """Windows at even distances from a text's first to its last, ``SAMPLE_TEXT`` bytes of them at most."""
+    every = windows(text)
+    n = min(len(every), SAMPLE_TEXT // WINDOW)
+    return [every[i * (len(every) - 1) // max(1, n - 1)] for i in range(n)]
+
+
+def _trained(pieces: list[bytes]) -> bytes:
     pieces = pieces[:: max(1, -(-len(pieces) // SAMPLE_WINDOWS))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
@@ -103,18 +110,39 @@ def _trained(texts: list[bytes]) -> bytes:
         return content if len(content) >= 8 else content.ljust(8)
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """``rows``: text, quality and calibrates (whether the row is for the calibration)."""
-    rows = rows.sort_values(["calibrates", "quality", "digest"], kind="stable")
-    texts = [(t or "").encode() for t in rows["text"]]
-    label, later = rows["quality"].to_numpy(), rows["calibrates"].to_numpy(bool)
-    first = [[t for t, q, c in zip(texts, label, later, strict=True) if q == k and not c and t.strip()] for k in (1, 0)]
-    prior = float(label.mean()) if len(label) else 0.5
-    if not first[0] or not first[1] or len({*label[later]}) < 2:
-        return Model(b"", b"", (0.0, 0.0, prior))
-    scorer = Scorer(model := Model(_trained(first[0]), _trained(first[1]), (0.0, 0.0, 0.0)))
-    x = np.array([scorer.features(t) for t in rows["text"][later]])
-    return Model(model.good, model.bad, tuple(map(float, logistic(x, label[later].astype(float)))))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t.encode() for t in b.column("text").to_pylist()]
+        yield b.select(["quality", "digest"]).append_column("pieces", pa.array([spread(t) if t.strip() else [] for t in texts], pa.list_(pa.binary())))
+
+
+def _features(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            found = [scorer.features(t) for t in b.column("text").to_pylist()]
+            yield b.select(["quality", "digest"]).append_column("x", pa.array([x for x, _ in found], pa.float64())).append_column("y", pa.array([y for _, y in found], pa.float64()))
+
+    return run
+
+
+def fit(sample: DataFrame, known: dict[int, tuple[int, int]]) -> Model:
+    """``sample`` (a written table): text, quality, calibrates (whether the row is for the
+    calibration) and digest. ``known``: of each label all rows and those for the calibration.
+    """
+    rows = sum(n for n, _ in known.values())
+    unknown = Model(b"", b"", (0.0, 0.0, known.get(1, (0, 0))[0] / rows if rows else 0.5))
+    taught = sample.where("not calibrates").mapInArrow(_pieces, "quality int, digest string, pieces array<binary>").toPandas().sort_values(["quality", "digest"], kind="stable")
+    good, bad = ([bytes(w) for pieces in taught["pieces"][taught["quality"] == k] for w in pieces] for k in (1, 0))
+    if not good or not bad:
+        return unknown
+    model = Model(_trained(good), _trained(bad), (0.0, 0.0, 0.0))
+    later = sample.where("calibrates").mapInArrow(_features(model), "quality int, digest string, x double, y double").toPandas().sort_values(["quality", "digest"], kind="stable")
+    label = later["quality"].to_numpy()
+    if len({*label}) < 2:
+        return unknown
+    often = np.array([known[k][1] / (label == k).sum() for k in (0, 1)])[label]
+    return Model(model.good, model.bad, tuple(map(float, logistic(later[["x", "y"]].to_numpy(), label.astype(float), often))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,9 +156,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     known = known.select("doc_id", "quality", rest.alias("rest"), F.md5(F.col("doc_id").cast("string")).alias("digest")).where("rest <> 2")
     chosen = known.where("quality = 1").orderBy("digest").limit(sample_rows).unionByName(known.where("quality = 0").orderBy("digest").limit(sample_rows))
     rows = materialize(chosen)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_TEXT).alias("text")).where("doc_id is not null and text is not null")
-    sample = texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "quality", F.expr("rest = 3").alias("calibrates"), F.concat("digest", F.md5("text")).alias("digest"))
-    return fit(sample.toPandas())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    eligible = texts.select("doc_id", F.md5("text").alias("text")).join(known, "doc_id").select("doc_id", "text", "quality", "rest").distinct()
+    counts = eligible.groupBy("quality").agg(F.count(F.lit(1)), F.count_if(F.col("rest") == 3)).collect()
+    sample = texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "text", "quality"]).select("text", "quality", F.expr("rest = 3").alias("calibrates"), F.concat("digest", F.md5("text")).alias("digest"))
+    return fit(materialize(sample), {k: (n, later) for k, n, later in counts})
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -152,3 +152,25 @@ def test_shards_and_slots(spark):
     image = sharding.permuted(np.array([r.row_number for r in got]), 203, 1)
     assert all(r.shard == i % 8 and r.slot == i // 8 for r, i in zip(got, image.tolist(), strict=True))
     assert sharding.shard(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_share_of_good_rows_does_not_depend_on_the_bound(spark):
+    """Labels that have nothing to do with the text, nine good ones to a bad one: the score is about 0.9 for any bound."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1500)], "doc_id long, quality int")
+    for bound in (100, 6000):
+        scores = quality.scored(docs, quality.learned(docs, labels, bound)).where(quality.held_out(F.col("doc_id")))
+        assert abs(scores.agg(F.avg("quality_score")).first()[0] - 0.9) < 0.1
+
+
+def test_fit_sees_whole_texts(spark):
+    """What tells good from bad comes after the first 20,000 characters."""
+    rng = random.Random(6)
+    text = lambda k: "one and the same start " * 900 + " ".join(f"{'good' if k else 'bad'}{rng.randrange(200)}" for _ in range(2000))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    scores = quality.scored(docs, quality.learned(docs, labels)).groupBy((F.col("doc_id") % 2).alias("k")).agg(F.avg("quality_score").alias("s")).collect()
+    means = {r.k: r.s for r in scores}
+    assert means[1] - means[0] > 0.3
+    assert quality.spread(b"a" * 40_000 + b"b" * 256)[-1].endswith(b"b")
