@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,16 +45,17 @@ def graph(lines: DataFrame) -> DataFrame:
     return e.unionByName(e.select("way", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(node, dist) from the nearest of ``starts`` (node) over undirected ``edges`` (a, b, w).
 
     Bellman and Ford's rounds as joins: only nodes that came nearer push their neighbours; minima
-    are combined before the shuffle; each round is written.
+    are combined before the shuffle; each round is written. The rounds end when no node came nearer;
+    with ``most``, paths have at most so many edges. Weights are not negative.
     """
     both = materialize(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
     known = materialize(starts.select("node").distinct().withColumn("dist", F.lit(0.0)))
     fresh = known
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         reach = fresh.join(both, fresh.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         both_sides = materialize(known.join(reach, "node", "full_outer").withColumn("nearer", F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull())))
         known = both_sides.select("node", F.least("dist", "new").alias("dist"))

@@ -214,3 +214,10 @@ def test_pages_and_truncation(spark):
     df = spark.range(10)
     assert [tuple(r) for r in relational.page(df, [F.col("id")], 2).collect()] == [(0, True), (1, True)]
     assert [r.truncated for r in relational.page(df, [F.col("id")], 10).collect()] == [False] * 10
+
+
+def test_distances_over_many_edges(spark):
+    """A path of 70 edges, and a direct edge to its end that is longer than all of them."""
+    edges = [(i, i + 1, 1.0) for i in range(70)] + [(0, 70, 100.0)]
+    d = routing.distances(spark.createDataFrame(edges, "a long, b long, w double").coalesce(1), spark.createDataFrame([(0,)], "node long").coalesce(1))
+    assert {(r.node, r.dist) for r in d.collect()} == {(i, float(i)) for i in range(71)}
