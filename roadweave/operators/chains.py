@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..scratch import materialize
 
 
 def walk(chain: DataFrame, pairs: DataFrame, most: int = 400) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..plans.scratch import materialize
+from ..scratch import materialize
 
 
 def pair_of(section_id: Column) -> Column:
