@@ -65,7 +65,7 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (a written table) marked for broadcast if it is no larger than ``rows`` and ``size``, else as it is."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > size:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > size:
         return df
     return F.broadcast(df) if df.count() <= rows else df
 
