@@ -1,68 +1,24 @@
-"""What the operators of this subpackage share: scratch tables and size-checked broadcasts."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS, drop_scratch, fresh, materialize, qualified, scratch_dir, small
+
+__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "lower_ascii", "materialize", "qualified", "scratch_dir", "small", "table", "without", "word_count", "words"]
+
 #: The white space that separates words, and A-Z with a-z.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Most rows of a table that is sent to every executor. Beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Where that setting is absent (tests, a laptop), a temporary folder of this machine is
-    taken and set for the session's context.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-roadweave-", dir="/tmp")
-        sc.setCheckpointDir(f"file://{base}")
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/roadweave/{sc.applicationId}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts the lineage: later jobs read files that outlive any executor. The file sizes also let
-    Spark choose its joins by what is really there.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table that this application has written with :func:`materialize`."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base:
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/roadweave/{sc.applicationId}")
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.size(words(text)).cast("long")
