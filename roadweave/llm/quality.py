@@ -5,20 +5,22 @@ A text is cut into windows of 256 bytes, so that the dictionary and not the text
 decides, and all windows are compressed with both. With ``g`` and ``b`` the summed sizes,
 
     difference = (b - g) / max(b, g)        normalised compressed-size difference
-    density    = min(b, g) / bytes          what compression leaves (repetition leaves little)
 
-go through a logistic calibration fitted on labelled rows that gave no dictionary text.
+goes through a logistic calibration fitted on labelled rows that gave no dictionary text.
 
-The fit is bounded by parameters: ``sample_rows`` rows of each label, those with the least
-digests of their doc_ids, give dictionaries and calibration. Calibrating rows weigh as many as all
-labelled rows of their label do, so that the share of good rows does not depend on the bound. A
-dictionary sees windows spread over whole texts; calibration and scoring cover whole texts.
+The fit has one bound, a parameter: ``sample_rows`` rows of each label, those with the least
+digests of their doc_ids, give dictionaries and calibration. Of these rows whole texts count:
+their windows are dealt out to tasks by ``CHUNK_BYTES``, each task trains a dictionary, and the
+dictionaries of a label are the text of its final one. Calibrating rows weigh as many as all
+labelled rows of their label do, so that the share of good rows does not depend on the bound. The
+driver sees two dictionaries and a number for each calibrating row.
 
 Defined results: null and empty texts, and texts of white space only, hold nothing to judge; they
-score as the text " " does. Labels that are null or neither 0 nor 1, and rows without doc_id,
-teach nothing; without rows of both labels every score is the share of good ones (0.5 without
-any). An empty table gives an empty table; other columns of the documents pass through, those
-named like an output are replaced.
+score as the text " " does. Very long texts are compressed window by window. Rows that repeat a
+doc_id, text and label teach once; a doc_id with both labels teaches both. Labels that are null or
+neither 0 nor 1, and rows without doc_id, teach nothing; without rows of both labels every score
+is the share of good ones (0.5 without any). A score of just ``KEEP`` is good. An empty table gives
+an empty table; other columns of the documents pass through, one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -39,9 +41,8 @@ WINDOW = 256
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 6000
-#: Most windows of a label that a dictionary is trained on, and most bytes of windows of one text.
-SAMPLE_WINDOWS = 40_000
-SAMPLE_TEXT = 16 << 10
+#: Bytes of text that a task trains a dictionary on.
+CHUNK_BYTES = 16 << 20
 KEEP = 0.7
 
 
@@ -49,7 +50,7 @@ KEEP = 0.7
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, float]
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -64,7 +65,7 @@ class Scorer:
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) if d else None
         self.good, self.bad = make(model.good), make(model.bad)
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def difference(self, text: str | None) -> float:
         raw = (text or "").encode()
         raw = raw if raw.strip() else b" "
         g = b = 0
@@ -72,13 +73,12 @@ class Scorer:
         for w in windows(raw):
             g += len(good(w))
             b += len(bad(w))
-        return (b - g) / max(b, g), min(b, g) / len(raw)
+        return (b - g) / max(b, g)
 
     def score(self, text: str | None) -> float:
         if self.good is None:
-            return float(self.weights[2])
-        x, y = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip(self.weights @ (x, y, 1.0), -30, 30))))
+            return float(self.weights[1])
+        return float(1 / (1 + np.exp(-np.clip(self.weights @ (self.difference(text), 1.0), -30, 30))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -94,15 +94,7 @@ def logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray, ridge: float = 1e-
     return w
 
 
-def spread(text: bytes) -> list[bytes]:
-    """Windows at even distances from a text's first to its last, ``SAMPLE_TEXT`` bytes of them at most."""
-    every = windows(text)
-    n = min(len(every), SAMPLE_TEXT // WINDOW)
-    return [every[i * (len(every) - 1) // max(1, n - 1)] for i in range(n)]
-
-
 def _trained(pieces: list[bytes]) -> bytes:
-    pieces = pieces[:: max(1, -(-len(pieces) // SAMPLE_WINDOWS))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except (zstandard.ZstdError, MemoryError):  # too little text for statistics: its content serves as it is
@@ -111,17 +103,41 @@ def _trained(pieces: list[bytes]) -> bytes:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """quality, digest, place and piece: all windows of the texts."""
     for b in batches:
-        texts = [t.encode() for t in b.column("text").to_pylist()]
-        yield b.select(["quality", "digest"]).append_column("pieces", pa.array([spread(t) if t.strip() else [] for t in texts], pa.list_(pa.binary())))
+        for quality, digest, text in zip(*(b.column(c).to_pylist() for c in ("quality", "digest", "text")), strict=True):
+            raw = text.encode()
+            every = windows(raw) if raw.strip() else []
+            for a in range(0, len(every), 1 << 14):
+                part = every[a : a + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([quality] * len(part), pa.int32()), pa.array([digest] * len(part)), pa.array(range(a, a + len(part)), pa.int64()), pa.array(part, pa.binary())], names=["quality", "digest", "place", "piece"])
+
+
+def _dictionary(key: tuple, group: pa.Table) -> pa.Table:
+    group = group.sort_by([("digest", "ascending"), ("place", "ascending")])
+    return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "digest": [str(key[1].as_py()).zfill(12)], "dictionary": pa.array([_trained(group.column("piece").to_pylist())], pa.binary())})
+
+
+def dictionaries(texts: DataFrame) -> dict[int, bytes]:
+    """A dictionary for each quality of ``texts`` (a written table: text, quality, digest)."""
+    sizes = texts.groupBy("quality").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(CHUNK_BYTES)).cast("long").alias("chunks"))
+    pieces = texts.mapInArrow(_pieces, "quality int, digest string, place long, piece binary").join(F.broadcast(sizes), "quality")
+    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("digest", "place"), F.greatest("chunks", F.lit(1))))
+    first = materialize(dealt.select("quality", "chunk", "digest", "place", "piece").groupBy("quality", "chunk").applyInArrow(_dictionary, "quality int, digest string, dictionary binary"))
+
+    def joined(key: tuple, group: pa.Table) -> pa.Table:
+        every = group.sort_by("digest").column("dictionary").to_pylist()
+        one = every[0] if len(every) == 1 else _trained([w for d in every for w in windows(d)])
+        return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "dictionary": pa.array([one], pa.binary())})
+
+    return {r.quality: bytes(r.dictionary) for r in first.groupBy("quality").applyInArrow(joined, "quality int, dictionary binary").collect()}
 
 
-def _features(model: Model):
+def _differences(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            found = [scorer.features(t) for t in b.column("text").to_pylist()]
-            yield b.select(["quality", "digest"]).append_column("x", pa.array([x for x, _ in found], pa.float64())).append_column("y", pa.array([y for _, y in found], pa.float64()))
+            yield b.select(["quality", "digest"]).append_column("x", pa.array([scorer.difference(t) for t in b.column("text").to_pylist()], pa.float64()))
 
     return run
 
@@ -131,18 +147,17 @@ def fit(sample: DataFrame, known: dict[int, tuple[int, int]]) -> Model:
     calibration) and digest. ``known``: of each label all rows and those for the calibration.
     """
     rows = sum(n for n, _ in known.values())
-    unknown = Model(b"", b"", (0.0, 0.0, known.get(1, (0, 0))[0] / rows if rows else 0.5))
-    taught = sample.where("not calibrates").mapInArrow(_pieces, "quality int, digest string, pieces array<binary>").toPandas().sort_values(["quality", "digest"], kind="stable")
-    good, bad = ([bytes(w) for pieces in taught["pieces"][taught["quality"] == k] for w in pieces] for k in (1, 0))
-    if not good or not bad:
+    unknown = Model(b"", b"", (0.0, known.get(1, (0, 0))[0] / rows if rows else 0.5))
+    made = dictionaries(sample.where("not calibrates"))
+    if len(made) < 2:
         return unknown
-    model = Model(_trained(good), _trained(bad), (0.0, 0.0, 0.0))
-    later = sample.where("calibrates").mapInArrow(_features(model), "quality int, digest string, x double, y double").toPandas().sort_values(["quality", "digest"], kind="stable")
+    model = Model(made[1], made[0], (0.0, 0.0))
+    later = sample.where("calibrates").mapInArrow(_differences(model), "quality int, digest string, x double").toPandas().sort_values(["quality", "digest"], kind="stable")
     label = later["quality"].to_numpy()
     if len({*label}) < 2:
         return unknown
     often = np.array([known[k][1] / (label == k).sum() for k in (0, 1)])[label]
-    return Model(model.good, model.bad, tuple(map(float, logistic(later[["x", "y"]].to_numpy(), label.astype(float), often))))
+    return Model(model.good, model.bad, tuple(map(float, logistic(later[["x"]].to_numpy(), label.astype(float), often))))
 
 
 def held_out(doc_id: Column) -> Column:
