@@ -3,16 +3,18 @@
 The rank file's tokens are byte strings; the library's BPE model works on characters, so each
 byte stands for one printable character. Every way to split a token into two tokens becomes a
 merge with the token's rank. Each match of the pattern is encoded on its own and whole matches
-that are tokens stay whole. Different matches are encoded once a batch and remembered (up to
-``REMEMBERED``; then forgotten), so a task's work follows its different words.
+that are tokens stay whole. Different matches are encoded once a batch and remembered (those of up
+to ``LONGEST`` characters, ``REMEMBERED`` characters in all; then forgotten), so a task's work
+follows its different words.
 
 Decoding reverses the byte table. Tokens may end within a character; offsets in bytes become
 offsets in characters with the number of characters begun before each byte, so a split character
 belongs to all tokens that hold a part of it.
 
-Defined results: a null text is empty and has no tokens; texts are taken as they are, special
-tokens' strings are ordinary text; ids outside the vocabulary raise; an empty table gives an empty
-table; other columns pass through or play no part.
+Defined results: a null text is empty and has no tokens; texts are taken as they are and whole
+however long they are; special tokens' strings are ordinary text; repeated rows are encoded alike;
+ids outside the vocabulary raise; an empty table gives an empty table; other columns pass through,
+those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ from tokenizers.models import BPE
 
 from .common import without
 
-#: Different matches that a task remembers at most.
-REMEMBERED = 400_000
+#: Characters of different matches that a task remembers at most, and of one that is remembered.
+REMEMBERED = 4_000_000
+LONGEST = 64
 
 
 def byte_characters() -> list[str]:
@@ -72,15 +75,10 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.tokenizer = tokenizer(self.ranks)
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that aren't known yet."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([visible(p.encode()) for p in new], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([visible(p.encode()) for p in pieces], add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -88,8 +86,16 @@ class Codec:
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            self.learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
+            pass
+        if self.size > REMEMBERED:
+            self.known.clear()
+            self.size = 0
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        made = dict(zip(new, self._encoded(new), strict=True))
+        kept = {p: e for p, e in made.items() if len(p) <= LONGEST}
+        self.known |= kept
+        self.size += sum(map(len, kept))
+        return b"".join([made[p] if p in made else self.known[p] for p in pieces])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -15,6 +15,9 @@ from .common import table
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
+#: Context limits that op4 answers whether or not a document is as long.
+CONTEXTS = [2**k for k in range(7, 21)]
+
 #: The given URL rules.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -33,7 +36,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_hist.limits(token_hist.histogram(table(spark, sf_dir, "documents"), RANKS, PATTERN))
+    """The answers for every length that occurs and for usual context limits."""
+    return token_hist.limits(token_hist.histogram(table(spark, sf_dir, "documents"), RANKS, PATTERN), CONTEXTS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

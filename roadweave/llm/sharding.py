@@ -6,8 +6,11 @@ the row count, permutes them. ``shard = image mod shards`` and ``slot = image di
 law ``rows`` holds (counts at most one apart, slots without gaps), and anyone who knows the
 count, the seed and a row's number can compute its place.
 
-Defined results: null texts have size 1 and checksum 0; null doc_ids come last; equal rows get
-places of their own; an empty table gives an empty table; other columns play no part.
+Texts are read once, for size, checksum and digest; sorting and numbering see these alone.
+
+Defined results: null texts have size 1 and checksum 0; very long texts count whole; null doc_ids
+come last; rows that repeat doc_id and text are in a tie that any order breaks, each with a place
+of its own; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -50,7 +53,8 @@ def numbered(rows: DataFrame, order: list) -> DataFrame:
     The sorted rows are written; a row's number is its place in its file plus the rows of all
     files before.
     """
-    there = materialize(rows.orderBy(*order)).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    there = materialize(rows.orderBy(*order)).select("*", part.alias("_file"), F.col("_metadata.row_index").alias("_index"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = materialize(there.groupBy("_file").count()).withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     return there.join(small(materialize(files)), "_file").withColumn("row_number", F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
@@ -59,7 +63,7 @@ def numbered(rows: DataFrame, order: list) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of every row of ``docs`` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_digest"))
+    rows = materialize(docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_digest")))
     count = rows.count()
     numbers = numbered(rows, [F.col("doc_id").asc_nulls_last(), F.col("_digest")]).drop("_digest")
 

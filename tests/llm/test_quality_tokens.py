@@ -1,18 +1,20 @@
 """Classifier by held-out accuracy; encoder against tiktoken; histogram, sharding against plain Python."""
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from roadweave.llm import bpe, quality, sharding, token_hist
-from roadweave.llm.queries import op3_quality, op8_bpe
+from roadweave.llm.queries import CONTEXTS, op3_quality, op4_token_counts, op8_bpe, op10_sharding
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string"
@@ -84,6 +86,7 @@ def test_encoder_equals_tiktoken(text):
 
 def test_memory_bound_of_the_encoder(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "LONGEST", 4)
     own = bpe.Codec(PATH, P.PATTERN)
     for t in ("one two three four five", "six seven eight nine ten eleven", " ".join(map(str, range(100)))):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == OWN.encode_ordinary(t)
@@ -117,6 +120,10 @@ def test_histogram_limits(spark, monkeypatch):
     q = {r.share: r.n_tokens for r in token_hist.quantiles(token_hist.limits(df), [0.5, 1.0]).collect()}
     assert q == {0.5: sorted(lengths)[249], 1.0: max(lengths)}
     assert token_hist.limits(df.limit(0)).collect() == []
+    asked = {r.context_limit: r for r in token_hist.limits(df, [3, 7, 1000]).collect()}
+    assert set(asked) == {*lengths, 3, 7, 1000} and asked[1000].tokens_kept == sum(lengths) and asked[1000].documents == 0
+    assert asked[7].tokens_kept == sum(min(x, 7) for x in lengths)
+    assert [(r.context_limit, r.tokens_total, r.quantile) for r in token_hist.limits(df.limit(0), [5]).collect()] == [(5, 0, None)]
 
 
 def test_histogram_counts_documents(spark):
@@ -125,6 +132,55 @@ def test_histogram_counts_documents(spark):
     assert {tuple(r) for r in token_hist.histogram(docs, PATH, P.PATTERN).collect()} == {(0, 2), (want, 2)}
 
 
+def test_token_query_equals_tiktoken(spark):
+    """The query on whole texts against lengths counted with tiktoken; a very long text and clashing columns among them."""
+    lengths = [len(OWN.encode_ordinary(r.text or "")) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.context_limit: r for r in op4_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {*lengths, *CONTEXTS}
+    for n, r in got.items():
+        assert (r.documents, r.documents_fitting, r.tokens_kept, r.tokens_total) == (lengths.count(n), sum(x <= n for x in lengths), sum(min(x, n) for x in lengths), sum(lengths))
+    docs = spark.createDataFrame([(1, "word " * 60_000, 5), (1, "word " * 60_000, 5)], "doc_id long, text string, documents int").withColumn("n_tokens", F.lit("x"))
+    assert [tuple(r) for r in token_hist.histogram(docs, PATH, P.PATTERN).collect()] == [(len(OWN.encode_ordinary("word " * 60_000)), 2)]
+
+
+def walked(number, count, seed):
+    """The Feistel network with cycle walking for one number, in plain integers."""
+    full, half = 2**64 - 1, max(1, ((max(count, 2) - 1).bit_length() + 1) // 2)
+
+    def mixed(x, key):
+        x = ((x ^ (key & full)) * 0x9E3779B97F4A7C15) & full
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for r in range(6):
+            left, right = right, left ^ mixed(right, seed * 0x2545F4914F6CDD1D + r) & (1 << half) - 1
+        number = left << half | right
+        if number < count:
+            return number
+
+
+def test_sharding_query_equals_a_scalar_walk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    order = sorted(docs, key=lambda r: (r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()))
+    want = {}
+    for i, r in enumerate(order):
+        image = walked(i, len(order), 1)
+        want.setdefault((r.doc_id, len((r.text or "").encode()) + 1, crc32(r.text), "rows", image % 8, image // 8, None), 0)
+    assert {tuple(r) for r in op10_sharding(spark, "/root/testdata/sf0.001").collect()} == set(want)
+
+
+def crc32(text):
+    return zlib.crc32((text or "").encode())
+
+
+def test_sharding_of_a_very_long_text(spark):
+    got = sharding.shard(spark.createDataFrame([(1, "é" * 400_000), (2, "a")], DOCS), 2).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(1, 800_001, crc32("é" * 400_000)), (2, 2, crc32("a"))}
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 8, 100, 1000, 4097):
         out = sharding.permuted(np.arange(n), n, 3)
@@ -173,4 +229,44 @@ def test_fit_sees_whole_texts(spark):
     scores = quality.scored(docs, quality.learned(docs, labels)).groupBy((F.col("doc_id") % 2).alias("k")).agg(F.avg("quality_score").alias("s")).collect()
     means = {r.k: r.s for r in scores}
     assert means[1] - means[0] > 0.3
-    assert quality.spread(b"a" * 40_000 + b"b" * 256)[-1].endswith(b"b")
+
+
+def test_dictionaries_of_several_tasks(spark, monkeypatch):
+    """All windows of all texts reach a dictionary, however many tasks share them."""
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 20_000)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(f"{'good' if i % 2 else 'bad'}{rng.randrange(300)}" for _ in range(300))) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, "doc_id long, quality int")
+    model = quality.learned(docs, labels)
+    assert model == quality.learned(docs.repartition(7), labels)
+    got = quality.classified(docs.unionByName(docs), labels).where("held_out").collect()
+    assert got and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_query_equals_plain_zstandard(spark):
+    """The query's scores from its two dictionaries, with zstandard and the logistic function alone; the fit by a fixed point."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learned(docs, labels)
+
+    def difference(text):
+        raw = (text or "").encode()
+        raw = raw if raw.strip() else b" "
+        sizes = []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes.append(sum(len(c.compress(raw[i : i + 256])) for i in range(0, len(raw), 256)))
+        return (sizes[1] - sizes[0]) / max(sizes)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in op3_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(texts)
+    w, c = model.weights
+    for i, t in texts.items():
+        assert abs(got[i].score - 1 / (1 + math.exp(-(w * difference(t) + c)))) < 1e-9
+    fit = {(r.doc_id, r.quality) for r in labels.collect() if r.quality in (0, 1) and r.doc_id in texts and texts[r.doc_id] is not None and crc(r.doc_id) % 4 == 3}
+    slope = [0.0, 0.0]
+    for i, y in fit:
+        x = difference(texts[i])
+        r = y - 1 / (1 + math.exp(-(w * x + c)))
+        slope = [slope[0] + r * x, slope[1] + r]
+    assert abs(slope[0] - 1e-3 * w) < 1e-6 and abs(slope[1] - 1e-3 * c) < 1e-6
