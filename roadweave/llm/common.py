@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, drop_scratch, fresh, materialize, qualified, scratch_dir, small
 
-__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "lower_ascii", "materialize", "qualified", "scratch_dir", "small", "table", "without", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "lower_ascii", "materialize", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
 
 #: The white space that separates words, and A-Z with a-z.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,3 +36,9 @@ def lower_ascii(text: Column) -> Column:
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns that an operator is about to add under these names."""
     return df.drop(*[c for c in df.columns if c in names])
+
+
+def set_apart(df: DataFrame, needed: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but the ``needed`` ones under names that clash with nothing, and every column's name there."""
+    names = {c: c if c in needed else f"_column_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

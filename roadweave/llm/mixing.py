@@ -7,11 +7,13 @@ larger than the source takes whole epochs first and draws only the rest.
 
 No source is ever sorted as a whole. Keys fall into buckets of equal width in ``ln(key)``; there
 one bucket of a source holds at most 0.37 / 1024 of its documents whatever their weights are (the
-density of a Gumbel variable), so only the bucket where the target is reached is ordered.
+density of a Gumbel variable). The bucket where the target is reached is divided once more, and
+only the part where it is reached is ordered: 0.37 / 1024 / 4096 of a source or so.
 
-Defined results: a null text has size 0; null is a source of its own and comes last; rows that
-repeat a doc_id with its text share one key and are taken or left together; an empty table gives
-an empty table; other columns pass through, those named like an output are replaced.
+Defined results: a null text has size 0; a very long one counts whole; null is a source of its own
+and comes last; rows that repeat a doc_id with its text share one key and are taken or left
+together; equal keys go by their digests; an empty table gives an empty table; other columns pass
+through whatever their names are, those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, without, words
+from .common import fresh, materialize, set_apart, small, without, words
 
 #: Buckets per unit of ln(key).
 BUCKETS = 1024
+#: Parts of the bucket where a target is reached.
+PARTS = 4096
+OUTPUTS = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
 
 
 def distinct_word_weight(word_list: Column) -> Column:
@@ -73,37 +78,36 @@ def targets(sizes: DataFrame, ratios: Sequence[int], max_epochs: int) -> DataFra
     )
 
 
+def reached(sums: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source, place, before and rest: where the running words of ``sums`` (source, place, words) reach ``wanted`` (source, rest)."""
+    running = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    h, w = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).alias("h"), wanted.alias("w")
+    found = h.join(w, F.col("h.source").eqNullSafe(F.col("w.source"))).where((F.col("before") < F.col("rest")) & (F.col("words") > 0))
+    return found.groupBy("h.source").agg(F.max(F.struct("place", "before", "rest")).alias("e")).select("source", "e.*")
+
+
 def cuts(keys: DataFrame, ratios: Sequence[int], max_epochs: int) -> DataFrame:
     """For each source its target, epochs and the last key that the drawn part takes."""
-    histogram = materialize(keys.groupBy("source", "_mix_bucket").agg(F.sum("_mix_size").alias("words")))
+    histogram = materialize(keys.groupBy("source", F.col("_mix_bucket").alias("place")).agg(F.sum("_mix_size").alias("words")))
     plan = materialize(targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), ratios, max_epochs))
-    running = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    p, h = small(plan).alias("p"), histogram.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).alias("h")
-    edge = (
-        h.join(p, F.col("h.source").eqNullSafe(F.col("p.source")))
-        .where((F.col("before") < F.col("rest")) & (F.col("words") > 0))
-        .groupBy("h.source")
-        .agg(F.max(F.struct("_mix_bucket", "before", "rest")).alias("e"))
-        .select("source", F.col("e._mix_bucket").alias("edge_bucket"), F.col("e.before").alias("edge_before"), F.col("e.rest").alias("edge_rest"))
-    )
-    edge = materialize(edge)
+    edge = materialize(reached(histogram, small(plan.select("source", "rest"))))
     k, e = keys.alias("k"), small(edge).alias("e")
+    # the bucket where the target is reached, in parts, and then that part
+    part = F.floor((F.log("_mix_key") * BUCKETS - F.col("place")) * PARTS)
+    inside = k.join(e, F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k._mix_bucket") == F.col("e.place")))
+    inside = materialize(inside.groupBy("k.source", "_mix_key", "_mix_md5", part.alias("part")).agg(F.sum("_mix_size").alias("words"), F.max(F.col("rest") - F.col("before")).alias("rest")))
+    fine = materialize(reached(inside.select("source", F.col("part").alias("place"), "words").groupBy("source", "place").agg(F.sum("words").alias("words")), inside.groupBy("source").agg(F.max("rest").alias("rest"))))
+    i, f = inside.drop("rest").alias("i"), small(fine).alias("f")
+    near = i.join(f, F.col("i.source").eqNullSafe(F.col("f.source"))).select("i.*", "place", "before", "rest")
     within = Window.partitionBy("source").orderBy("_mix_key", "_mix_md5").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        k.join(e, F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k._mix_bucket") == F.col("e.edge_bucket")))
-        .groupBy("k.source", "_mix_key", "_mix_md5", "edge_before", "edge_rest")
-        .agg(F.sum("_mix_size").alias("words"))
-        .withColumn("before", F.col("edge_before") + F.coalesce(F.sum("words").over(within), F.lit(0)))
-        .where(F.col("before") + F.col("words") / 2 <= F.col("edge_rest"))
-        .groupBy("source")
-        .agg(F.max(F.struct("_mix_key", "_mix_md5")).alias("last"))
-    )
+    last = near.where("part = place").withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(within), F.lit(0))).where("before + words / 2 <= rest")
+    last = last.unionByName(near.where("part < place")).groupBy("source").agg(F.max(F.struct("_mix_key", "_mix_md5")).alias("last"))
     e, last, p = edge.alias("e"), last.alias("l"), plan.alias("p")
     return materialize(
         p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left")
         .join(last, F.col("p.source").eqNullSafe(F.col("l.source")), "left")
         .select(
-            F.col("p.source").alias("_cut_source"), *[F.col(c).alias(f"_cut_{c}") for c in ("source_size", "target", "epochs", "edge_bucket")], F.col("last._mix_key").alias("_cut_last_key"), F.col("last._mix_md5").alias("_cut_last_md5")
+            F.col("p.source").alias("_cut_source"), *[F.col(c).alias(f"_cut_{c}") for c in ("source_size", "target", "epochs")], F.col("e.place").alias("_cut_edge_bucket"), F.col("last._mix_key").alias("_cut_last_key"), F.col("last._mix_md5").alias("_cut_last_md5")
         )
     )
 
@@ -116,16 +120,21 @@ def mix(docs: DataFrame, ratios: Sequence[int] = (5, 2, 1), max_epochs: int = 3,
     docs to return (all by default); without text the keys are written once and the texts are
     read a single time.
     """
-    docs = without(docs, ["mix_size", "mix_source_size", "mix_target", "mix_copies"])
+    docs = without(docs, OUTPUTS)
     columns = list(docs.columns if columns is None else columns)
-    rows = keyed(docs, seed, weight)
-    keys = materialize(rows.select(*dict.fromkeys([*[c for c in columns if c != "text"], "doc_id", "source"]), "_mix_size", "_mix_key", "_mix_md5", "_mix_bucket"))
+    if weight is not None:
+        weighed = fresh(docs.columns, "_mix_weight")
+        docs, weight = docs.withColumn(weighed, weight), weighed
+    docs, names = set_apart(docs, ["doc_id", "text", "source"])
+    rows = keyed(docs, seed, None if weight is None else F.col(names[weight]))
+    apart = [names[c] for c in columns if c not in ("doc_id", "text", "source")]
+    keys = materialize(rows.select(*apart, "doc_id", "source", "_mix_size", "_mix_key", "_mix_md5", "_mix_bucket"))
     cut = small(cuts(keys.select("source", "_mix_size", "_mix_key", "_mix_md5", "_mix_bucket"), ratios, max_epochs))
     edge = F.col("_cut_edge_bucket")
     drawn = (F.col("_mix_bucket") < edge) | ((F.col("_mix_bucket") == edge) & F.coalesce(F.struct("_mix_key", "_mix_md5") <= F.struct("_cut_last_key", "_cut_last_md5"), F.lit(False)))
     rows = (rows if "text" in columns else keys).join(cut, F.col("source").eqNullSafe(F.col("_cut_source")))
     return rows.select(
-        *columns,
+        *[F.col(names[c]).alias(c) for c in columns],
         F.col("_mix_size").alias("mix_size"),
         F.col("_cut_source_size").alias("mix_source_size"),
         F.col("_cut_target").alias("mix_target"),
@@ -134,9 +143,9 @@ def mix(docs: DataFrame, ratios: Sequence[int] = (5, 2, 1), max_epochs: int = 3,
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    plain = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*plain)
+    """The mix itself: each document as often as it is taken, without the columns that ``mix`` added."""
+    copy = fresh(mixed.columns, "_copy")
+    return mixed.where("mix_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop(copy, *OUTPUTS)
 
 
 SQL = r"""

@@ -80,3 +80,22 @@ def test_very_long_text_and_hot_source(spark):
     out = mixed(spark, rows)
     hot = [r for r in out if r.source == "hot"]
     assert abs(sum(r.mix_copies * r.mix_size for r in hot) - hot[0].mix_target) <= 20_000
+
+
+def test_part_of_the_edge_bucket(spark, monkeypatch):
+    """However coarse the buckets and their parts are, the same documents are taken."""
+    rows = [(i, f"w{i} " * (1 + i % 5), "ab"[i % 7 == 0]) for i in range(700)]
+    want = sorted(map(tuple, mixed(spark, rows)))
+    for buckets, parts in ((1, 1), (1, 7), (3, 4096)):
+        monkeypatch.setattr(mixing, "BUCKETS", buckets)
+        monkeypatch.setattr(mixing, "PARTS", parts)
+        assert sorted(map(tuple, mixed(spark, rows))) == want
+
+
+def test_names_that_the_plan_uses(spark):
+    df = spark.createDataFrame([(i, f"w{i} x y", "a" if i < 3 else "b") for i in range(60)], SCHEMA)
+    odd = df.withColumns({c: F.lit(c) for c in ("_copy", "_mix_key", "_mix_words", "_cut_source", "mix_x", "_column_3", "place", "rest")})
+    m = mixing.mix(odd, weight=F.length("place"))
+    out = mixing.repeated(m)
+    assert out.columns == odd.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {("_copy", "_mix_key", "_mix_words", "_cut_source", "mix_x", "_column_3", "place", "rest")}
