@@ -10,10 +10,10 @@ content. Spark reads the archives back as binary files.
 Of records with equal payloads of ``least`` bytes or more, that with the greatest page_id is a
 response and the others revisit it.
 
-Defined results: null html is an empty payload; null urls get no target URI; rows without page_id
-never are what others revisit unless all copies lack one, then all are responses; rows that
-repeat the greatest page_id all are responses; an empty table gives an empty folder and no rows;
-other columns play no part.
+Defined results: null html is an empty payload; very long html is one record; null urls get no
+target URI; rows without page_id never are what others revisit unless all copies lack one, then all
+are responses; rows that repeat the greatest page_id all are responses; an empty table gives an
+empty folder and no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, small
+from .common import materialize, qualified, scratch_dir, small
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 112 << 10
+SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -125,12 +126,19 @@ def decided(pages: DataFrame, least: int) -> DataFrame:
     repeated = (
         rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last")).where("n > 1 and last is not null").select("digest", "last")
     )
-    # with few repeated payloads the pages stay where they are; else they meet by digest, where AQE splits hot ones
-    return rows.join(small(materialize(repeated)), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    # few repeated payloads go to all tasks and the pages stay where they are; many meet the pages in a shuffle,
+    # where the copies of a payload are dealt over SALTS keys
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return rows.join(small(materialize(salted)), ["digest", "salt"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
 
 
 def write(pages: DataFrame, directory: str, least: int = 1000) -> DataFrame:
-    """Write archives under ``directory`` (a URI all executors share); one row (file, records) each."""
+    """Write archives under ``directory``, which all executors share; one row (file, records) each.
+
+    A path without a scheme is one of the session's default file system, for writer and reader alike.
+    """
+    directory = qualified(pages.sparkSession, directory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(directory)
@@ -183,8 +191,6 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) in the shared folder and read the archives back."""
     spark = pages.sparkSession
     directory = f"{scratch_dir(spark)}-warc"
-    if ":" not in directory.split("/")[0]:
-        directory = f"file://{directory}"
     files = write(pages, directory, least)
     if files.count() == 0:
         return spark.createDataFrame([], RECORD)

@@ -62,6 +62,20 @@ def test_several_archives_a_task(spark, monkeypatch):
     assert files.count() > 3 and warc.read(spark, folder).count() == 20
 
 
+def test_folder_without_a_scheme(spark, tmp_path):
+    """Writer and reader resolve a plain path alike, through the session's default file system."""
+    folder = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame([(i, "u", "x" * 500) for i in range(20)], PAGES), folder).count()
+    assert warc.read(spark, folder).count() == 20 and warc.qualified(spark, folder).startswith("file:///")
+
+
+def test_many_copies_meet_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "small", lambda df: df)
+    rows = [(i, f"u{i}", "x" * 1000 if i % 3 else "y" * 2000) for i in range(90)] + [(None, "u", "z" * 1500)] * 2
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(got) == 92 and {(r.page_id, r.refers_to) for r in got} == {(i, None if i in (87, 89) else 89 if i % 3 else 87) for i in range(90)} | {(None, None)}
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
