@@ -1,7 +1,9 @@
 """WARC round trips and URL rules against plain Python."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 from itertools import combinations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.llm import urlfilter, warc
 from roadweave.llm.common import scratch_dir
+from roadweave.llm.queries import op7_url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -96,39 +99,130 @@ def plain_rule(host, path):
 def test_given_rules(spark):
     urls = ["http://A.Example.COM/en/7?x", "http://com/en/", "http://xcom/en/a", "https://shop.com/EN/a", "http://a.example.net/de/81#f", "http://net/de/8", "http://b.org/es/", "http://b.org/es", None, "no scheme", "://", "http://a?b://c/d", "x://h\nost/p\nq?r", "http://É.com/en/é", "http://com", "http://u:p@a.com:80/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
-    for r in urlfilter.judged(df, RULES, []).collect():
+    for r in urlfilter.judged(df, RULES).collect():
         host, path = parts(urls[r.page_id])
         want = plain_rule(host, path)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, want and want[1], want[0] if want else "allow"), urls[r.page_id]
 
 
-def test_mined_rules_equal_counting(spark):
+def wilson(hits, n, z=1.96):
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def plain_tokens(url):
+    """The tokens of a URL by hand."""
+    host, path = parts(url)
+    if url is None or "://" not in url:
+        return set()
+    rest = url.split("://", 1)[1].split("#", 1)[0]
+    names = [x.split("=", 1)[0] for x in rest.split("?", 1)[1].lower().split("&")] if "?" in rest else []
+    return {f"h:{x}" for x in re.split("[.-]", host) if x} | {"p:" + re.sub("[0-9]+", "0", x) for x in path.lower().split("/") if x} | {f"q:{x}" for x in names if x}
+
+
+def counted(baskets, bad, least, confidence, most_items=4):
+    """Rules by counting every combination; of tokens on the same pages the least stands for all."""
+    on = {}
+    for i, b in baskets.items():
+        for t in b:
+            on.setdefault(t, set()).add(i)
+    items = sorted({min(t for t in on if on[t] == pages) for pages in map(frozenset, on.values()) if len(pages & bad) >= least for pages in [set(pages)]})
+    found = {}
+    for k in range(1, most_items + 1):
+        for c in combinations(items, k):
+            has = set.intersection(*(on[t] for t in c))
+            hits = len(has & bad)
+            if hits >= least and wilson(hits, len(has)) >= confidence and not any(set(f) <= set(c) for f in found):
+                found[c] = (round(hits / len(has), 9), round(hits / len(baskets), 9))
+    return found
+
+
+def like_pages(n=900):
     rng = random.Random(4)
     rows, labels = [], []
-    for i in range(600):
+    for i in range(n):
         host = rng.choice(["ads.shop", "news.site", "win.casino", "blog.site"])
         path = rng.choice(["a/1", "b/2", "c/33"])
         bad = host == "win.casino" or (host == "ads.shop" and path == "b/2") or rng.random() < 0.05
         rows.append((i, f"http://{host}.com/{path}?q=1&z"))
         labels.append((i, bad))
+    return rows, labels
+
+
+def test_mined_rules_equal_counting(spark):
+    rows, labels = like_pages()
     pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([*labels, (None, True), (1, None)], "page_id long, blocked boolean")
-    got = {items: (round(c, 9), round(s, 9)) for items, c, s in urlfilter.mined(pages, lab, support=0.05, confidence=0.8)}
-    baskets = {r.page_id: set(r.t) for r in pages.select("page_id", urlfilter.tokens(F.col("url")).alias("t")).collect()}
-    want = {}
-    for k in range(1, 5):
-        for items in {c for b in baskets.values() for c in combinations(sorted(b), k)}:
-            has = [i for i, b in baskets.items() if set(items) <= b]
-            bad = sum(labels[i][1] for i in has)
-            if bad / 600 >= 0.05 and bad / len(has) >= 0.8:
-                want[frozenset(items)] = (round(bad / len(has), 9), round(bad / 600, 9))
-    want = {i: v for i, v in want.items() if not any(j < i for j in want)}
-    assert got == want and got
-    rules = [(i, *v) for i, v in got.items()]
-    for r in urlfilter.judged(pages, [], rules).collect():
-        assert r.verdict == ("block" if any(i <= baskets[r.page_id] for i in got) else "allow")
+    baskets = {i: plain_tokens(u) for i, u in rows}
+    assert {r.page_id: set(r.t) for r in pages.select("page_id", urlfilter.tokens(F.col("url")).alias("t")).collect()} == baskets
+    rules = urlfilter.mined(pages, lab, confidence=0.8, least=20)
+    got = {tuple(r["items"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules.collect()}
+    want = counted(baskets, {i for i, b in labels if b}, 20, 0.8)
+    assert got == want and {len(k) for k in got} == {1, 2}
+    assert all(r["index"] in r["items"] for r in rules.collect())
+    for small in (urlfilter.small, lambda df: df):
+        urlfilter.small, before = small, urlfilter.small
+        out = urlfilter.judged(pages.unionByName(pages), [("allow", "casino.com/a/")], rules).collect()
+        urlfilter.small = before
+        assert len(out) == 2 * len(rows)
+        for r in out:
+            allowed = r.host == "win.casino.com" and r.path.startswith("/a/")
+            assert r.verdict == ("block" if any(set(i) <= baskets[r.page_id] for i in got) and not allowed else "allow"), r
+
+
+def test_held_out_pages(spark):
+    """Rules from three quarters of the labelled pages, judged by the rest."""
+    rows, labels = like_pages(3000)
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, blocked boolean")
+    out = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(4)) == 2
+    verdicts = urlfilter.judged(pages.where(out), [], urlfilter.mined(pages, lab.where(~out))).join(lab, "page_id").collect()
+    blocked = [r for r in verdicts if r.verdict == "block"]
+    assert sum(r.blocked for r in blocked) / len(blocked) > 0.95 and len(blocked) / sum(r.blocked for r in verdicts) > 0.8
+
+
+def test_labels_without_relation_to_urls(spark):
+    """Nothing is to be learnt, so nothing is, though single pages agree with their label."""
+    rng = random.Random(8)
+    rows = [(i, f"http://h{rng.randrange(300)}.com/{rng.choice('abc')}/x{rng.randrange(900)}y?p{rng.randrange(50)}=1") for i in range(800)]
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, rng.random() < 0.3) for i in range(800)], "page_id long, blocked boolean")
+    assert urlfilter.mined(pages, lab).collect() == []
+
+
+def test_rule_on_a_late_token_and_long_urls(spark):
+    """Forty path segments before the token that tells, and twenty tokens that always come together."""
+    deep = lambda i, last: f"http://a.com/{'/'.join(f'd{chr(97 + k)}' for k in range(20))}/{'/'.join(f's{chr(97 + k // 5)}{chr(97 + k % 5)}{chr(97 + i % 3)}' for k in range(20))}/x?{last}=1"
+    rows = [(i, deep(i, "bad" if i % 2 else "good")) for i in range(400)] + [(1000, "http://a.com/" + "long/" * 40_000 + "?bad"), (1001, "http://b.com/y?bad&v")] + [(1, deep(1, "bad"))] * 3
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("clash"), "index": F.lit(1)}), spark.createDataFrame([(i, i % 2 == 1) for i in range(400)], "page_id long, blocked boolean")
+    rules = urlfilter.mined(pages, lab)
+    assert [r["items"] for r in rules.collect()] == [["q:bad"]]
+    out = urlfilter.judged(pages, [], rules).collect()
+    assert len(out) == len(rows) and all((r.verdict == "block") == (r.page_id in (1000, 1001) or r.page_id % 2 == 1) for r in out)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query on a small folder of tables."""
+    rng = random.Random(9)
+    rows, quality = [], []
+    for i in range(700):
+        host = rng.choice(["ads.shop", "www.site", "example", "b.example"])
+        bad = host == "ads.shop" and rng.random() < 0.97
+        rows.append((i, rng.choice(["http://", "HTTPS://"]) + host + rng.choice([".com/en/", ".com/en/7x", ".net/de/", ".net/de/81", ".org/es/"]) + rng.choice(["", "q", "Z?x=1#f"])))
+        quality.append((i, int(not bad), 0))
+    rows += [(900, None), (901, "nothing")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(quality, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rules = counted({i: plain_tokens(u) for i, u in rows if i < 900}, {i for i, q, _ in quality if not q}, 20, 0.8)
+    assert rules
+    out = {r.page_id: r for r in op7_url_filter(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    for i, u in rows:
+        host, path = parts(u)
+        want = plain_rule(host, path)
+        verdict = want[0] if want else "block" if any(set(r) <= plain_tokens(u) for r in rules) else "allow"
+        assert (out[i].host, out[i].path, out[i].rule, out[i].verdict) == (host, path, want and want[1], verdict)
 
 
 def test_nothing_to_learn(spark):
     pages = spark.createDataFrame([(1, None), (2, "http://a.com/x")], "page_id long, url string")
-    assert urlfilter.mined(pages, spark.createDataFrame([], "page_id long, blocked boolean")) == []
-    assert urlfilter.judged(pages.limit(0), RULES, []).collect() == []
+    rules = urlfilter.mined(pages, spark.createDataFrame([], "page_id long, blocked boolean"))
+    assert rules.collect() == [] and len(urlfilter.judged(pages, RULES, rules).collect()) == 2
+    assert urlfilter.judged(pages.limit(0), RULES).collect() == []
