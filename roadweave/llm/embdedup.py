@@ -7,12 +7,15 @@ follows the bits: a pair at exactly the threshold is missed in all of them with
 ``miss`` at most. Within a bucket all cosines are computed exactly, in double precision.
 
 A pair counts in the first table where it meets, which both ends can tell from their bucket
-numbers; so tasks give sums of links and spanning forests, never pairs. Equal vectors are one
-class with a weight. A bucket of over ``block`` classes is dealt out by pairs of blocks.
+numbers (packed into one, two or four bytes a table); so tasks give sums of links and spanning
+forests, never pairs. Equal vectors are one class with a weight. A bucket of over ``block`` classes
+is dealt out by pairs of blocks. Vectors travel as they are given (floats as floats), once a table;
+the number of tables grows with about the third root of the number of vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link
-with nothing, nor do rows without vec_id; vectors of different length never link; rows that
-repeat a vec_id share a component; an empty table gives an empty table; other columns play no part.
+with nothing, nor do rows without vec_id; vectors of different length never link; a cosine of just
+the threshold links; rows that repeat a vec_id share a component; an empty table gives an empty
+table; other columns play no part whatever their names are.
 """
 
 from __future__ import annotations
@@ -47,9 +50,13 @@ def tables_for(count: int, cosine: float, bucket: int, miss: float) -> tuple[int
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - meets))) if meets < 1 else 1
 
 
+def _code_type(bits: int) -> np.dtype:
+    return np.dtype("u1" if bits <= 8 else "u2" if bits <= 16 else "u4")
+
+
 def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """``classes`` with ``codes``: the bucket in each table."""
-    weights = 1 << np.arange(bits, dtype=np.int64)
+    """``classes`` with ``codes``, the bucket in each table, and the same ``packed``."""
+    weights, kind = 1 << np.arange(bits, dtype=np.int64), _code_type(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -64,12 +71,12 @@ def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 for i, c in zip(at, ((x @ planes[dim]).reshape(-1, tables, bits) > 0) @ weights, strict=True):
                     codes[i] = c.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int32()))], names=[*b.schema.names, "codes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int32())), pa.array([c.astype(kind).tobytes() for c in codes], pa.binary())], names=[*b.schema.names, "codes", "packed"])
 
-    return classes.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in classes.schema)}, codes array<int>")
+    return classes.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in classes.schema)}, codes array<int>, packed binary")
 
 
-def _bucket_links(cosine: float):
+def _bucket_links(cosine: float, bits: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         table, dim, i, j = key[0].as_py(), key[1].as_py(), key[3].as_py(), key[4].as_py()
         group = group.combine_chunks()
@@ -90,7 +97,7 @@ def _bucket_links(cosine: float):
         roots = ids[forest_roots(linked)]
         r, c = np.nonzero(linked)
         if table:
-            codes = matrix(group.column("codes").chunk(0), group.column("codes").chunk(0).value_lengths()[0].as_py()).astype(np.int32)[touched]
+            codes = np.frombuffer(b"".join(group.column("packed").take(pa.array(touched)).to_pylist()), _code_type(bits)).reshape(len(touched), -1)
             first = np.ones(len(r), bool)
             for a in range(0, len(r), 1 << 16):
                 s = slice(a, a + (1 << 16))
@@ -106,9 +113,11 @@ def _bucket_links(cosine: float):
 OUT = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-4, bucket: int = 256, block: int = 2048, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-4, bucket: int = 1024, block: int = 2048, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
+    given = vectors.schema["embedding"].dataType.elementType.simpleString()
+    number = "float" if given == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: (x.cast(number) + F.lit(0.0).cast(number)).cast(number)).alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("vec_id").isNotNull())
     hashed = rows.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("vector")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "vector"))})
     classes = materialize(hashed.where("ok").groupBy("h1", "h2", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", F.col("h1").alias("tag"), F.col("h2").alias("tag2"), "copies", F.size("vector").alias("dim"), "vector"))
@@ -123,9 +132,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-4, bu
         .withColumn("block", F.pmod(F.xxhash64("id", "tag"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select(*key, "i", "j", "block", "id", "tag", "copies", "vector", "codes")
+        .select(*key, "i", "j", "block", "id", "tag", "copies", "vector", "packed")
     )
-    found = materialize(entries.groupBy(*key, "i", "j").applyInArrow(_bucket_links(cosine), "id long, tag long, links long, root long"))
+    found = materialize(entries.groupBy(*key, "i", "j").applyInArrow(_bucket_links(cosine, bits), "id long, tag long, links long, root long"))
     links = found.groupBy("id", "tag").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = classes.select("id", F.col("tag").alias("h1"), F.col("tag2").alias("h2"), "copies").join(links.withColumnRenamed("tag", "h1"), ["id", "h1"], "left").join(parts, "id", "left")
