@@ -89,7 +89,7 @@ def test_top_k_equals_all_scores(spark):
     ids = list(range(len(x)))
     df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), SCHEMA)
     want = brute_top(ids, x, lambda i: i % 10 == 0)
-    for options in ({}, {"query_block": 7, "candidate_block": 50}):
+    for options in ({}, {"query_block": 7, "candidate_block": 50}, {"query_block": 3, "candidate_block": 9}):
         assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, **options).collect()} == want
 
 
@@ -106,3 +106,25 @@ def test_segment_bound_holds():
     x, q = rng.standard_normal((50, 19)), rng.standard_normal((9, 19))
     for s in topk.RESOLUTIONS:
         assert (topk.segment_statistics(x, s) @ topk.segment_statistics(q, s).T >= x @ q.T - 1e-9).all()
+
+
+def test_top_k_of_clusters_in_few_blocks(spark, monkeypatch):
+    """Queries meet only blocks that their bound reaches, and lose nothing by it."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 32)) * 5
+    x = (np.repeat(centres, 50, axis=0) + rng.standard_normal((600, 32)) * 0.05).astype(np.float32)
+    ids = rng.permutation(600).tolist()
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), SCHEMA)
+    tables = []
+    monkeypatch.setattr(topk, "materialize", lambda d, real=topk.materialize: tables.append(real(d)) or tables[-1])
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, candidate_block=50).collect()
+    assert {tuple(r) for r in got} == brute_top(ids, x, lambda i: i % 10 == 0)
+    sent = next(t for t in tables if t.columns == ["vec_id", "vector", "dim", "least", "block"])
+    assert sent.count() < 60 * 12 / 2
+
+
+def test_large_scores_are_exact(spark):
+    rows = [(0, [2.0**22, 1.0, 3.0]), (1, [2.0**22, 1.0, 2.0]), (2, [2.0**22, 1.0, 3.0]), (3, [2.0**22, 1.00390625, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    e = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, sum(a * b for a, b in zip(e[0], e[i], strict=True))) for i in (3, 2, 1)]
