@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm import bpe, minhash, mixing, quality
-from roadweave.llm.common import materialize, small, table
+from roadweave.llm.common import fresh, materialize, set_apart, small, table
 from roadweave.llm.queries import PATTERN, RANKS
 
 #: None: the classifier and the encoder can't be put in SQL; tests hold run() against plain Python.
@@ -18,24 +18,49 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, gives a score of ``quality.KEEP`` or more."""
+    """Documents that the classifier, fitted on the labels, gives a score of ``quality.KEEP`` or more.
+
+    Null, empty and very long texts, ties at the bound, repeated rows and an empty table are scored as
+    ``quality`` states; rows are judged one by one, so repeated ones stay or go together. A column
+    of the score's name passes through like any other.
+    """
     model = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("quality_score") >= quality.KEEP).select(*docs.columns)
+    apart, names = set_apart(docs, ["doc_id", "text"])
+    return quality.scored(apart, model).where(F.col("quality_score") >= quality.KEEP).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near-duplicates (five-word shingles, similarity 0.8), and of each group the least doc_id."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(small(materialize(dropped)), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """Documents without near-duplicates (five-word shingles, similarity 0.8), and of each group the least doc_id.
+
+    Of rows that repeat doc_id and text one stays, whichever its other columns. Texts without words,
+    null texts and rows without doc_id have no duplicates; an empty table gives an empty table. No
+    column name clashes with those of the joins.
+    """
+    dropped, repeated = fresh(docs.columns, "_dropped"), fresh(docs.columns, "_repeated")
+    gone = materialize(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(dropped)).distinct())
+    left = docs.join(small(gone), F.col("doc_id") == F.col(dropped), "left_anti")
+    twice = left.where("doc_id is not null").groupBy(F.col("doc_id").alias(repeated), F.md5("text")).count().where("count > 1").select(repeated).distinct()
+    twice = small(materialize(twice))
+    once = left.join(twice, F.col("doc_id") == F.col(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, F.col("doc_id") == F.col(repeated), "left_anti").unionByName(once)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources to the weights 5, 2, 1 takes them."""
-    return mixing.repeated(mixing.mix(docs))
+    """Documents as often as the mix of their sources to the weights 5, 2, 1 takes them.
+
+    Null texts, null sources, very long texts, ties, repeated rows and an empty table go as ``mixing``
+    states; columns of any name pass through.
+    """
+    apart, names = set_apart(docs, ["doc_id", "text", "source"])
+    return mixing.repeated(mixing.mix(apart)).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the digests of ids and decoded bytes of each document."""
+    """doc_id, source, n_tokens and the digests of ids and decoded bytes of each document.
+
+    Null and empty texts have no tokens; every row gives a row, repeated ones too; other columns, those
+    with names of outputs among them, play no part.
+    """
     return bpe.digested(docs.select("doc_id", "source", "text"), RANKS, PATTERN).drop("text")
 
 
