@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadweave.llm import quality
@@ -50,6 +51,24 @@ def test_odd_documents(spark, tmp_path):
         staged.collect()
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    """Exact rows of a document leave one; every stage passes columns of any name through."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{i}" for i in range(50))
+    rows = [(1, text, "en", "s", 5)] * 40 + [(2, text, "en", "s", 5), (3, "other words that stand alone here", "en", "t", 1), (4, None, "en", "t", 1), (4, None, "en", "t", 1), (None, text, "en", "t", 1)]
+    df = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.one_of_each_group(spark, df, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, text), (3, rows[41][1]), (4, ""), (0, text)])
+    clash = "_dropped _repeated _copy mix_x mix_size quality_score count n_tokens digest _column_2 component_id kept".split()
+    odd = df.withColumns({c: F.lit(c) for c in clash})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        got = out.collect()
+        assert got and all(r[c] == c for r in got for c in clash)
+    assert corpus_pipeline.encoded_documents(spark, odd, SF).count() == len(rows)
+
+
 def test_every_operator_is_registered():
     names = queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
