@@ -170,8 +170,13 @@ def clip(line, start, end) -> Column:
     return F.when(_c(start) > _c(end), F.reverse(out)).otherwise(out)
 
 
-def bezier(x0, y0, bearing0, x1, y1, bearing1, reach, samples: int = 12) -> Column:
-    """Cubic curve that leaves and arrives in these compass bearings, as samples + 1 points."""
+def bezier(x0, y0, bearing0, x1, y1, bearing1, reach, samples: int = 12, most: float = 15.0) -> Column:
+    """Cubic curve that leaves and arrives in these compass bearings, as samples + 1 points.
+
+    Its handles are ``reach`` long, from 0 to ``most``; 0.45 of the ends' distance where it is null.
+    """
+    span = F.hypot(_c(x1) - _c(x0), _c(y1) - _c(y0))
+    reach = F.least(F.lit(most), F.greatest(F.lit(0.0), F.coalesce(_c(reach), span * 0.45)))
     hx0, hy0 = _c(x0) + _c(reach) * F.sin(F.radians(_c(bearing0))), _c(y0) + _c(reach) * F.cos(F.radians(_c(bearing0)))
     hx1, hy1 = _c(x1) - _c(reach) * F.sin(F.radians(_c(bearing1))), _c(y1) - _c(reach) * F.cos(F.radians(_c(bearing1)))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,17 +126,32 @@ def road_context(sites: DataFrame, device: dict, k: int = 25, reach: float = 150
 def context_states(fixes: DataFrame) -> DataFrame:
     """When a device's context is fetched or dropped, over ordered fixes (device, ts, x, y, heading, road).
 
-    A fetch is due on a new road, after 150 m, 20 degrees or 30 s; at 120 degrees, 500 m or 120 s
-    the context held is void. Compared with the fix before, as a window per device.
+    A fetch is due on a new road, 150 m, 20 degrees or 30 s from the last fetch, or with the first
+    heading after a fetch without one. Another road, 120 degrees or over 120 s make the context void
+    at once (discard, which also fetches). What the last fetch was depends on all before it, so
+    each device's fixes are walked in order; a task holds one fetch, not a device's fixes.
     """
-    w = Window.partitionBy("device").orderBy("ts", *(c for c in ("event_id",) if c in fixes.columns))
-    moved = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    turned = geo.angle_between("heading", F.lag("heading").over(w))
-    age = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    rows = fixes.withColumns({"_m": moved, "_t": turned, "_a": age, "_r": ~F.col("road").eqNullSafe(F.lag("road").over(w)), "_n": F.row_number().over(w)})
-    void = F.coalesce((F.col("_t") >= 120) | (F.col("_m") > 500) | (F.col("_a") > 120), F.lit(False))
-    fetch = (F.col("_n") == 1) | F.col("_r") | F.coalesce((F.col("_m") >= 150) | (F.col("_t") >= 20) | (F.col("_a") >= 30), F.lit(False))
-    return rows.withColumn("action", F.when(void, F.lit("discard")).when(fetch, F.lit("fetch")).otherwise(F.lit("keep"))).drop("_m", "_t", "_a", "_r", "_n")
+    also = [c for c in ("event_id",) if c in fixes.columns]
+    rows = fixes.withColumn("_at", F.unix_timestamp("ts")).repartition("device").sortWithinPartitions("device", "ts", *also)
+    read = ["device", "_at", "x", "y", "heading", "road"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            out = []
+            for device, at, x, y, heading, road in zip(*(b.column(c).to_pylist() for c in read), strict=True):
+                fresh = last is None or last[0] != device
+                turned = None if fresh or heading is None or last[4] is None else abs((heading - last[4] + 180) % 360 - 180)
+                void = not fresh and (last[5] != road or (turned is not None and turned >= 120) or at - last[1] > 120)
+                due = fresh or void or math.hypot(x - last[2], y - last[3]) >= 150 or at - last[1] >= 30
+                due = due or (heading is not None and (last[4] is None or turned >= 20))
+                if due:
+                    last = (device, at, x, y, heading, road)
+                out.append("discard" if void else "fetch" if due else "keep")
+            yield b.append_column("action", pa.array(out, pa.string()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, action string").drop("_at")
 
 
 def held_selection(choices: DataFrame, hold: int = 4) -> DataFrame:

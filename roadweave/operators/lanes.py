@@ -218,13 +218,16 @@ def blocks(moves: DataFrame, target: list[str], source: str) -> DataFrame:
 
 
 def classified(pairs: DataFrame) -> DataFrame:
-    """split, join or continuation of each lane pair; a pair that would be both is left out."""
-    a, b = Window.partitionBy("s_segment", "s_travel", "s_lane"), Window.partitionBy("t_segment", "t_travel", "t_lane")
-    first = Window.partitionBy("s_segment", "s_travel", "s_lane").orderBy("score", "t_segment", "t_lane")
-    other = Window.partitionBy("t_segment", "t_travel", "t_lane").orderBy("score", "s_segment", "s_lane")
-    rows = pairs.withColumns({"_out": F.count(F.lit(1)).over(a), "_in": F.count(F.lit(1)).over(b), "_a": F.row_number().over(first), "_b": F.row_number().over(other)})
-    split, join = (F.col("_out") > 1) & (F.col("_a") > 1), (F.col("_in") > 1) & (F.col("_b") > 1)
-    return rows.where(~(split & join)).withColumn("kind_of_lane", F.when(split, F.lit("split")).when(join, F.lit("join")).otherwise(F.lit("continuation"))).drop("_out", "_in", "_a", "_b")
+    """split, join or continuation of each lane pair; a pair that would be both is left out.
+
+    The pairs of a movement are gone through by source lane and target lane: one whose source has
+    been met is a split, else one whose target has been met a join.
+    """
+    movement = ["s_segment", "s_travel", "t_segment", "t_travel"]
+    a, b = Window.partitionBy(*movement, "s_lane").orderBy("t_lane"), Window.partitionBy(*movement, "t_lane").orderBy("s_lane")
+    rows = pairs.withColumns({"_a": F.row_number().over(a), "_b": F.row_number().over(b)})
+    split, join = F.col("_a") > 1, F.col("_b") > 1
+    return rows.where(~(split & join)).withColumn("kind_of_lane", F.when(split, F.lit("split")).when(join, F.lit("join")).otherwise(F.lit("continuation"))).drop("_a", "_b")
 
 
 def trims(connections: DataFrame) -> DataFrame:
@@ -269,10 +272,11 @@ def markings(lanes: DataFrame) -> DataFrame:
     return lanes.withColumns({"turn_mark": own("turn:lanes"), "destination": own("destination:lanes"), "change_left": refs.change_allowed(change, "left"), "change_right": refs.change_allowed(change, "right")})
 
 
+#: The turns in degrees, right positive, that each marking allows.
+TURNS = {"sharp_left": (-135, -55), "left": (-135, -20), "slight_left": (-60, -5), "through": (-25, 25), "slight_right": (5, 60), "right": (20, 135), "sharp_right": (55, 135)}
+
+
 def compatible(token: Column, turn: Column) -> Column:
-    """Whether a turn marking fits a signed turn in degrees; unknown markings fit all."""
-    a = turn
-    fits = {"through": F.abs(a) <= 50, "left": a.between(-170, -20), "right": a.between(20, 170), "slight_left": a.between(-80, 10), "slight_right": a.between(-10, 80), "sharp_left": a.between(-180, -70), "sharp_right": a.between(70, 180), "merge_to_left": F.abs(a) <= 60, "merge_to_right": F.abs(a) <= 60, "reverse": F.abs(a) >= 120}
-    parts = F.split(token, ";")
-    each = lambda x: F.coalesce(*[F.when(x == k, v) for k, v in fits.items()], F.lit(True))
-    return F.coalesce(F.exists(parts, each), F.lit(True))
+    """Whether one of the turn markings at ``;`` fits a signed turn in degrees; unknown markings fit nothing, no marking all."""
+    each = lambda x: F.coalesce(*[F.when(x == k, turn.between(a, b)) for k, (a, b) in TURNS.items()], F.when(x == "reverse", F.abs(turn) >= 135), F.lit(False))
+    return F.coalesce(F.exists(F.split(token, ";"), lambda x: each(F.lower(F.trim(x)))), F.lit(True))

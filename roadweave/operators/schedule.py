@@ -11,15 +11,18 @@ BULK = 4
 
 
 def due(feeds: DataFrame, idle: int, bulk: int = BULK) -> DataFrame:
-    """Feeds to start now. ``feeds``: feed, class, cadence, in_flight, age (null: never ran).
+    """Feeds to start now. ``feeds``: feed, class, cadence, in_flight, age (null: never ran), and place (order of registry).
 
-    Realtime feeds always run when due; others need idle time and share the budget left by those
-    in flight, never-run first, then the oldest.
+    Realtime feeds always run when due. Others need idle time and share the budget left by those of
+    them in flight, in the registry's order (that of their names without ``place``).
     """
+    place = "place" if "place" in feeds.columns else "feed"
+    bulky = F.col("class") != "realtime"
     ready = ~F.col("in_flight") & (F.col("age").isNull() | (F.col("age") >= F.col("cadence")))
-    calm = (F.col("class") == "realtime") | F.coalesce(*[F.when(F.col("class") == k, F.lit(idle >= v)) for k, v in IDLE.items()], F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(F.col("class") == "realtime").orderBy(F.col("age").isNull().desc(), F.col("age").desc(), "feed"))
-    return feeds.where(ready & calm).withColumn("_rank", rank).where((F.col("class") == "realtime") | (F.col("_rank") <= bulk)).drop("_rank")
+    calm = ~bulky | F.coalesce(*[F.when(F.col("class") == k, F.lit(idle >= v)) for k, v in IDLE.items()], F.lit(False))
+    rows = feeds.withColumns({"_busy": F.count_if(bulky & F.col("in_flight")).over(Window.partitionBy()), "_starts": ready & calm})
+    turn = F.count_if(F.col("_starts")).over(Window.partitionBy(bulky).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_turn", turn).where(F.col("_starts") & (~bulky | (F.col("_turn") <= F.lit(bulk) - F.col("_busy")))).drop("_busy", "_starts", "_turn")
 
 
 def ages(registry: DataFrame, runs: DataFrame, now) -> DataFrame:

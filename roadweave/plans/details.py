@@ -36,7 +36,7 @@ def rd_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.sites(spark, sf_dir).select("site_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(f"""WITH {overlay.SQL}, k AS (SELECT site_id, coalesce(CASE WHEN road_ref IS NOT NULL THEN road_ref END, '-') || '|' || coalesce(carriageway, '-') || '|' || CASE WHEN km IS NULL THEN '-' ELSE printf('%.2f', round(km, 2)) END AS k FROM site)
+@query(f"""WITH {overlay.SQL}, k AS (SELECT site_id, 'matrix:' || coalesce(road_ref, '') || '|' || coalesce(carriageway, '') || '|' || coalesce(round(km, 2)::VARCHAR, '') AS k FROM site)
 SELECT site_id, 'matrix-gantry-' || substr(sha256(k), 1, 16) AS gantry FROM k""")
 def gantry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.sites(spark, sf_dir).select("site_id", refs.gantry_id("road_ref", "carriageway", "km").alias("gantry"))
@@ -99,24 +99,27 @@ def lane_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.lane_rows(lanes.cross_section(ways)).select("way", "direction", "lane", "side")
 
 
-@query("""WITH m AS (SELECT o_custkey % 300 AS target, o_orderkey AS source, (o_orderkey * 7 % 181 - 90)::DOUBLE AS turn, (o_orderkey % 3 + 1)::INTEGER AS s_lanes, 8 AS t_lanes FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH m AS (SELECT o_custkey AS target, o_orderkey AS source, (o_orderkey * 7 % 181 - 90)::DOUBLE AS turn, (o_orderkey % 3 + 1)::INTEGER AS s_lanes, 24 AS t_lanes FROM orders),
 b AS (SELECT *, sum(s_lanes) OVER (PARTITION BY target) AS total, coalesce(sum(s_lanes) OVER (PARTITION BY target ORDER BY turn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
 SELECT target, source, (before + 1)::INTEGER AS first_lane, (before + s_lanes)::INTEGER AS last_lane FROM b WHERE total <= t_lanes""")
 def target_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = C("o_orderkey")
-    m = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((C("o_custkey") % 300).alias("target"), k.alias("source"), (k * 7 % 181 - 90).cast("double").alias("turn"), (k % 3 + 1).cast("int").alias("s_lanes"), F.lit(8).alias("t_lanes"))
+    m = table(spark, sf_dir, "orders").select(C("o_custkey").alias("target"), k.alias("source"), (k * 7 % 181 - 90).cast("double").alias("turn"), (k % 3 + 1).cast("int").alias("s_lanes"), F.lit(24).alias("t_lanes"))
     return lanes.blocks(m, ["target"], "source").where("first_lane is not null").select("target", "source", "first_lane", "last_lane")
 
 
-FIXES = "SELECT user_id AS device, event_id, ts, value * 10 AS x, value * 3 AS y, (event_id * 37 % 360)::DOUBLE AS heading, event_type AS road FROM events WHERE user_id < 60"
-
-
-@query(f"""WITH f AS ({FIXES}), l AS (SELECT *, row_number() OVER w AS n, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS m,
-  abs((((heading - lag(heading) OVER w + 180) % 360) + 360) % 360 - 180) AS t, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS a, road IS DISTINCT FROM lag(road) OVER w AS r FROM f WINDOW w AS (PARTITION BY device ORDER BY ts, event_id))
-SELECT device, event_id, CASE WHEN coalesce(t >= 120, false) OR coalesce(m > 500, false) OR coalesce(a > 120, false) THEN 'discard' WHEN n = 1 OR r OR coalesce(m >= 150, false) OR coalesce(t >= 20, false) OR coalesce(a >= 30, false) THEN 'fetch' ELSE 'keep' END AS action FROM l""")
+@query("""WITH RECURSIVE f AS (SELECT user_id AS device, event_id, floor(epoch(ts)) AS sec, value AS x, value * 3 AS y, CASE WHEN event_id % 11 <> 0 THEN (event_id * 37 % 80)::DOUBLE + CASE WHEN event_id % 13 = 0 THEN 180 ELSE 0 END END AS heading, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'A9' END AS road,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT device, event_id, n, sec, x, y, heading, road, 'fetch' AS action FROM f WHERE n = 1 UNION ALL
+  SELECT f.device, f.event_id, f.n, CASE WHEN u.action = 'keep' THEN w.sec ELSE f.sec END, CASE WHEN u.action = 'keep' THEN w.x ELSE f.x END, CASE WHEN u.action = 'keep' THEN w.y ELSE f.y END, CASE WHEN u.action = 'keep' THEN w.heading ELSE f.heading END, CASE WHEN u.action = 'keep' THEN w.road ELSE f.road END, u.action
+  FROM w JOIN f ON f.device = w.device AND f.n = w.n + 1, LATERAL (SELECT CASE WHEN f.road <> w.road OR coalesce(abs((f.heading - w.heading + 540) % 360 - 180) >= 120, false) OR f.sec - w.sec > 120 THEN 'discard'
+    WHEN sqrt((f.x - w.x) * (f.x - w.x) + (f.y - w.y) * (f.y - w.y)) >= 150 OR f.sec - w.sec >= 30 OR (f.heading IS NOT NULL AND coalesce(abs((f.heading - w.heading + 540) % 360 - 180) >= 20, true)) THEN 'fetch' ELSE 'keep' END AS action) u)
+SELECT device, event_id, action FROM w""")
 def context_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id < 60")
-    fixes = e.select(C("user_id").alias("device"), "event_id", "ts", (C("value") * 10).alias("x"), (C("value") * 3).alias("y"), (C("event_id") * 37 % 360).cast("double").alias("heading"), C("event_type").alias("road"))
+    """All fixes of all devices, each compared with the last fetch."""
+    k = C("event_id")
+    heading = F.when(k % 11 != 0, (k * 37 % 80).cast("double") + F.when(k % 13 == 0, 180.0).otherwise(0.0))
+    fixes = table(spark, sf_dir, "events").select(C("user_id").alias("device"), k, "ts", C("value").alias("x"), (C("value") * 3).alias("y"), heading.alias("heading"), F.when(k % 5 == 0, C("event_type")).otherwise(F.lit("A9")).alias("road"))
     return ahead.context_states(fixes).select("device", "event_id", "action")
 
 
@@ -138,11 +141,12 @@ def connector_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.trims(wishes).select("segment", C("end").alias("end_"), F.round("trim", 6).alias("trim"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS s, l_partkey % 500 AS t, l_linenumber AS lane, l_extendedprice AS score FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2) WHERE l_orderkey % 4 = 0),
-u AS (SELECT s, t, min(lane) AS lane, min(score) AS score FROM p GROUP BY 1, 2),
-r AS (SELECT *, count(*) OVER (PARTITION BY s) AS no, count(*) OVER (PARTITION BY t) AS ni, row_number() OVER (PARTITION BY s ORDER BY score, t) AS a, row_number() OVER (PARTITION BY t ORDER BY score, s) AS b FROM u)
-SELECT s, t, CASE WHEN no > 1 AND a > 1 THEN 'split' WHEN ni > 1 AND b > 1 THEN 'join' ELSE 'continuation' END AS kind FROM r WHERE NOT (no > 1 AND a > 1 AND ni > 1 AND b > 1)""")
+@query("""WITH p AS (SELECT l_orderkey // 3 AS s, l_partkey % 3 AS t, l_orderkey % 3 + 1 AS s_lane, l_suppkey % 2 + 1 AS t_lane, min(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, t, s_lane ORDER BY t_lane) AS a, row_number() OVER (PARTITION BY s, t, t_lane ORDER BY s_lane) AS b FROM p)
+SELECT s, t, s_lane, t_lane, CASE WHEN a > 1 THEN 'split' WHEN b > 1 THEN 'join' ELSE 'continuation' END AS kind FROM r WHERE a = 1 OR b = 1""")
 def lane_pair_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy(C("l_orderkey").alias("s_segment"), (C("l_partkey") % 500).alias("t_segment")).agg(F.min("l_extendedprice").alias("score"))
-    pairs = rows.withColumns({"s_travel": F.lit("fwd"), "t_travel": F.lit("fwd"), "s_lane": F.lit(1), "t_lane": F.lit(1)})
-    return lanes.classified(pairs).select(C("s_segment").alias("s"), C("t_segment").alias("t"), C("kind_of_lane").alias("kind"))
+    """Pairs are gone through by source and target lane number, whatever their score is."""
+    k = C("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.floor(k / 3).alias("s_segment"), (C("l_partkey") % 3).alias("t_segment"), (k % 3 + 1).alias("s_lane"), (C("l_suppkey") % 2 + 1).alias("t_lane")).agg(F.min("l_extendedprice").alias("score"))
+    pairs = rows.withColumns({"s_travel": F.lit("fwd"), "t_travel": F.lit("fwd")})
+    return lanes.classified(pairs).select(C("s_segment").alias("s"), C("t_segment").alias("t"), "s_lane", "t_lane", C("kind_of_lane").alias("kind"))

@@ -92,41 +92,103 @@ SELECT s.site_id, CASE WHEN f.failure IS NULL THEN f.source_id END AS source_id,
   CASE WHEN f.site_id IS NULL THEN 'no_nearby_major_lane' ELSE f.failure END AS failure FROM site s LEFT JOIN f ON f.site_id = s.site_id""")
 def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = overlay.sites(spark, sf_dir)
-    pairs = spatial.distance_join(s, overlay.lanes(spark, sf_dir), 60.0)
+    pairs = spatial.distance_join(s.withColumn("site_refs", refs.road_refs("road_ref")), overlay.lanes(spark, sf_dir).withColumn("lane_refs", refs.road_refs("ref")), 60.0)
     return matching.attach(s, matching.match_sites(pairs)).select("site_id", "source_id", "quality", F.round("angle", 4).alias("angle"), "failure")
 
 
-@query()
+#: Signs in threes on a gantry's place, three metres apart; lanes as traversals of ways with two lanes a direction.
+SIGNS = """sign AS (SELECT s.site_id AS sign, s.site_id // 3 AS gantry, a.road_ref AS road, a.carriageway, CASE WHEN s.site_id % 13 <> 0 THEN (s.site_id % 3 + 1)::INTEGER END AS number,
+  CASE WHEN s.site_id % 10 <> 0 THEN a.bearing END AS bearing, a.x + (s.site_id % 3) * 3.0::DOUBLE AS x, a.y AS y FROM site s JOIN site a ON a.site_id = s.site_id // 3 * 3)"""
+WAYS = """source_id AS lane_id, CASE WHEN source_id % 4 < 2 THEN 'fwd' ELSE 'bwd' END AS way, (source_id % 2 + 1)::INTEGER AS lane_nr, source_id // 8 AS road_id,
+  CASE WHEN source_id // 4 % 10 = 0 THEN (source_id // 4)::VARCHAR || ':0:0' ELSE (source_id // 4)::VARCHAR || ':' || (source_id // 4 * 7 % 50)::VARCHAR || ':' || (source_id // 4 * 11 % 50)::VARCHAR END AS segment,
+  CASE WHEN source_id // 4 % 3 = 0 THEN 3 ELSE lane_count END AS lanes, CASE WHEN source_id // 4 % 7 = 0 THEN ref || ';N99' ELSE ref END AS refs,
+  CASE source_id // 4 % 5 WHEN 0 THEN 'Re' WHEN 1 THEN 'Li' WHEN 2 THEN 'Le' WHEN 3 THEN 'b' END AS label, CASE WHEN source_id // 4 % 6 = 0 THEN 'motorway_link' ELSE 'motorway' END AS highway"""
+
+
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = overlay.sites(spark, sf_dir)
+    k = C("site_id")
+    anchors = s.where(k % 3 == 0).select(F.floor(k / 3).alias("gantry"), C("road_ref").alias("road"), "carriageway", C("bearing").alias("_bearing"), C("x").alias("_x"), "y")
+    rows = s.select(k.alias("sign"), F.floor(k / 3).alias("gantry"), F.when(k % 13 != 0, (k % 3 + 1).cast("int")).alias("lane")).join(anchors, "gantry")
+    return rows.withColumns({"bearing": F.when(C("sign") % 10 != 0, C("_bearing")), "x": C("_x") + (C("sign") % 3) * 3.0}).drop("_bearing", "_x")
+
+
+def traversal_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = overlay.lanes(spark, sf_dir).drop("direction"), C("source_id")
+    way = F.floor(k / 4)
+    text = lambda *n: F.concat_ws(":", way.cast("string"), *[x.cast("string") for x in n])
+    rows = rows.withColumns({
+        "lane_id": k, "direction": F.when(k % 4 < 2, F.lit("fwd")).otherwise(F.lit("bwd")), "lane_nr": (k % 2 + 1).cast("int"), "road_id": F.floor(k / 8),
+        "segment": F.when(way % 10 == 0, text(F.lit(0), F.lit(0))).otherwise(text(way * 7 % 50, way * 11 % 50)), "lane_count": F.when(way % 3 == 0, 3).otherwise(C("lane_count")),
+        "ref": F.when(way % 7 == 0, F.concat("ref", F.lit(";N99"))).otherwise(C("ref")), "lane_carriageway": F.when(way % 5 == 0, F.lit("Re")).when(way % 5 == 1, F.lit("Li")).when(way % 5 == 2, F.lit("Le")).when(way % 5 == 3, F.lit("b")),
+        "highway": F.when(way % 6 == 0, F.lit("motorway_link")).otherwise(F.lit("motorway")),
+    })
+    return rows.withColumn("lane_refs", refs.matcher_refs("ref"))
+
+
+@query(f"""WITH {overlay.SQL}, {SIGNS}, {overlay.PAIRS.format(radius=80).replace("site s", "sign s")},
+k AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY dist, source_id) AS kk FROM near),
+c AS (SELECT sign, gantry, road, carriageway, number, round(dist, 6) AS dist, round(abs((((line_bearing - bearing + 180) % 360) + 360) % 360 - 180), 6) AS angle, {WAYS} FROM k WHERE kk <= 64),
+e AS (SELECT *, CASE WHEN road IS NULL OR refs IS NULL THEN 'absent' WHEN list_contains(string_split(refs, ';'), road) THEN 'exact' WHEN highway = 'motorway_link' AND dist <= 5 AND coalesce(angle <= 45, true) THEN 'connector' ELSE 'conflict' END AS evidence,
+  CASE WHEN label IS NULL THEN 2 WHEN coalesce((carriageway = 'R' AND label = 'Re') OR (carriageway = 'L' AND label IN ('Li', 'Le')), false) THEN 0 WHEN label IN ('Re', 'Li', 'Le') THEN 1 ELSE 3 END AS label_rank FROM c),
+g AS (SELECT *, evidence <> 'conflict' AND coalesce(angle <= 45, true) AS fits FROM e),
+b AS (SELECT * FROM g WHERE fits QUALIFY row_number() OVER (PARTITION BY sign, segment, way ORDER BY dist, evidence <> 'exact', coalesce(angle, 180), lane_id) = 1),
+o AS (SELECT * FROM g WHERE fits AND lane_nr = number QUALIFY row_number() OVER (PARTITION BY sign, segment, way ORDER BY dist, lane_id) = 1),
+w AS (SELECT gantry, segment, way, count(*) AS coverage, count(*) FILTER (evidence = 'exact') AS exact, round(avg(dist), 6) AS d, round(avg(angle), 6) AS a, count(*) FILTER (label_rank = 0) AS l0, count(*) FILTER (label_rank <= 1) AS l1, sum(label_rank) AS ls,
+  list(DISTINCT road_id) AS roads, CASE WHEN count(DISTINCT lanes) = 1 THEN min(lanes) END AS osm FROM b GROUP BY ALL),
+q AS (SELECT *, rank() OVER (PARTITION BY gantry ORDER BY coverage DESC, exact DESC) = 1 AS first_ FROM w),
+n AS (SELECT *, first_ AND d <= min(CASE WHEN first_ THEN d END) OVER (PARTITION BY gantry) + 2 AS near_ FROM q),
+r AS (SELECT *, row_number() OVER v AS rk, lead({{'segment': segment, 'way': way, 'coverage': coverage, 'exact': exact, 'l0': l0, 'l1': l1, 'ls': ls, 'd': d, 'a': a, 'roads': roads}}) OVER v AS nx FROM n
+  WINDOW v AS (PARTITION BY gantry ORDER BY coverage DESC, exact DESC, near_ DESC, CASE WHEN near_ THEN -l0 END, CASE WHEN near_ THEN -l1 END, CASE WHEN near_ THEN ls END, d, coalesce(a, 180), segment, way)),
+u AS (SELECT gantry, count(*) AS size, bool_or(bearing IS NULL) AS blind, list_sort(list(DISTINCT number) FILTER (number IS NOT NULL)) AS numbers FROM sign GROUP BY 1),
+t AS (SELECT u.*, r.* EXCLUDE (gantry), string_split(segment, ':') AS p1, string_split(nx.segment, ':') AS p2 FROM u LEFT JOIN r ON r.gantry = u.gantry AND r.rk = 1),
+z AS (SELECT *, CASE WHEN p1[2] = '0' AND p1[3] = '0' THEN NULL WHEN way = 'fwd' THEN p1[2] ELSE p1[3] END AS in1, CASE WHEN p1[2] = '0' AND p1[3] = '0' THEN NULL WHEN way = 'fwd' THEN p1[3] ELSE p1[2] END AS out1,
+  CASE WHEN p2[2] = '0' AND p2[3] = '0' THEN NULL WHEN nx.way = 'fwd' THEN p2[2] ELSE p2[3] END AS in2, CASE WHEN p2[2] = '0' AND p2[3] = '0' THEN NULL WHEN nx.way = 'fwd' THEN p2[3] ELSE p2[2] END AS out2 FROM t),
+y AS (SELECT *, coalesce(nx.segment IS NOT NULL AND ((NOT (segment <> nx.segment AND (coalesce(out1 = in2, false) OR coalesce(out2 = in1, false))) AND coverage = nx.coverage AND exact = nx.exact AND NOT (-l0, -l1, ls) < (-nx.l0, -nx.l1, nx.ls)
+    AND NOT (l0 = coverage AND nx.l0 = nx.coverage AND d < nx.d) AND abs(d - nx.d) <= 2 AND coalesce(abs(a - nx.a) <= 5, true)) OR (blind AND list_has_any(roads, nx.roads) AND way <> nx.way)), false) AS tied,
+  coalesce(len(numbers), 0) > 0 AND (osm IS NULL OR osm <> len(numbers) OR numbers <> generate_series(1, len(numbers))) AS mismatch FROM z),
+f AS (SELECT sign, count(DISTINCT (segment, way)) AS n FROM c GROUP BY 1),
+h AS (SELECT sign, bool_or(NOT road_ok) AS no_road, bool_or(road_ok AND NOT ok) AS no_bearing FROM (SELECT sign, segment, way, bool_or(evidence <> 'conflict') AS road_ok, bool_or(fits) AS ok FROM g GROUP BY ALL) GROUP BY 1),
+m AS (SELECT s.gantry, max(n) AS candidates FROM sign s JOIN f USING (sign) GROUP BY 1),
+x AS (SELECT s.sign, s.gantry, s.number, y.tied, y.mismatch, y.segment AS winner, y.way AS winner_way, CASE WHEN y.coverage = y.size AND NOT y.blind AND y.exact = y.coverage THEN 'high' WHEN y.coverage = y.size THEN 'medium' ELSE 'low' END AS sure, coalesce(m.candidates, 0) AS candidates, h.no_road, h.no_bearing,
+    b.lane_id AS lane0, b.dist AS dist0, b.angle AS angle0, b.evidence AS evidence0, CASE WHEN NOT y.mismatch AND s.number IS NOT NULL THEN o.lane_id END AS lane1, o.dist AS dist1, o.angle AS angle1, o.evidence AS evidence1, b.sign IS NOT NULL AND NOT y.tied AS ok
+  FROM sign s JOIN y ON y.gantry = s.gantry LEFT JOIN m ON m.gantry = s.gantry LEFT JOIN h ON h.sign = s.sign LEFT JOIN b ON b.sign = s.sign AND b.segment = y.segment AND b.way = y.way LEFT JOIN o ON o.sign = s.sign AND o.segment = y.segment AND o.way = y.way)
+SELECT sign, gantry, CASE WHEN ok THEN 'matched' WHEN tied THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN ok THEN sure END AS confidence, candidates,
+  CASE WHEN winner IS NULL THEN (CASE WHEN no_road AND NOT no_bearing THEN 'road_ref_conflict' WHEN no_bearing AND NOT no_road THEN 'bearing_mismatch' ELSE 'no_major_road' END) WHEN tied THEN 'bearing_ambiguous' WHEN NOT ok THEN 'no_major_road' WHEN mismatch THEN 'lane_count_mismatch' WHEN number IS NOT NULL AND lane1 IS NULL THEN 'lane_mapping_missing' END AS reason,
+  CASE WHEN ok THEN winner END AS segment, CASE WHEN ok THEN winner_way END AS direction, CASE WHEN ok THEN coalesce(lane1, lane0) END AS lane_id, CASE WHEN ok THEN lane1 END AS applies_to, CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN dist0 ELSE dist1 END) END AS dist,
+  CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN angle0 ELSE angle1 END) END AS angle, CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN evidence0 ELSE evidence1 END) END AS ref_quality FROM x""")
 def gantry_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signs in threes on gantries; held against plain Python in the tests."""
-    return matching.match_gantries(gantry_pairs(spark, sf_dir))
-
-
-def gantry_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = spatial.distance_join(overlay.sites(spark, sf_dir), overlay.lanes(spark, sf_dir), 80.0)
-    return near.select(
-        F.floor(C("site_id") / 3).cast("long").alias("gantry"), C("site_id").alias("sign"), C("road_ref").alias("road"), "carriageway", "bearing", F.concat_ws(":", C("source_id").cast("string"), (C("source_id") * 7 % 50).cast("string"), (C("source_id") * 11 % 50).cast("string")).alias("segment"),
-        "direction", C("source_id").alias("lane_id"), "ref", F.when(C("source_id") % 4 == 0, F.lit("Re")).when(C("source_id") % 4 == 1, F.lit("b")).alias("lane_carriageway"), F.when(C("source_id") % 6 == 0, F.lit("motorway_link")).otherwise(F.lit("motorway")).alias("highway"), "line_bearing", F.round("dist", 6).alias("dist"),
-    )
-
-
-@query(f"""WITH {overlay.near_sql(500)}, n AS (SELECT site_id AS panel, bearing, road_ref AS hint, source_id::VARCHAR AS segment, direction, source_id AS lane_id, ref, round(dist, 6) AS dist, abs((((line_bearing - bearing + 180) % 360) + 360) % 360 - 180) AS angle FROM near WHERE site_id % 3 = 0),
-seen AS (SELECT panel FROM n GROUP BY 1),
-f AS (SELECT *, dist <= min(dist) OVER (PARTITION BY panel) + 2 AS near_ FROM n WHERE coalesce(angle <= 45, true)),
-r AS (SELECT *, row_number() OVER w AS k, lead({{'n': near_, 'd': dist, 'a': angle}}) OVER w AS nx FROM f WINDOW w AS (PARTITION BY panel ORDER BY near_ DESC, CASE WHEN near_ THEN coalesce(angle, 0) END NULLS FIRST, dist, segment, direction)),
-t AS (SELECT s.site_id AS panel, s.bearing, s.road_ref AS hint, seen.panel IS NULL AS none, r.segment, r.direction, r.lane_id, r.ref, r.dist, r.angle,
-  coalesce(nx.n AND abs(r.dist - nx.d) <= 2 AND coalesce(abs(r.angle - nx.a) <= 5, true), false) AS tied FROM site s LEFT JOIN seen ON seen.panel = s.site_id LEFT JOIN r ON r.panel = s.site_id AND r.k = 1 WHERE s.site_id % 3 = 0),
-o AS (SELECT *, CASE WHEN none THEN 'unsupported' WHEN segment IS NULL THEN 'unmatched' WHEN tied THEN 'ambiguous' WHEN dist > 60 AND (bearing IS NULL OR angle > 20) THEN 'unsupported' ELSE 'matched' END AS status FROM t)
-SELECT panel, status, CASE WHEN none THEN 'no_major_road' WHEN segment IS NULL THEN 'bearing_mismatch' WHEN tied THEN (CASE WHEN bearing IS NULL THEN 'direction_ambiguous' ELSE 'bearing_ambiguous' END)
-    WHEN dist > 60 AND bearing IS NULL THEN 'extended_requires_bearing' WHEN dist > 60 AND angle > 20 THEN 'extended_bearing_too_weak' END AS reason,
-  CASE WHEN status = 'matched' THEN (CASE WHEN bearing IS NULL THEN 'low' WHEN dist > 60 THEN 'medium' ELSE 'high' END) END AS confidence, CASE WHEN status = 'matched' THEN segment END AS segment, CASE WHEN status = 'matched' THEN direction END AS direction,
-  CASE WHEN status = 'matched' THEN lane_id END AS lane_id, CASE WHEN status = 'matched' THEN dist END AS dist,
-  CASE WHEN status = 'matched' THEN (CASE WHEN hint IS NOT NULL AND ref IS NOT NULL THEN (CASE WHEN hint = ref THEN 'exact' ELSE 'conflict' END) WHEN ref IS NOT NULL THEN 'corridor' ELSE 'absent' END) END AS ref_quality FROM o""")
+    """All signs, the 64 nearest lanes within 80 m each, one traversal for each gantry."""
+    s = signs(spark, sf_dir)
+    near = spatial.knn_within(s, traversal_lanes(spark, sf_dir), "sign", "source_id", 80.0, 64, first=40.0).where("source_id is not null")
+    return matching.match_gantries(s, near.withColumn("dist", F.round("dist", 6)))
+
+
+PANELS = """panel AS (SELECT site_id AS panel, x, y, bearing, CASE site_id % 4 WHEN 0 THEN 'DRIP ' || road_ref || ' noord' WHEN 1 THEN 'paneel ' || lower(substr(road_ref, 1, 1)) || '-' || lpad(substr(road_ref, 2), 3, '0') WHEN 2 THEN 'centrum' END AS description, CASE WHEN site_id % 4 IN (0, 1) THEN road_ref END AS hint FROM site)"""
+
+
+@query(f"""WITH {overlay.SQL}, {PANELS}, {overlay.PAIRS.format(radius=500).replace("site s", "panel s")},
+k AS (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY dist, source_id) AS kk FROM near),
+c AS (SELECT panel, hint, bearing, ref, round(dist, 6) AS dist, round(abs((((line_bearing - bearing + 180) % 360) + 360) % 360 - 180), 6) AS angle, {WAYS} FROM k WHERE kk <= 64),
+e AS (SELECT *, CASE WHEN hint IS NULL OR refs IS NULL THEN 'absent' WHEN list_contains(string_split(refs, ';'), hint) THEN 'exact' ELSE 'conflict' END AS hinted FROM c),
+b AS (SELECT * FROM e WHERE coalesce(angle <= 45, true) QUALIFY row_number() OVER (PARTITION BY panel, segment, way ORDER BY dist, hinted <> 'exact', coalesce(angle, 180), lane_id) = 1),
+n AS (SELECT *, dist <= min(dist) OVER (PARTITION BY panel) + 2 AS near_ FROM b),
+r AS (SELECT *, row_number() OVER v AS rk, lead({{'d': dist, 'a': angle, 'h': hinted, 'r': road_id}}) OVER v AS nx FROM n WINDOW v AS (PARTITION BY panel ORDER BY near_ DESC, CASE WHEN near_ THEN coalesce(angle, 180) END, CASE WHEN near_ THEN hinted <> 'exact' END, dist, hinted <> 'exact', coalesce(angle, 180), segment, way, lane_id)),
+m AS (SELECT panel, count(DISTINCT (segment, way)) AS candidates FROM c GROUP BY 1),
+t AS (SELECT p.panel, p.bearing, m.candidates, r.* EXCLUDE (panel, bearing), CASE WHEN nx.d IS NULL OR (hinted = 'exact' AND nx.h <> 'exact') THEN false WHEN p.bearing IS NULL THEN road_id = nx.r OR abs(dist - nx.d) <= 2 ELSE abs(dist - nx.d) <= 2 AND coalesce(abs(angle - nx.a) <= 5, true) END AS tied
+  FROM panel p LEFT JOIN m USING (panel) LEFT JOIN r ON r.panel = p.panel AND r.rk = 1),
+o AS (SELECT *, CASE WHEN candidates IS NULL THEN 'no_major_road' WHEN segment IS NULL THEN 'bearing_mismatch' WHEN tied THEN (CASE WHEN bearing IS NULL THEN 'direction_ambiguous' ELSE 'bearing_ambiguous' END) WHEN dist > 500 THEN 'no_major_road'
+  WHEN dist > 60 AND bearing IS NULL THEN 'extended_requires_bearing' WHEN dist > 60 AND coalesce(angle > 20, true) THEN 'extended_bearing_too_weak' END AS reason FROM t),
+s AS (SELECT *, CASE WHEN reason IS NULL THEN 'matched' WHEN candidates IS NOT NULL AND segment IS NULL THEN 'unmatched' WHEN tied THEN 'ambiguous' ELSE 'unsupported' END AS status FROM o)
+SELECT panel, status, reason, CASE WHEN status = 'matched' THEN (CASE WHEN bearing IS NULL THEN 'low' WHEN dist > 60 THEN 'medium' ELSE 'high' END) END AS confidence, coalesce(candidates, 0) AS candidates, CASE WHEN status = 'matched' THEN segment END AS segment,
+  CASE WHEN status = 'matched' THEN way END AS direction, CASE WHEN status = 'matched' THEN lane_id END AS lane_id, CASE WHEN status = 'matched' THEN dist END AS dist, CASE WHEN status = 'matched' THEN (CASE WHEN hinted <> 'absent' THEN hinted WHEN refs IS NOT NULL THEN 'corridor' ELSE 'absent' END) END AS ref_quality FROM s""")
 def drip_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = overlay.sites(spark, sf_dir).where("site_id % 3 = 0")
-    near = spatial.distance_join(s.select("site_id", "x", "y"), overlay.lanes(spark, sf_dir), 500.0)
-    pairs = near.select(C("site_id").alias("panel"), C("source_id").cast("string").alias("segment"), "direction", C("source_id").alias("lane_id"), "ref", "line_bearing", F.round("dist", 6).alias("dist"))
-    return matching.match_panels(pairs, s.select(C("site_id").alias("panel"), "bearing", C("road_ref").alias("hint")))
+    """All panels, the 64 nearest lanes within 500 m each."""
+    k, road = C("site_id"), C("road_ref")
+    text = F.when(k % 4 == 0, F.concat(F.lit("DRIP "), road, F.lit(" noord"))).when(k % 4 == 1, F.concat(F.lit("paneel "), F.lower(F.substring(road, 1, 1)), F.lit("-"), F.lpad(F.substring(road, 2, 9), 3, "0"))).when(k % 4 == 2, F.lit("centrum"))
+    panels = overlay.sites(spark, sf_dir).select(k.alias("panel"), "x", "y", "bearing", text.alias("description"))
+    near = spatial.knn_within(panels.select("panel", "x", "y"), traversal_lanes(spark, sf_dir), "panel", "source_id", 500.0, 64, first=62.5).where("source_id is not null")
+    return matching.match_panels(near.withColumn("dist", F.round("dist", 6)), panels)
 
 
 @query(f"""WITH {overlay.SQL}, e AS (SELECT floor((min(lon) - 0) / 0.005)::BIGINT AS x0, floor(max(lon) / 0.005)::BIGINT AS x1, floor(min(lat) / 0.005)::BIGINT AS y0, floor(max(lat) / 0.005)::BIGINT AS y1 FROM site),
@@ -138,13 +200,14 @@ def tile_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("members"), F.count_if("core").alias("core"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT c_custkey AS loc, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey + 7 END AS nxt, (c_custkey % 3)::DOUBLE AS x FROM customer),
-w AS (SELECT loc AS start, loc, 0 AS hops, [loc] AS path FROM c WHERE loc % 4 = 0 UNION ALL SELECT w.start, c.nxt, hops + 1, list_append(path, c.nxt) FROM w JOIN c ON c.loc = w.loc WHERE c.nxt IS NOT NULL AND NOT list_contains(path, c.nxt) AND hops < 400 AND w.loc <> w.start + 21)
-SELECT start, array_to_string(max_by(path, hops), '>') AS path FROM w WHERE loc = start + 21 GROUP BY start""")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS loc, CASE WHEN c_custkey % 17 <> 0 THEN c_custkey + 7 END AS nxt FROM customer),
+w AS (SELECT loc AS start, loc, 0 AS hops, [loc] AS path FROM c UNION ALL SELECT w.start, c.nxt, hops + 1, list_append(path, c.nxt) FROM w JOIN c ON c.loc = w.loc WHERE c.nxt IS NOT NULL AND NOT list_contains(path, c.nxt) AND hops < 400 AND w.loc <> w.start + 70)
+SELECT start, array_to_string(max_by(path, hops), '>') AS path FROM w WHERE loc = start + 70 GROUP BY start""")
 def tmc_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every location to the one ten steps on."""
     k = C("c_custkey")
-    chain = table(spark, sf_dir, "customer").select(k.alias("loc"), F.when(k % 5 != 0, k + 7).alias("next"))
-    pairs = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(k.alias("start"), (k + 21).alias("goal"))
+    chain = table(spark, sf_dir, "customer").select(k.alias("loc"), F.when(k % 17 != 0, k + 7).alias("next"))
+    pairs = table(spark, sf_dir, "customer").select(k.alias("start"), (k + 70).alias("goal"))
     return chains.walk(chain, pairs, most=400).select("start", F.array_join("path", ">").alias("path"))
 
 
@@ -165,12 +228,12 @@ def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.one_per_band(s, ["device"], [500.0, 1500.0, 3000.0]).select("device", "band", "id", "held")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS line, l_linenumber AS seq, (l_linenumber * 120 + min(l_partkey) % 50)::DOUBLE AS along, max(l_quantity) AS speed FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2),
+@query("""WITH s AS (SELECT l_orderkey AS line, l_linenumber AS seq, (l_linenumber * 120 + min(l_partkey) % 50)::DOUBLE AS along, max(l_quantity) AS speed FROM lineitem GROUP BY 1, 2),
 n AS (SELECT *, lead(along) OVER w AS along2, lead(speed) OVER w AS speed2 FROM s WINDOW w AS (PARTITION BY line ORDER BY along, seq)),
 p AS (SELECT n.*, k FROM n, generate_series(0, 7) g(k) WHERE along2 - along >= 1)
 SELECT line, seq, k::INTEGER AS piece, round(along + (along2 - along) * k / 8, 4) AS start, round(along + (along2 - along) * (k + 1) / 8, 4) AS stop, round(speed + (speed2 - speed) * (k + 0.5) / 8, 4) AS speed FROM p""")
 def gradient_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _one_per_line(spark, sf_dir).where("l_orderkey % 10 = 0")
+    one = _one_per_line(spark, sf_dir)
     s = one.select(C("l_orderkey").alias("line"), C("l_linenumber").alias("seq"), (C("l_linenumber") * 120 + C("l_partkey") % 50).cast("double").alias("along"), C("l_quantity").alias("speed"))
     return ahead.gradient(s).select("line", "seq", "piece", F.round("start", 4).alias("start"), F.round("stop", 4).alias("stop"), F.round("speed", 4).alias("speed"))
 
@@ -183,7 +246,7 @@ def geojson_fc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT n_nationkey AS feed, CASE n_nationkey % 3 WHEN 0 THEN 'realtime' WHEN 1 THEN 'background' ELSE 'maintenance' END AS class, CASE WHEN n_nationkey % 3 = 0 THEN 60 WHEN n_nationkey % 3 = 1 THEN 3600 ELSE 86400 END AS cadence, n_nationkey % 7 = 0 AS in_flight, n_nationkey * 500 AS age, n_nationkey % 11 = 0 AS never FROM nation),
 d AS (SELECT * FROM f WHERE NOT in_flight AND (never OR age >= cadence) AND (class = 'realtime' OR (class = 'background' AND 600 >= 300) OR (class = 'maintenance' AND 600 >= 900))),
-r AS (SELECT feed, class, row_number() OVER (PARTITION BY class = 'realtime' ORDER BY never DESC, age DESC, feed) AS k FROM d) SELECT feed, class FROM r WHERE class = 'realtime' OR k <= 4""")
+r AS (SELECT feed, class, row_number() OVER (PARTITION BY class = 'realtime' ORDER BY feed) AS k FROM d) SELECT feed, class FROM r WHERE class = 'realtime' OR k <= 4 - (SELECT count(*) FROM f WHERE in_flight AND class <> 'realtime')""")
 def due_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = C("n_nationkey")
     kind = F.when(n % 3 == 0, F.lit("realtime")).when(n % 3 == 1, F.lit("background")).otherwise(F.lit("maintenance"))
@@ -206,22 +269,25 @@ def lane_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.cross_section(ways).select("way", "rule", "forward", "backward", "undirected")
 
 
-@query("""WITH n AS (SELECT l_orderkey AS way, l_linenumber AS pos, min(l_partkey) % 400 AS node FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2), m AS (SELECT node FROM n GROUP BY 1 HAVING count(DISTINCT way) > 1),
+@query("""WITH n AS (SELECT l_orderkey AS way, l_linenumber AS pos, min(l_partkey) % 400 AS node FROM lineitem GROUP BY 1, 2), m AS (SELECT node FROM n GROUP BY 1 HAVING count(DISTINCT way) > 1),
 e AS (SELECT way, max(pos) AS last, min(pos) AS first FROM n GROUP BY 1 HAVING count(*) > 1), r AS (SELECT way, node FROM n GROUP BY 1, 2 HAVING count(*) > 1),
 c AS (SELECT n.way, n.pos, n.node FROM n JOIN e USING (way) WHERE pos IN (first, last) OR node IN (SELECT node FROM m) OR (n.way, node) IN (SELECT way, node FROM r)),
 s AS (SELECT way, pos AS start_pos, lead(pos) OVER (PARTITION BY way ORDER BY pos) AS end_pos, node AS start_node, lead(node) OVER (PARTITION BY way ORDER BY pos) AS end_node FROM c)
 SELECT way, start_pos, end_pos, way::VARCHAR || ':' || start_node::VARCHAR || ':' || end_node::VARCHAR AS segment FROM s WHERE end_pos IS NOT NULL""")
 def logical_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _one_per_line(spark, sf_dir).where("l_orderkey % 5 = 0").select(C("l_orderkey").alias("way"), C("l_linenumber").alias("pos"), (C("l_partkey") % 400).alias("node"))
+    nodes = _one_per_line(spark, sf_dir).select(C("l_orderkey").alias("way"), C("l_linenumber").alias("pos"), (C("l_partkey") % 400).alias("node"))
     return lanes.logical_segments(nodes).select("way", "start_pos", "end_pos", "segment")
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'A00' || (p_size)::VARCHAR WHEN 1 THEN 'n ' || (p_size)::VARCHAR WHEN 2 THEN 'A' || (p_size)::VARCHAR || ';N' || (p_partkey % 300 + 100)::VARCHAR WHEN 3 THEN (p_size)::VARCHAR WHEN 4 THEN 'Kruisweg' ELSE 'A0' || (p_size)::VARCHAR || 'a' END AS s FROM part)
-SELECT id, s, list_aggregate(list_distinct(list_transform(regexp_extract_all(upper(s), '(?:^|[^A-Z0-9])([AN]?\\s*\\d+[A-Z]?)(?:$|[^A-Z0-9])', 1), lambda x: regexp_replace(replace(x, ' ', ''), '^([AN]?)0+([0-9])', '\\1\\2'))), 'string_agg', ',') AS roads FROM t WHERE p_ok(id) """.replace(" WHERE p_ok(id) ", " WHERE id % 6 <> 2"))
+@query("""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'A00' || (p_size)::VARCHAR WHEN 1 THEN 'n ' || (p_size)::VARCHAR WHEN 2 THEN 'A' || (p_size)::VARCHAR || ';N' || (p_partkey % 300 + 100)::VARCHAR || ' x9y' WHEN 3 THEN (p_size)::VARCHAR WHEN 4 THEN 'Kruisweg' ELSE 'A0' || (p_size)::VARCHAR || 'a' END AS s FROM part),
+w AS (SELECT id, s, unnest(regexp_split_to_array(regexp_replace(upper(s), '\\b([AN])\\s+(\\d)', '\\1\\2', 'g'), '[^A-Z0-9]+')) AS x, generate_subscripts(regexp_split_to_array(regexp_replace(upper(s), '\\b([AN])\\s+(\\d)', '\\1\\2', 'g'), '[^A-Z0-9]+'), 1) AS i FROM t),
+r AS (SELECT id, regexp_replace(x, '^([AN]?)0+([0-9])', '\\1\\2') AS x, min(i) AS i FROM w WHERE regexp_full_match(x, '[AN]?\\d+[A-Z]?') GROUP BY 1, 2)
+SELECT id, s, (SELECT string_agg(x, ',' ORDER BY i) FROM r WHERE r.id = t.id) AS roads FROM t""")
 def road_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = C("p_partkey"), C("p_size").cast("string")
-    s = F.when(k % 6 == 0, F.concat(F.lit("A00"), n)).when(k % 6 == 1, F.concat(F.lit("n "), n)).when(k % 6 == 3, n).when(k % 6 == 4, F.lit("Kruisweg")).otherwise(F.concat(F.lit("A0"), n, F.lit("a")))
-    rows = table(spark, sf_dir, "part").where(k % 6 != 2).select(k.alias("id"), s.alias("s"))
+    two = F.concat(F.lit("A"), n, F.lit(";N"), (k % 300 + 100).cast("string"), F.lit(" x9y"))
+    s = F.when(k % 6 == 0, F.concat(F.lit("A00"), n)).when(k % 6 == 1, F.concat(F.lit("n "), n)).when(k % 6 == 2, two).when(k % 6 == 3, n).when(k % 6 == 4, F.lit("Kruisweg")).otherwise(F.concat(F.lit("A0"), n, F.lit("a")))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), s.alias("s"))
     return rows.select("id", "s", F.when(F.size(refs.road_refs("s")) > 0, F.array_join(refs.road_refs("s"), ",")).alias("roads"))
 
 
@@ -249,14 +315,17 @@ def site_location_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), at["road"].alias("road"), at["carriageway"].alias("carriageway"), at["km"].alias("km"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey % 60 AS a, o_orderkey % 60 AS b, min(o_totalprice) AS w FROM orders WHERE o_orderkey % 60 <> o_custkey % 60 AND o_orderkey % 9 = 0 GROUP BY 1, 2),
-u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), g AS (SELECT a, b, min(w) AS w FROM u GROUP BY 1, 2),
-d AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, 0 AS hop UNION ALL SELECT node, min(dist) AS dist, hop FROM (SELECT g.b AS node, d.dist + g.w AS dist, d.hop + 1 AS hop FROM d JOIN g ON g.a = d.node WHERE d.hop < 12) GROUP BY node, hop)
-SELECT node, round(min(dist), 4) AS dist FROM d GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, 7 * o_orderkey % (SELECT max(c_custkey) FROM customer) AS b, min(o_totalprice) AS w FROM orders GROUP BY 1, 2),
+g AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM e WHERE a <> b UNION ALL SELECT b, a, w FROM e WHERE a <> b) GROUP BY 1, 2),
+d(node, dist) USING KEY (node) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION
+  SELECT g.b, min(d.dist + g.w) FROM d JOIN g ON g.a = d.node LEFT JOIN recurring.d AS k ON k.node = g.b WHERE k.dist IS NULL OR d.dist + g.w < k.dist GROUP BY g.b)
+SELECT node, round(dist, 4) AS dist FROM d""")
 def route_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 60 <> o_custkey % 60 and o_orderkey % 9 = 0")
-    edges = o.groupBy((C("o_custkey") % 60).alias("a"), (C("o_orderkey") % 60).alias("b")).agg(F.min("o_totalprice").alias("w"))
-    return routing.distances(edges, spark.createDataFrame([(0,)], "node long"), most=12).select("node", F.round("dist", 4).alias("dist"))
+    """From one node of a graph of all orders, whose nodes grow with the customers."""
+    most = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("most"))
+    o = table(spark, sf_dir, "orders").join(F.broadcast(most))
+    edges = o.select(C("o_custkey").alias("a"), (7 * C("o_orderkey") % C("most")).alias("b"), C("o_totalprice").alias("w")).where("a <> b")
+    return routing.distances(edges, spark.createDataFrame([(1,)], "node long")).select("node", F.round("dist", 4).alias("dist"))
 
 
 @query("""SELECT c_custkey AS sce, (1000000000 + c_custkey * 1000 + c_custkey % 1000 - 1000000000) // 1000 AS pair FROM customer""")
@@ -265,11 +334,11 @@ def camera_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("sce"), routing.pair_of(F.lit(1_000_000_000) + k * 1000 + k % 1000).alias("pair"))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS line, l_linenumber AS seq, (min(l_partkey) % 1000)::DOUBLE AS x, (min(l_suppkey) % 700)::DOUBLE AS y FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY 1, 2),
+@query("""WITH v AS (SELECT l_orderkey AS line, l_linenumber AS seq, (min(l_partkey) % 1000)::DOUBLE AS x, (min(l_suppkey) % 700)::DOUBLE AS y FROM lineitem GROUP BY 1, 2),
 d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS len FROM v WINDOW w AS (PARTITION BY line ORDER BY seq))
 SELECT line, seq, round(sum(len) OVER (PARTITION BY line ORDER BY seq ROWS UNBOUNDED PRECEDING), 4) AS along FROM d""")
 def cumulative_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _one_per_line(spark, sf_dir).where("l_orderkey % 8 = 0").select(C("l_orderkey").alias("line"), C("l_linenumber").alias("seq"), (C("l_partkey") % 1000).cast("double").alias("x"), (C("l_suppkey") % 700).cast("double").alias("y"))
+    v = _one_per_line(spark, sf_dir).select(C("l_orderkey").alias("line"), C("l_linenumber").alias("seq"), (C("l_partkey") % 1000).cast("double").alias("x"), (C("l_suppkey") % 700).cast("double").alias("y"))
     return lanes.cumulative(v).select("line", "seq", F.round("along", 4).alias("along"))
 
 

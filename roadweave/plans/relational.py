@@ -212,9 +212,9 @@ def zoom_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.tiered(table(spark, sf_dir, "part").select("p_partkey", F.expr(HIGHWAYS).alias("highway")), 9)
 
 
-@query("""SELECT event_id, user_id, total > 200 AS truncated FROM (SELECT event_id, user_id, count(*) OVER () AS total FROM events WHERE user_id < 40) ORDER BY event_id LIMIT 200""")
+@query("""SELECT event_id, user_id, total > 200 AS truncated FROM (SELECT event_id, user_id, count(*) OVER () AS total FROM events) ORDER BY event_id LIMIT 200""")
 def truncated_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.page(table(spark, sf_dir, "events").where("user_id < 40").select("event_id", "user_id"), [C("event_id")], 200)
+    return rel.page(table(spark, sf_dir, "events").select("event_id", "user_id"), [C("event_id")], 200)
 
 
 @query("""WITH loc AS (SELECT user_id AS uuid, arg_min(event_type, event_id) AS lane FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1),

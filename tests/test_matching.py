@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from roadweave.operators import chains, matching
-from roadweave.plans.network import gantry_pairs
 
 PAIRS = "site_id long, road_ref string, bearing double, num_lanes int, source_id long, dist double, line_bearing double, ref string, lane_count int, connected array<long>"
 
@@ -31,58 +30,80 @@ def test_refusal(spark):
     assert match(spark, ("A9", 0.0, 2), [(1, 90, "A9", 2)]).failure == "bearing_mismatch"
 
 
-GANTRY = "gantry long, sign long, road string, carriageway string, bearing double, segment string, direction string, lane_id long, ref string, lane_carriageway string, highway string, line_bearing double, dist double"
+SIGNS = "gantry long, sign long, road string, carriageway string, lane int, bearing double"
+LANES = "gantry long, sign long, segment string, direction string, lane_id long, lane_nr int, lane_count int, road_id long, ref string, lane_carriageway string, highway string, line_bearing double, dist double"
 
 
-def gantry(spark, rows):
-    return matching.match_gantries(spark.createDataFrame(rows, GANTRY)).first()
-
-
-def sign(bearing, segment, direction, angle, dist, road="A9", ref="A9", s=1, lane=1):
-    return (1, s, road, "R", bearing, segment, direction, lane, ref, None, "motorway", float(angle), float(dist))
+def gantry(spark, signs, lanes):
+    """signs: (sign, road, carriageway, lane, bearing); lanes: (sign, segment, direction, angle, dist[, options])."""
+    rows = []
+    for i, (s, segment, direction, angle, dist, *more) in enumerate(lanes):
+        o = {"lane_nr": 1, "lane_count": 1, "road": 7, "ref": "A9", "label": None, "highway": "motorway"} | (more[0] if more else {})
+        rows.append((1, s, segment, direction, i + 1, o["lane_nr"], o["lane_count"], o["road"], o["ref"], o["label"], o["highway"], float(angle), float(dist)))
+    got = matching.match_gantries(spark.createDataFrame([(1, *x) for x in signs], SIGNS), spark.createDataFrame(rows, LANES)).collect()
+    return {r["sign"]: r for r in got}
 
 
 def test_gantries(spark):
-    r = gantry(spark, [sign(90.0, "1:5:6", "fwd", 90, 1.0), sign(90.0, "1:5:6", "bwd", 270, 1.1)])
-    assert (r.status, r.direction, r.confidence) == ("matched", "fwd", "high")
-    r = gantry(spark, [sign(0.0, "200:1:2", "fwd", 0, 5.0, "N203", "N203"), sign(0.0, "201:3:4", "fwd", 0, 5.5, "N203", "N203")])
-    assert (r.status, r.reason) == ("ambiguous", "ambiguous_traversals")
-    assert gantry(spark, [sign(0.0, "200:1:2", "fwd", 0, 5.0), sign(0.0, "201:2:4", "fwd", 0, 5.5)]).status == "matched"
-    assert gantry(spark, [sign(None, "1:5:6", "fwd", 90, 1.0), sign(None, "1:5:6", "bwd", 270, 4.0)]).status == "ambiguous"
-    assert gantry(spark, [sign(0.0, "1:5:6", "fwd", 90, 1.0)]).reason == "bearing_mismatch"
-    assert gantry(spark, [sign(0.0, "1:5:6", "fwd", 0, 1.0, ref="A8")]).reason == "road_ref_conflict"
-    both = [sign(0.0, "1:1:2", "fwd", 0, 9.0, s=k) for k in (1, 2)] + [sign(0.0, "2:3:4", "fwd", 0, 1.0, s=1)]
-    assert gantry(spark, both).segment == "1:1:2"
-
-
-def test_gantry_invariants(spark):
-    sf = "/root/testdata/sf0.001"
-    pairs = {(r.gantry, r.segment, r.direction, r.lane_id) for r in gantry_pairs(spark, sf).collect()}
-    got = matching.match_gantries(gantry_pairs(spark, sf)).collect()
-    assert len(got) == len({r.gantry for r in got}) > 10
-    for r in got:
-        assert (r.status == "matched") == (r.segment is not None) == (r.confidence is not None) and (r.status == "matched") == (r.reason is None)
-        assert r.segment is None or ((r.gantry, r.segment, r.direction, r.lane_id) in pairs and r.dist <= 80)
-
-
-PANEL = "panel long, segment string, direction string, lane_id long, ref string, line_bearing double, dist double"
-
-
-def panel(spark, bearing, rows, hint=None):
-    p = spark.createDataFrame([(1, bearing, hint)], "panel long, bearing double, hint string")
+    one = [(1, "A9", "R", 1, 90.0)]
+    r = gantry(spark, one, [(1, "1:5:6", "fwd", 90, 1.0), (1, "1:5:6", "bwd", 270, 1.1)])[1]
+    assert (r.status, r.direction, r.confidence, r.reason, r.applies_to) == ("matched", "fwd", "high", None, 1)
+    # parallel roads of one number can't be told apart; the road going on at the shared node can; against the travel order it doesn't go on
+    pair = lambda a, b: gantry(spark, one, [(1, a, "fwd", 90, 5.0), (1, b, "fwd", 90, 5.5)])[1]
+    assert (pair("200:1:2", "201:3:4").status, pair("200:1:2", "201:3:4").reason) == ("ambiguous", "bearing_ambiguous")
+    assert pair("200:1:2", "201:2:4").status == "matched" and pair("200:1:2", "201:3:2").status == "ambiguous" and pair("200:0:0", "201:0:0").status == "ambiguous"
+    # without a bearing two directions of one road never are, however far apart
+    assert gantry(spark, [(1, "A9", "R", 1, None)], [(1, "1:5:6", "fwd", 90, 1.0), (1, "1:5:6", "bwd", 270, 4.0)])[1].status == "ambiguous"
+    assert gantry(spark, [(1, "A9", "R", 1, None)], [(1, "1:5:6", "fwd", 90, 1.0), (1, "2:7:8", "bwd", 270, 4.0, {"road": 8})])[1].confidence == "medium"
+    assert gantry(spark, [(1, "A9", "R", 1, 0.0)], [(1, "1:5:6", "fwd", 90, 1.0)])[1].reason == "bearing_mismatch"
+    assert gantry(spark, one, [(1, "1:5:6", "fwd", 90, 1.0, {"ref": "A8"})])[1].reason == "road_ref_conflict"
+    link = {"ref": "A8", "highway": "motorway_link"}
+    assert gantry(spark, one, [(1, "1:5:6", "fwd", 90, 5.0, link)])[1].ref_quality == "connector" and gantry(spark, one, [(1, "1:5:6", "fwd", 90, 5.1, link)])[1].reason == "road_ref_conflict"
+    # the sign's own label decides near ties; both bear it: the nearer
+    labelled = lambda a, b: gantry(spark, one, [(1, "1:5:6", "fwd", 90, 2.0, {"label": a}), (1, "2:7:8", "fwd", 90, 1.0, {"label": b})])[1]
+    assert labelled("Re", "Li").segment == "1:5:6" and labelled("Re", "Re").segment == "2:7:8" and labelled("b", None).segment == "2:7:8"
+
+
+def test_gantry_as_a_whole(spark):
+    three = [(k, "A9", "R", k, 0.0) for k in (1, 2, 3)]
+    lane = lambda n: {"lane_nr": n, "lane_count": 3}
+    lanes = [(s, "1:1:2", "fwd", 0, 9.0 + n, lane(n)) for s in (1, 2, 3) for n in (1, 2, 3)] + [(1, "2:3:4", "fwd", 0, 1.0)]
+    got = gantry(spark, three, lanes)
+    assert {(r.segment, r.status, r.confidence) for r in got.values()} == {("1:1:2", "matched", "high")}
+    assert [got[k].applies_to for k in (1, 2, 3)] == [1, 5, 9] and got[3].dist == 12.0 and got[1].candidates == 2
+    two = gantry(spark, three, [x for x in lanes if x[5:] != (lane(3),)])
+    assert (two[3].reason, two[3].lane_id is not None, two[3].applies_to, two[1].reason) == ("lane_mapping_missing", True, None, None)
+    assert {r.reason for r in gantry(spark, three[:2], lanes).values()} == {"lane_count_mismatch"}
+    part = gantry(spark, three, [x for x in lanes if x[0] != 3])
+    assert (part[1].confidence, part[3].status, part[3].reason) == ("low", "unmatched", "no_major_road")
+    report = matching.gantry_report(matching.match_gantries(spark.createDataFrame([(1, *x) for x in three], SIGNS), spark.createDataFrame([], LANES))).collect()
+    assert [(r.status, r.reason, r.signs) for r in report] == [("unmatched", "no_major_road", 3)]
+
+
+PANEL = "panel long, segment string, direction string, lane_id long, road_id long, ref string, line_bearing double, dist double"
+
+
+def panel(spark, bearing, rows, description=None):
+    p = spark.createDataFrame([(1, bearing, description)], "panel long, bearing double, description string")
     return matching.match_panels(spark.createDataFrame([(1, *r) for r in rows], PANEL), p).first()
 
 
 def test_panels(spark):
-    near, far = ("a", "fwd", 1, "A9", 10.0, 20.0), ("b", "fwd", 2, "A9", 12.0, 300.0)
-    assert tuple(panel(spark, 10.0, [near, far], "A9")[1:4]) == ("matched", None, "high")
-    assert panel(spark, 10.0, [near], "A4").ref_quality == "conflict" and panel(spark, 10.0, [near]).ref_quality == "corridor"
+    near, far = ("a", "fwd", 1, 1, "A9", 10.0, 20.0), ("b", "fwd", 2, 2, "A9", 12.0, 300.0)
+    assert tuple(panel(spark, 10.0, [near, far], "A9")[1:5]) == ("matched", None, "high", 2)
+    assert panel(spark, 10.0, [near], "DRIP A-4").ref_quality == "conflict" and panel(spark, 10.0, [near]).ref_quality == "corridor"
     assert tuple(panel(spark, 10.0, [far])[1:4]) == ("matched", None, "medium")
     assert panel(spark, 40.0, [far]).reason == "extended_bearing_too_weak"
     assert panel(spark, None, [far]).reason == "extended_requires_bearing"
-    assert panel(spark, None, [near, ("a", "bwd", 3, "A9", 190.0, 20.5)]).reason == "direction_ambiguous"
-    assert panel(spark, 100.0, [near]).reason == "bearing_mismatch"
-    assert panel(spark, 10.0, []).status == "unsupported"
+    # without a bearing two directions of a road are never told apart; two roads are from 2 m on
+    assert panel(spark, None, [near, ("a", "bwd", 3, 1, "A9", 190.0, 40.0)], "A9").reason == "direction_ambiguous"
+    assert panel(spark, None, [near, ("c", "bwd", 3, 5, "A9", 190.0, 23.0)]).status == "matched"
+    # the named road tells two near ones apart, also on one traversal at equal distance
+    other = ("c", "fwd", 3, 5, "A4", 10.0, 20.5)
+    assert panel(spark, 10.0, [near, other]).reason == "bearing_ambiguous" and panel(spark, 10.0, [near, other], "A 04 west").segment == "c"
+    assert panel(spark, 10.0, [near, ("a", "fwd", 0, 1, "A4", 10.0, 20.0)], "n9 a9").lane_id == 0
+    assert panel(spark, 10.0, [near, ("a", "fwd", 0, 1, "A4", 10.0, 20.0)], "a9").lane_id == 1
+    assert panel(spark, 100.0, [near]).reason == "bearing_mismatch" and panel(spark, 10.0, []).status == "unsupported"
 
 
 def test_chain_direction(spark):

@@ -110,7 +110,9 @@ def test_movements_and_lanes(spark):
     sized = pick.withColumns({"s_lanes": F.lit(3), "t_lanes": F.when(F.col("t_segment") == "c", 1).otherwise(3)})
     pairs = lanes.classified(lanes.assigned(sized)).collect()
     assert {(r.s_lane, r.t_lane) for r in pairs if (r.s_segment, r.t_segment) == ("a", "b")} == {(1, 1), (2, 2), (3, 3)}
-    assert [(r.s_lane, r.t_lane, r.kind_of_lane) for r in pairs if r.t_segment == "c"] == [(3, 1, "split")]
+    assert [(r.s_lane, r.t_lane, r.kind_of_lane) for r in pairs if r.t_segment == "c"] == [(3, 1, "continuation")]
+    wide = spark.createDataFrame([("a", "fwd", x, "b", "fwd", y) for x, y in ((1, 1), (2, 1), (2, 2), (2, 3), (3, 3))], "s_segment string, s_travel string, s_lane int, t_segment string, t_travel string, t_lane int")
+    assert {(r.s_lane, r.t_lane, r.kind_of_lane) for r in lanes.classified(wide).collect()} == {(1, 1, "continuation"), (2, 1, "join"), (2, 2, "split"), (2, 3, "split"), (3, 3, "join")}
     rules = spark.createDataFrame([("block", "a", "fwd", 3, "c", "fwd", 1), ("connect", "a", "fwd", 2, "c", "fwd", 1)], "action string, s_segment string, s_travel string, s_lane int, t_segment string, t_travel string, t_lane int")
     after = lanes.overridden(lanes.assigned(sized), rules).where("t_segment = 'c'").collect()
     assert [(r.s_lane, r.t_lane) for r in after] == [(2, 1)]
@@ -122,7 +124,7 @@ def test_trims_and_connectors(spark):
     assert got == {("s", "start"): 4.0, ("s", "end"): 4.0, ("t", "end"): 1.0}
     e = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 10.0, 0.0, 3.0), (2, 0.0, 0.0, 0.0, 10.0, 10.0, 90.0, 3.0), (3, 0.0, 0.0, 0.0, 0.0, 0.01, 0.0, 3.0)], "id int, x0 double, y0 double, b0 double, x1 double, y1 double, b1 double, handle double")
     assert {r.id: len(r.line) for r in lanes.connectors(e).collect()} == {1: 2, 2: 13}
-    assert [tuple(r) for r in spark.range(1).select(lanes.compatible(F.lit("left"), F.lit(-90.0)), lanes.compatible(F.lit("left"), F.lit(90.0)), lanes.compatible(F.lit("through;right"), F.lit(90.0))).collect()] == [(True, False, True)]
+    assert [tuple(r) for r in spark.range(1).select(lanes.compatible(F.lit("left"), F.lit(-90.0)), lanes.compatible(F.lit("left"), F.lit(90.0)), lanes.compatible(F.lit("through; Right"), F.lit(90.0)), lanes.compatible(F.lit("merge_to_left"), F.lit(0.0)), lanes.compatible(F.lit("through"), F.lit(30.0)), lanes.compatible(F.lit(None).cast("string"), F.lit(30.0))).collect()] == [(True, False, True, False, False, True)]
 
 
 def test_markings(spark):
@@ -166,7 +168,10 @@ def test_upcoming_and_context(spark):
 
 def test_states_over_fixes(spark):
     f = spark.createDataFrame([("d", f"2024-01-01 00:00:{s:02d}", x, 0.0, h, r) for s, x, h, r in ((0, 0.0, 0.0, "A9"), (5, 10.0, 0.0, "A9"), (10, 200.0, 0.0, "A9"), (15, 210.0, 130.0, "A9"), (20, 215.0, 130.0, "A2"))], "device string, ts string, x double, y double, heading double, road string").withColumn("ts", F.to_timestamp("ts"))
-    assert [r.action for r in ahead.context_states(f).orderBy("ts").collect()] == ["fetch", "keep", "fetch", "discard", "fetch"]
+    assert [r.action for r in ahead.context_states(f).orderBy("ts").collect()] == ["fetch", "keep", "fetch", "discard", "discard"]
+    # ten metres a fix: the fetch is the one 150 m after the last fetch, not after the fix before
+    slow = spark.createDataFrame([("d", s, s * 10.0, 0.0, None if s < 20 else 0.0, "A9") for s in range(24)], "device string, s int, x double, y double, heading double, road string").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.s for r in ahead.context_states(slow).where("action = 'fetch'").orderBy("s").collect()] == [0, 15, 20]
     h = spark.createDataFrame([("c", f"2024-01-01 00:00:{s:02d}", i) for s, i in ((0, "x"), (3, None), (9, None))], "channel string, ts string, id string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.shown for r in ahead.held_selection(h).orderBy("ts").collect()] == ["x", "x", None]
 
@@ -207,7 +212,9 @@ def test_schedule(spark):
     rows = [("r", "realtime", 60, False, 60), ("busy", "realtime", 60, True, 600), ("new", "background", 60, False, None), ("old", "background", 60, False, 900), ("m", "maintenance", 60, False, 900)]
     df = spark.createDataFrame(rows, "feed string, class string, cadence int, in_flight boolean, age int")
     names = lambda **o: {r.feed for r in schedule.due(df, **o).collect()}
-    assert names(idle=0) == {"r"} and names(idle=300) == {"r", "new", "old"} and names(idle=900) == {"r", "new", "old", "m"} and names(idle=900, bulk=1) == {"r", "new"}
+    assert names(idle=0) == {"r"} and names(idle=300) == {"r", "new", "old"} and names(idle=900) == {"r", "new", "old", "m"} and names(idle=900, bulk=1) == {"r", "m"}
+    held = df.unionByName(spark.createDataFrame([("b", "maintenance", 60, True, 5)], df.schema))
+    assert {r.feed for r in schedule.due(held, idle=900, bulk=3).collect()} == {"r", "m", "new"}
 
 
 def test_pages_and_truncation(spark):
