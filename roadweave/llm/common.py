@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, drop_scratch, fresh, materialize, qualified, scratch_dir, small
 
-__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "lower_ascii", "materialize", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "looked_up", "lower_ascii", "materialize", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
 
 #: The white space that separates words, and A-Z with a-z.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,3 +42,17 @@ def set_apart(df: DataFrame, needed: list[str]) -> tuple[DataFrame, dict[str, st
     """``df`` with all columns but the ``needed`` ones under names that clash with nothing, and every column's name there."""
     names = {c: c if c in needed else f"_column_{i}" for i, c in enumerate(df.columns)}
     return df.toDF(*names.values()), names
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """Left join of ``rows`` with ``known`` (a written table, one row a key).
+
+    A small table goes to all tasks and the rows stay where they are. Beyond that the rows of a hot
+    key are dealt over ``salts`` tasks by ``spread``, and each row of ``known`` is there for all.
+    """
+    marked = small(known)
+    if marked is not known:
+        return rows.join(marked, key, "left")
+    salt = fresh([*rows.columns, *known.columns], "_salt")
+    every = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(every, [key, salt], "left").drop(salt)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, small
+from .common import BROADCAST_ROWS, looked_up, materialize, small
 from .components import connected_components, forest_roots
 from .shingles import mix64, shingle_sets
 
@@ -41,8 +41,6 @@ from .shingles import mix64, shingle_sets
 CHUNK = 4096
 COLUMNS = 8192
 MEMBERS = 512
-#: Keys that the copies of a text are dealt over where they look up their class in a shuffle.
-SALTS = 16
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,9 +281,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
         raise ValueError("bands hold minima or maxima only: rows has to divide permutations")
     sigs = materialize(signatures(docs, width, permutations, rows))
     classes = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    # only copies look their class up; where many classes have copies, those of a class are dealt over SALTS keys
-    repeated = classes.where("n > 1").select("digest", F.col("rep").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = sigs.select("doc_id", "digest", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(small(materialize(repeated)), ["digest", "salt"], "left")
+    repeated = materialize(classes.where("n > 1").select("digest", F.col("rep").alias("least")))
+    members = looked_up(sigs.select("doc_id", "digest", "n_shingles"), repeated, "digest", F.col("doc_id"))
     members = members.withColumn("rep", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))))
     chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("digest"))
     reps = materialize(sigs.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))

@@ -32,13 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, qualified, scratch_dir, small
+from .common import looked_up, materialize, qualified, scratch_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 112 << 10
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -126,11 +125,8 @@ def decided(pages: DataFrame, least: int) -> DataFrame:
     repeated = (
         rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last")).where("n > 1 and last is not null").select("digest", "last")
     )
-    # few repeated payloads go to all tasks and the pages stay where they are; many meet the pages in a shuffle,
-    # where the copies of a payload are dealt over SALTS keys
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return rows.join(small(materialize(salted)), ["digest", "salt"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    found = looked_up(rows, materialize(repeated), "digest", F.struct("page_id", "url"))
+    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
 
 
 def write(pages: DataFrame, directory: str, least: int = 1000) -> DataFrame:

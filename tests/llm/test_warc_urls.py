@@ -10,7 +10,7 @@ from itertools import combinations
 import zstandard
 from pyspark.sql import functions as F
 
-from roadweave.llm import urlfilter, warc
+from roadweave.llm import common, urlfilter, warc
 from roadweave.llm.common import scratch_dir
 from roadweave.llm.queries import op7_url_filter
 
@@ -73,7 +73,7 @@ def test_folder_without_a_scheme(spark, tmp_path):
 
 
 def test_many_copies_meet_in_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(warc, "small", lambda df: df)
+    monkeypatch.setattr(common, "small", lambda df: df)
     rows = [(i, f"u{i}", "x" * 1000 if i % 3 else "y" * 2000) for i in range(90)] + [(None, "u", "z" * 1500)] * 2
     got = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
     assert len(got) == 92 and {(r.page_id, r.refers_to) for r in got} == {(i, None if i in (87, 89) else 89 if i % 3 else 87) for i in range(90)} | {(None, None)}
