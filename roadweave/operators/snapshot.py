@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 STAMP = "ingested_at"
 
 
-def last_of_batch(batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+def last_of_batch(batch: DataFrame, keys: Sequence[str], seq: str | Column) -> DataFrame:
     """The last row of each key by its place in the batch."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(seq).desc()))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy((F.col(seq) if isinstance(seq, str) else seq).desc()))
     return batch.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -116,25 +116,39 @@ def changed_roads(existing: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a version beside the others and point ``folder``/CURRENT to it; readers see all or nothing."""
+    """Write a version beside the others and point to it; readers see all or nothing, always one version.
+
+    Pointers are numbered files that appear by a rename and are never changed; the highest holds. Of
+    two writers of one number the later fails.
+    """
     spark = df.sparkSession
+    fs, path = _fs(spark, folder)
+    number = _newest(fs, path, folder) + 1
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    fs, path = _fs(spark, folder)
-    out = fs.create(path(f"{folder}/.CURRENT-{name}"), True)
+    fs.mkdirs(path(f"{folder}/current"))
+    out = fs.create(path(f"{folder}/.pointer-{name}"), True)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(path(f"{folder}/CURRENT"), False)
-    fs.rename(path(f"{folder}/.CURRENT-{name}"), path(f"{folder}/CURRENT"))
+    if not fs.rename(path(f"{folder}/.pointer-{name}"), path(f"{folder}/current/{number:09d}")):
+        raise RuntimeError(f"version {number} of {folder} has been published by another writer")
     return name
 
 
+def _newest(fs, path, folder: str) -> int:
+    """Number of the latest pointer, 0 without any."""
+    if not fs.exists(path(f"{folder}/current")):
+        return 0
+    return max((int(f.getPath().getName()) for f in fs.listStatus(path(f"{folder}/current")) if f.getPath().getName().isdigit()), default=0)
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
     """The published version, if any."""
     fs, path = _fs(spark, folder)
-    if not fs.exists(path(f"{folder}/CURRENT")):
+    number = _newest(fs, path, folder)
+    if not number:
         return None
-    name = spark.read.text(f"{folder}/CURRENT").first()[0]
+    name = spark.read.text(f"{folder}/current/{number:09d}").first()[0]
     return spark.read.parquet(f"{folder}/{name}")
 
 
