@@ -35,7 +35,7 @@ from tokenizers.models import BPE
 from .common import without
 
 #: Characters of different matches that a task remembers at most, and of one that is remembered.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 LONGEST = 64
 
 
@@ -88,8 +88,7 @@ class Codec:
         except KeyError:
             pass
         if self.size > REMEMBERED:
-            self.known.clear()
-            self.size = 0
+            self.forget()
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
         made = dict(zip(new, self._encoded(new), strict=True))
         kept = {p: e for p, e in made.items() if len(p) <= LONGEST}
@@ -97,6 +96,10 @@ class Codec:
         self.size += sum(map(len, kept))
         return b"".join([made[p] if p in made else self.known[p] for p in pieces])
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.size = 0
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -125,6 +128,8 @@ def _appended(docs: DataFrame, fields: dict[str, tuple[str, pa.DataType]], path:
             made = [row(own, t.as_py()) for t in b.column("text")]
             columns = zip(*made, strict=True) if made else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), v[1]) for c, v in zip(columns, fields.values(), strict=True))], names=[*b.schema.names, *fields])
+        own.forget()
+        pa.default_memory_pool().release_unused()  # a worker process lives on for other tasks
 
     return docs.mapInArrow(run, ", ".join(names))
 

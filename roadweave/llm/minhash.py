@@ -95,6 +95,7 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
                 [b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "digest", "n_shingles", "sketch", "bands"],
             )
+        pa.default_memory_pool().release_unused()  # a worker process lives on for other tasks
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, n_shingles long, sketch binary, bands array<long>")
 
