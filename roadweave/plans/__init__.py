@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "network", "details")
+MODULES = ("relational", "network", "details", "routes")
 
 
 def _modules():
