@@ -31,6 +31,11 @@ def _c(x: Column | str | float) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _power(x: Column, n: int) -> Column:
     out = F.lit(1.0)
     for _ in range(n):
@@ -128,8 +133,12 @@ def segments(line) -> Column:
     pairs = F.when(F.size(line) >= 2, F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len")))).otherwise(
         F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,len:double>>")
     )
-    sums = F.aggregate(pairs, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["len"])))
-    return F.zip_with(pairs, F.slice(sums, 1, F.greatest(F.size(pairs), F.lit(1))), lambda s, t: F.when(s.isNotNull(), F.struct(s["a"].alias("a"), s["b"].alias("b"), s["len"].alias("len"), t.alias("start"))))
+
+    def started(pairs: Column) -> Column:
+        sums = F.aggregate(pairs, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["len"])))
+        return F.zip_with(pairs, F.slice(sums, 1, F.greatest(F.size(pairs), F.lit(1))), lambda s, t: F.when(s.isNotNull(), F.struct(s["a"].alias("a"), s["b"].alias("b"), s["len"].alias("len"), t.alias("start"))))
+
+    return _let(pairs, started)
 
 
 def line_length(line) -> Column:
@@ -157,9 +166,12 @@ def point_at(line, metres) -> Column:
     """``struct<x, y>`` at this distance along the line, held to its ends."""
     m = _c(metres)
     held = F.filter(segments(line), lambda s: s.isNotNull() & (s["len"] > 0))
-    s = F.coalesce(F.try_element_at(F.filter(held, lambda s: s["start"] + s["len"] >= m), F.lit(1)), F.element_at(held, -1))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m - s["start"]) / s["len"]))
-    return F.when(F.size(held) > 0, F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y")))
+
+    def on(s: Column) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m - s["start"]) / s["len"]))
+        return F.when(s.isNotNull(), F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y")))
+
+    return _let(_let(held, lambda h: F.coalesce(F.try_element_at(F.filter(h, lambda s: s["start"] + s["len"] >= m), F.lit(1)), F.try_element_at(h, F.lit(-1)))), on)
 
 
 def clip(line, start, end) -> Column:
@@ -245,3 +257,27 @@ def segment_in_box(ax, ay, bx, by, box: tuple[float, float, float, float]) -> Co
 
 def line_in_box(line, box: tuple[float, float, float, float]) -> Column:
     return F.exists(F.filter(segments(line), lambda s: s.isNotNull()), lambda s: segment_in_box(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], box))
+
+
+def polygon_in_box(ring, box: tuple[float, float, float, float]) -> Column:
+    """Whether a polygon without holes meets a box (borders count): an edge does, or the box lies within it.
+
+    ``ring`` may repeat its first point at the end or not. Null where the ring is null.
+    """
+    ring = _c(ring)
+    closed, (x, y) = F.concat(ring, F.slice(ring, 1, 1)), box[:2]
+    right_of = lambda s: F.when((s["a"]["y"] > y) != (s["b"]["y"] > y), s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"]) > x)
+    crossed = F.size(F.filter(F.filter(segments(closed), lambda s: s.isNotNull()), lambda s: F.coalesce(right_of(s), F.lit(False))))
+    return line_in_box(closed, box) | (crossed % 2 == 1)
+
+
+def _unit(dx: Column, dy: Column) -> tuple[Column, Column]:
+    n = F.nullif(F.hypot(dx, dy), F.lit(0.0))
+    return dx / n, dy / n
+
+
+def lateral_shift(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Metres between the end of a-b and the start of c-d, square to their mean direction; null where there is none."""
+    (ux, uy), (vx, vy) = _unit(_c(bx) - _c(ax), _c(by) - _c(ay)), _unit(_c(dx) - _c(cx), _c(dy) - _c(cy))
+    tx, ty = _unit(ux + vx, uy + vy)
+    return F.abs((_c(cx) - _c(bx)) * ty - (_c(cy) - _c(by)) * tx)

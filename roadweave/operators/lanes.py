@@ -280,3 +280,9 @@ def compatible(token: Column, turn: Column) -> Column:
     """Whether one of the turn markings at ``;`` fits a signed turn in degrees; unknown markings fit nothing, no marking all."""
     each = lambda x: F.coalesce(*[F.when(x == k, turn.between(a, b)) for k, (a, b) in TURNS.items()], F.when(x == "reverse", F.abs(turn) >= 135), F.lit(False))
     return F.coalesce(F.exists(F.split(token, ";"), lambda x: each(F.lower(F.trim(x)))), F.lit(True))
+
+
+def traversal_groups(traversals: DataFrame) -> DataFrame:
+    """One row a (segment_id, direction) with its lanes in the order of their numbers; the first represents the group."""
+    lanes = F.array_sort(F.collect_list(F.struct("lane_nr", "lane_id")))
+    return traversals.groupBy("segment_id", "direction").agg(lanes.alias("lanes")).withColumn("representative", F.col("lanes")[0]["lane_id"])
