@@ -204,3 +204,14 @@ def context_roads(roads: DataFrame, selected: DataFrame, degrees: float, overrid
     if overrides is not None:
         ids.append(overrides.select("osm_id"))
     return _with_ids(roads, ids)
+
+
+def roads_in_view(roads: DataFrame, box: tuple[float, float, float, float], zoom: float, cap: int) -> DataFrame:
+    """Roads of the zoom's classes that meet the box, the first ``cap`` by id, with ``truncated``; none below zoom 7."""
+    return rel.page(rel.tiered(roads, zoom).where(geo.segment_in_box("ax", "ay", "bx", "by", box)), [F.col("osm_id")], cap)
+
+
+def match_json(fields: Sequence[str], lon: str = "matched_lon", lat: str = "matched_lat") -> Column:
+    """A match as compact JSON: ``fields`` in the given order, then ``matched_point``; nulls are written out."""
+    at = F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), F.array(lon, lat))
+    return F.to_json(F.struct(*fields, at.alias("matched_point")), {"ignoreNullFields": "false"})

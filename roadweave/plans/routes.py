@@ -275,3 +275,20 @@ def route_truck_parkings(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _columns(spark, sf_dir, "customer", {"id": K, "name": "c_name", "lon": _lon(K), "lat": _lat(K)})
     status = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("parking_id"), C("s_nationkey").alias("vacant"), C("s_acctbal").alias("occupancy_pct"))
     return routes.parkings(places, status, BOX, 400)
+
+
+CLASSES = "CASE p_partkey % 5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' ELSE 'motorway_link' END"
+
+
+@query(f"""WITH r AS ({_select(ROADS | {"highway": CLASSES}, "part")})
+SELECT osm_id, highway, count(*) OVER () > 120 AS truncated FROM r WHERE highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link') AND {_meets()} ORDER BY osm_id LIMIT 120""")
+def route_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.roads_in_view(_columns(spark, sf_dir, "part", ROADS | {"highway": CLASSES}), BOX, 10.5, 120).select("osm_id", "highway", "truncated")
+
+
+@query(f"""WITH a AS ({_select(ASSIGNMENTS, "part")}), l AS ({_select(LINKS, "part, (SELECT 0::INTEGER AS link_index)")})
+SELECT uuid, json_object('uuid', uuid, 'status', match_status, 'road_id', CASE WHEN match_status = 'matched' THEN matched_road_id END, 'matched_point', CASE WHEN matched_lon IS NOT NULL THEN [matched_lon, matched_lat] END)::VARCHAR AS result FROM a JOIN l USING (uuid)""")
+def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "part").withColumn("link_index", F.lit(0)).select(*[F.expr(e).alias(c) for c, e in LINKS.items()])
+    rows = _columns(spark, sf_dir, "part", ASSIGNMENTS).join(links, "uuid").withColumns({"status": C("match_status"), "road_id": F.when(C("match_status") == "matched", C("matched_road_id"))})
+    return rows.select("uuid", routes.match_json(["uuid", "status", "road_id"]).alias("result"))
