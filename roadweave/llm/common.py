@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, drop_scratch, fresh, materialize, qualified, scratch_dir, small
 
-__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "looked_up", "lower_ascii", "materialize", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "looked_up", "lower_ascii", "materialize", "portions", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
 
+#: Bytes of a column that a Python worker unpacks at once.
+PORTION = 2 << 20
 #: The white space that separates words, and A-Z with a-z.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +64,11 @@ def looked_up(rows: DataFrame, known: DataFrame, key: str, spread: Column, salts
     salt = fresh([*rows.columns, *known.columns], "_salt")
     every = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(every, [key, salt], "left").drop(salt)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of ``column``, so that what a worker unpacks is bounded; a longer value is alone."""
+    for b in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+        for a, z in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]):
+            yield b.slice(a, z - a)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, looked_up, materialize, small
+from .common import BROADCAST_ROWS, looked_up, materialize, portions, small
 from .components import connected_components, forest_roots
 from .shingles import mix64, shingle_sets
 
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
     functions = _functions(permutations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             digests, counts, sketches, bands = [], [], [], []
             for t, s in zip(texts, shingle_sets(texts, width), strict=True):
@@ -130,7 +130,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in portions(batches, "text"):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(digest_of, texts), pa.binary()), pa.array(map(packer.compress, texts), pa.binary())], names=["doc_id", "digest", "packed"])
 
@@ -146,14 +146,14 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in portions(batches, "y"):
             a = batch.column("a").to_pylist()
             px, py = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             known = {k: known[k] for k in {*a} if k in known}
             new = {k: p for k, p in zip(a, px, strict=True) if k not in known}
-            known |= dict(zip(new, shingle_sets([reader.decompress(p) for p in new.values()], width), strict=True))
+            known |= dict(zip(new, shingle_sets(map(reader.decompress, new.values()), width), strict=True))
             held = []
-            for k, s in zip(a, shingle_sets([reader.decompress(p) for p in py], width), strict=True):
+            for k, s in zip(a, shingle_sets(map(reader.decompress, py), width), strict=True):
                 both = len(np.intersect1d(known[k], s, assume_unique=True))
                 held.append(100 * both >= percent * (len(known[k]) + len(s) - both))
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
@@ -187,7 +187,7 @@ def _group_links(width: int, percent: int):
         reader = zstandard.ZstdDecompressor()
         group = group.group_by("rep").aggregate([("part", "min"), ("packed", "min")]) if group.num_rows > 1 else group.rename_columns({"part": "part_min", "packed": "packed_min"})
         ids, parts = group.column("rep").to_numpy(), group.column("part_min").to_numpy()
-        sets = list(shingle_sets([reader.decompress(p) for p in group.column("packed_min").to_pylist()], width))
+        sets = list(shingle_sets(map(reader.decompress, group.column("packed_min").to_pylist()), width))
         n = np.array([len(s) for s in sets])
         both = common_counts(sets)
         linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import materialize, portions, without
 
 WINDOW = 256
 LEVEL = 3
@@ -104,7 +104,7 @@ def _trained(pieces: list[bytes]) -> bytes:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """quality, digest, place and piece: all windows of the texts."""
-    for b in batches:
+    for b in portions(batches, "text"):
         for quality, digest, text in zip(*(b.column(c).to_pylist() for c in ("quality", "digest", "text")), strict=True):
             raw = text.encode()
             every = windows(raw) if raw.strip() else []
@@ -136,7 +136,7 @@ def dictionaries(texts: DataFrame) -> dict[int, bytes]:
 def _differences(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in portions(batches, "text"):
             yield b.select(["quality", "digest"]).append_column("x", pa.array([scorer.difference(t) for t in b.column("text").to_pylist()], pa.float64()))
 
     return run
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in portions(batches, "text"):
             scores = [scorer.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "quality_score"])
 

@@ -8,7 +8,7 @@ for different ones the chance of equal digests is about 2^-60 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -19,7 +19,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C13
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text that are digested at once; a longer text is digested alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _block_digests(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct digests of its ``width``-word shingles.
 
     Fewer words count as one shingle; no words give an empty set.
