@@ -3,7 +3,7 @@
 The rank file's tokens are byte strings; the library's BPE model works on characters, so each
 byte stands for one printable character. Every way to split a token into two tokens becomes a
 merge with the token's rank. Each match of the pattern is encoded on its own and whole matches
-that are tokens stay whole. Different matches are encoded once a batch and remembered (those of up
+that are tokens stay whole. Different matches are encoded once for each ``PORTION`` of texts and remembered (those of up
 to ``LONGEST`` characters, ``REMEMBERED`` characters in all; then forgotten), so a task's work
 follows its different words.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import without
+from .common import portions, without
 
 #: Characters of different matches that a task remembers at most, and of one that is remembered.
 REMEMBERED = 1_500_000
 LONGEST = 64
+#: Bytes of text that are matched, and new matches that are encoded, at once.
+PORTION = 1 << 20
+AT_ONCE = 4096
 
 
 def byte_characters() -> list[str]:
@@ -77,24 +81,28 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([visible(p.encode()) for p in pieces], add_special_tokens=False)]
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        for a in range(0, len(pieces), AT_ONCE):
+            made = self.tokenizer.encode_batch_fast([visible(p.encode()) for p in pieces[a : a + AT_ONCE]], add_special_tokens=False)
+            yield from (np.array(e.ids, "<u4").tobytes() for e in made)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        pieces = self.pattern.findall(text or "")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; matches not yet known are encoded together."""
         if self.size > REMEMBERED:
             self.forget()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        every = [self.pattern.findall(t or "") for t in texts]
+        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(every)) if p not in self.known]
         made = dict(zip(new, self._encoded(new), strict=True))
-        kept = {p: e for p, e in made.items() if len(p) <= LONGEST}
-        self.known |= kept
-        self.size += sum(map(len, kept))
-        return b"".join([made[p] if p in made else self.known[p] for p in pieces])
+        long = {p: e for p, e in made.items() if len(p) > LONGEST}
+        self.known |= made
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in every]
+        for p in long:
+            del self.known[p]
+        self.size += sum(map(len, made)) - sum(map(len, long))
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def forget(self) -> None:
         self.known.clear()
@@ -118,14 +126,15 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _appended(docs: DataFrame, fields: dict[str, tuple[str, pa.DataType]], path: str, pattern: str, row) -> DataFrame:
-    """``docs`` with the columns ``fields``, which ``row(codec, text)`` gives as a tuple."""
+    """``docs`` with the columns ``fields``, which ``row(codec, text, ids)`` gives as a tuple."""
     docs = without(docs, [*fields])
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{k}` {v[0]}" for k, v in fields.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
-            made = [row(own, t.as_py()) for t in b.column("text")]
+        for b in portions(batches, "text", PORTION):
+            texts = b.column("text").to_pylist()
+            made = [row(own, t, ids) for t, ids in zip(texts, own.encode_all(texts), strict=True)]
             columns = zip(*made, strict=True) if made else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), v[1]) for c, v in zip(columns, fields.values(), strict=True))], names=[*b.schema.names, *fields])
         own.forget()
@@ -140,8 +149,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, offsets: bool = False) ->
     if offsets:
         fields |= {"token_starts": ("array<long>", pa.list_(pa.int64())), "token_ends": ("array<long>", pa.list_(pa.int64()))}
 
-    def row(own: Codec, text: str | None) -> tuple:
-        ids = np.frombuffer(own.encode(text), "<u4")
+    def row(own: Codec, text: str | None, raw: bytes) -> tuple:
+        ids = np.frombuffer(raw, "<u4")
         return (ids.astype(np.int32), *own.offsets(text or "", ids)) if offsets else (ids.astype(np.int32),)
 
     return _appended(docs, fields, path, pattern, row)
@@ -165,8 +174,7 @@ def digested(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass."""
     fields = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
-    def row(own: Codec, text: str | None) -> tuple:
-        ids = own.encode(text)
+    def row(own: Codec, text: str | None, ids: bytes) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(np.frombuffer(ids, "<u4"))).hexdigest()
 
     return _appended(docs, fields, path, pattern, row)
@@ -174,7 +182,7 @@ def digested(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with n_tokens."""
-    return _appended(docs, {"n_tokens": ("long", pa.int64())}, path, pattern, lambda own, text: (len(own.encode(text)) // 4,))
+    return _appended(docs, {"n_tokens": ("long", pa.int64())}, path, pattern, lambda own, text, ids: (len(ids) // 4,))
 
 
 def with_text(docs: DataFrame) -> DataFrame:
