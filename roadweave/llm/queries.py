@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, minhash, mixing, quality, sharding, token_hist, topk, urlfilter, warc
+from . import bpe, embdedup, minhash, mixing, periodic, quality, sharding, token_hist, topk, urlfilter, warc
 from .common import table
 
 #: The vocabulary of the queries; the operators take any rank file and pattern.
@@ -68,8 +68,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.periodic(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_minhash, op3_quality, op4_token_counts, op5_warc, op6_topk, op7_url_filter, op8_bpe, op9_embedding_dedup, op10_sharding)
+    every = (op1_mixing, op2_minhash, op3_quality, op4_token_counts, op5_warc, op6_topk, op7_url_filter, op8_bpe, op9_embedding_dedup, op10_sharding, op11_periodic_runs)
     return {f.__name__: f for f in every}
 
 
