@@ -8,12 +8,12 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, drop_scratch, fresh, materialize, qualified, scratch_dir, small
 
-__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "looked_up", "lower_ascii", "materialize", "portions", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "drop_scratch", "fresh", "looked_up", "lower_ascii", "materialize", "numbered", "portions", "qualified", "scratch_dir", "set_apart", "small", "table", "without", "word_count", "words"]
 
 #: Bytes of a column that a Python worker unpacks at once.
 PORTION = 2 << 20
@@ -66,6 +66,22 @@ def looked_up(rows: DataFrame, known: DataFrame, key: str, spread: Column, salts
     return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(every, [key, salt], "left").drop(salt)
 
 
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``row_number`` from 0 in this order, without one task seeing all of them.
+
+    The sorted rows are written; a row's number is its place in its file plus the rows of all files
+    before. Where a task cuts its rows into several files (``spark.sql.files.maxRecordsPerFile``), their
+    names end with a counter, by which they follow each other.
+    """
+    name = F.col("_metadata.file_name")
+    file, place = fresh(rows.columns, "_file"), fresh(rows.columns, "_place")
+    there = materialize(rows.orderBy(*order)).select("*", name.alias(file), F.col("_metadata.row_index").alias(place))
+    in_order = Window.orderBy(F.regexp_extract(file, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)\.", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
+    before = fresh(rows.columns, "_before")
+    files = materialize(there.groupBy(file).count()).select(file, F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias(before))
+    return there.join(small(materialize(files)), file).withColumn("row_number", F.col(before) + F.col(place)).drop(file, place, before)
+
+
 def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of ``column``, so that what a worker unpacks is bounded; a longer value is alone."""
     for b in batches:

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, numbered
 
 ROUNDS = 6
 
@@ -47,19 +47,6 @@ def permuted(numbers: np.ndarray, count: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """``rows`` with ``row_number`` from 0 in this order, without one task seeing all of them.
-
-    The sorted rows are written; a row's number is its place in its file plus the rows of all
-    files before.
-    """
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    there = materialize(rows.orderBy(*order)).select("*", part.alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = materialize(there.groupBy("_file").count()).withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return there.join(small(materialize(files)), "_file").withColumn("row_number", F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
-
-
 def shard(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of every row of ``docs`` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
