@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, manifest, minhash, mixing, periodic, quality, sharding, token_hist, topk, urlfilter, warc
+from . import bpe, embdedup, licenses, manifest, minhash, mixing, periodic, quality, sharding, token_hist, topk, urlfilter, warc
 from .common import table
 
 #: The vocabulary of the queries; the operators take any rank file and pattern.
@@ -72,12 +72,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digested(periodic.periodic(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text")))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "places")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_minhash, op3_quality, op4_token_counts, op5_warc, op6_topk, op7_url_filter, op8_bpe, op9_embedding_dedup, op10_sharding, op11_periodic_runs, op13_merkle_manifest)
+    every = (op1_mixing, op2_minhash, op3_quality, op4_token_counts, op5_warc, op6_topk, op7_url_filter, op8_bpe, op9_embedding_dedup, op10_sharding, op11_periodic_runs, op12_license_scan, op13_merkle_manifest)
     return {f.__name__: f for f in every}
 
 
