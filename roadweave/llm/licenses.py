@@ -135,8 +135,11 @@ class Index:
             ok[ok] = _within(_standing(places, key), at[ok] - SLACK, at[ok] + len(template.words) + SLACK - len(key))
         if not ok.any():
             return None
-        best = int(np.where(ok, covered, -1).argmax())
-        return template.label, max(0, int(at[best])), len(template.words), min(1.0, float(covered[best]))
+        top = covered[ok].max()
+        at = at[ok & (covered >= top - 1e-9)]
+        # of displaced ones that weigh as much, the place that puts most words where they are
+        exact = sum(_within(places.get(w), at + p, at + p).astype(np.int64) for p, w in enumerate(template.words))
+        return template.label, max(0, int(at[exact.argmax()])), len(template.words), min(1.0, float(top))
 
 
 def _standing(places: dict[bytes, np.ndarray], phrase: list[bytes]) -> np.ndarray:
