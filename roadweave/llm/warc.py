@@ -32,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, materialize, qualified, scratch_dir
+from .common import looked_up, materialize, portions, qualified, scratch_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 112 << 10
+#: Bytes of an archive that are unpacked at first and at most at once.
+SLICE_BYTES = 2 << 10
+MOST_SLICE_BYTES = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -95,10 +98,17 @@ def records_of(data: bytes) -> Iterator[bytes]:
     raw, at = data[8 : 8 + n], 8 + n
     kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind)) if n else zstandard.ZstdDecompressor()
+    view = memoryview(data)
     while at < len(data):
-        one = reader.decompressobj()
-        yield one.decompress(memoryview(data)[at:])
-        at = len(data) - len(one.unused_data)
+        # slices that double: what a frame leaves of its last one is given back as a copy
+        one, parts, step = reader.decompressobj(), [], SLICE_BYTES
+        while not one.eof:
+            if at == len(data):
+                raise ValueError("the archive ends within a frame")
+            parts.append(one.decompress(view[at : at + step]))
+            at, step = min(len(data), at + step), min(2 * step, MOST_SLICE_BYTES)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(raw: bytes) -> dict:
@@ -149,7 +159,7 @@ def write(pages: DataFrame, directory: str, least: int = 1000) -> DataFrame:
             fs.move(attempt, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "records": [len(held)]})
 
-        for b in batches:
+        for b in portions(batches, "html"):
             for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 held.append(record(page_id, url, html, digest, refers_to))
                 size += len(held[-1])

@@ -5,8 +5,10 @@ import math
 import random
 import re
 import struct
+import time
 from itertools import combinations
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def test_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(h), hashlib.sha1(h).hexdigest(), "revisit" if revisit else "response", last[h] if revisit else None)
 
 
+def test_reading_takes_time_in_proportion():
+    """A full archive of small records; reading it again and again would take minutes."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    records = [warc.record(i, f"http://x/{i}", " ".join(rng.choices(words, k=400)).encode(), "00" * 20, None) for i in range(24_000)]
+    records[7] = warc.record(7, None, rng.randbytes(3 << 20), "00" * 20, None)
+    data = warc.archive(records)
+    began = time.process_time()
+    assert list(warc.records_of(data)) == records
+    assert sum(map(len, records)) > 60 << 20 and time.process_time() - began < 6
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        list(warc.records_of(data[:-5]))
+
+
 def test_archives_hold_dictionary_records_and_payloads(spark):
     rows = [(i, f"http://x/{i}", f"<html><body>page {i} of many that look alike</body></html>" * 3) for i in range(300)]
     folder = scratch_dir(spark) + "-w"
@@ -137,6 +153,18 @@ def counted(baskets, bad, least, confidence, most_items=4):
     return found
 
 
+def test_rules_of_many_tokens(spark):
+    """Only all six tokens together say block: no smaller combination is sure, none is cut off."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(2000):
+        on = [rng.random() < 0.75 for _ in range(6)] if i % 4 else [True] * 6
+        rows.append((i, "http://h/" + "/".join(c for c, x in zip("abcdef", on, strict=True) if x)))
+        labels.append((i, all(on)))
+    rules = urlfilter.mined(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, blocked boolean"), confidence=0.99)
+    assert [sorted(r["items"]) for r in rules.collect()] == [[f"p:{c}" for c in "abcdef"]]
+
+
 def like_pages(n=900):
     rng = random.Random(4)
     rows, labels = [], []
