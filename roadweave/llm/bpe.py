@@ -7,7 +7,8 @@ that are tokens stay whole. Different matches are encoded once for each ``PORTIO
 to ``LONGEST`` characters, ``REMEMBERED`` characters in all; then forgotten), so a task's work
 follows its different words.
 
-Decoding reverses the byte table. Tokens may end within a character; offsets in bytes become
+Decoding takes the characters of the ids' tokens from the tokenizer's vocabulary and reverses the byte
+table, once for each token of the vocabulary. Tokens may end within a character; offsets in bytes become
 offsets in characters with the number of characters begun before each byte, so a split character
 belongs to all tokens that hold a part of it.
 
@@ -64,6 +65,11 @@ def visible(data: bytes) -> str:
     return "".join(map(CHARACTERS.__getitem__, data))
 
 
+def unseen(characters: str) -> bytes:
+    """The bytes for which the characters of :func:`visible` stand."""
+    return bytes(map(BYTES.__getitem__, characters))
+
+
 def tokenizer(ranks: dict[bytes, int]) -> Tokenizer:
     vocab = {visible(t): r for t, r in ranks.items()}
     merges = [(visible(t[:i]), visible(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -74,10 +80,10 @@ class Codec:
     """A vocabulary with its pattern, one for each process and path."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = read_ranks(path)
-        self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.tokenizer = tokenizer(self.ranks)
+        self.tokenizer = tokenizer(read_ranks(path))
+        #: Bytes of each id: the characters of its token, back through the byte table.
+        self.tokens = {i: unseen(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.known: dict[str, bytes] = {}
         self.size = 0
 
