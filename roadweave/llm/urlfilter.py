@@ -8,9 +8,9 @@ reach ``confidence``. Of rules whose tokens include another rule's only the othe
 
 Mining takes three steps, none of which brings URLs or rules to the driver. Tokens are counted and
 those that are a rule by themselves are taken out: no larger combination adds to them. Tokens on
-just the same labelled URLs become one item. Spark's FP-growth finds the combinations of up to
-``most_items`` of these items among blocked URLs; a join on each combination's rarest token counts
-them among all labelled URLs. Longer combinations are not looked for, as a parameter says.
+just the same labelled URLs become one item. Spark's FP-growth finds the combinations of these items,
+of any number, among blocked URLs; a join on each combination's rarest token counts them among all
+labelled URLs.
 
 Matching is by inverted index: a rule lies under its rarest token, a URL looks up all its tokens.
 
@@ -60,7 +60,7 @@ def sure(hits: Column, n: Column, z: float = 1.96) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def mined(pages: DataFrame, labels: DataFrame, support: float = 0.0, confidence: float = 0.8, least: int = 20, most_items: int = 4) -> DataFrame:
+def mined(pages: DataFrame, labels: DataFrame, support: float = 0.0, confidence: float = 0.8, least: int = 20) -> DataFrame:
     """items, index, confidence (share of block among the URLs with the items) and support of the rules that say block.
 
     ``labels``: page_id, blocked.
@@ -85,7 +85,7 @@ def mined(pages: DataFrame, labels: DataFrame, support: float = 0.0, confidence:
     if baskets.isEmpty():
         return materialize(alone)
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / baskets.count()), minConfidence=1.0).fit(baskets).freqItemsets
-    sets = materialize(sets.where((F.size("items") > 1) & (F.size("items") <= most_items)).select(F.array_sort("items").alias("items")))
+    sets = materialize(sets.where(F.size("items") > 1).select(F.array_sort("items").alias("items")))
     # the rarest token of each combination, and how many labelled URLs have all its tokens
     rarest = sets.select("items", F.explode("items").alias("token")).join(small(items), "token").groupBy("items").agg(F.min(F.struct("n", "token")).alias("r")).select("items", F.col("r.token").alias("index"))
     held = known.select("blocked", "tokens", F.explode("tokens").alias("index")).join(small(materialize(rarest)), "index").where(F.size(F.array_except("items", "tokens")) == 0)
