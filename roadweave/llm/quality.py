@@ -42,7 +42,7 @@ LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 6000
 #: Bytes of text that a task trains a dictionary on.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
 KEEP = 0.7
 
 
@@ -127,8 +127,7 @@ def dictionaries(texts: DataFrame) -> dict[int, bytes]:
 
     def joined(key: tuple, group: pa.Table) -> pa.Table:
         every = group.sort_by("digest").column("dictionary").to_pylist()
-        one = every[0] if len(every) == 1 else _trained([w for d in every for w in windows(d)])
-        return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "dictionary": pa.array([one], pa.binary())})
+        return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "dictionary": pa.array([_trained([w for d in every for w in windows(d)])], pa.binary())})
 
     return {r.quality: bytes(r.dictionary) for r in first.groupBy("quality").applyInArrow(joined, "quality int, dictionary binary").collect()}
 

@@ -62,7 +62,12 @@ def test_no_labels(spark):
 
 
 CODEC = bpe.Codec(PATH, P.PATTERN)
-OWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={})
+OWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+
+
+def test_decoding_reverses_the_byte_table():
+    assert {i: bpe.unseen(t) for t, i in CODEC.tokenizer.get_vocab().items()} == {r: t for t, r in bpe.read_ranks(PATH).items()} == CODEC.tokens
+    assert all(bpe.unseen(bpe.visible(bytes([b]))) == bytes([b]) for b in range(256))
 
 
 def ids(text):
