@@ -5,7 +5,7 @@ values, the least and the greatest (Ji et al., Min-Max Hash for Jaccard Similari
 of ``rows`` minima or maxima are looked up; with 32 bands of 5 values a pair of similarity 0.8 is
 missed with probability (1 - 0.8^5)^32 = 3e-6, a more similar pair less often.
 
-Texts with equal words are one class, whatever their number. In each bucket the pairs (member,
+Texts with equal words are one class, whatever their number; classes are the nodes that are linked. In each bucket the pairs (member,
 least member) are candidates; those whose signature bytes agree too rarely for the threshold (four
 and a half standard deviations) fall, the others are confirmed on full shingle sets. Confirmed
 pairs make parts. A bucket with one part is done, which is what a bucket of copies comes to: it
@@ -17,8 +17,8 @@ same way, but exactly. So a pair of similarity 0.8 counts unless the two share n
 signature bytes agree too rarely.
 
 Defined results: texts without words, null texts and rows without doc_id link with nothing and
-are kept; rows that repeat a doc_id share its component; an empty table gives an empty table;
-other columns play no part.
+are kept; all texts of a doc_id are compared and share its component; an empty table gives an empty
+table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, looked_up, materialize, portions, small
+from .common import BROADCAST_ROWS, looked_up, materialize, numbered, portions, small
 from .components import connected_components, forest_roots
 from .shingles import mix64, shingle_sets
 
@@ -41,6 +41,8 @@ from .shingles import mix64, shingle_sets
 CHUNK = 4096
 COLUMNS = 8192
 MEMBERS = 512
+#: Bytes of compressed texts on a side of such a block.
+MEMBER_BYTES = 8 << 20
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, digest of the words, n_shingles, sketch (a byte of each value) and band keys."""
+    """doc_id, mark (md5 of the text), digest of the words, n_shingles, sketch (a byte of each value) and band keys."""
     functions = _functions(permutations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +94,12 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int) -> Dat
                     sketches.append(b"")
                     bands.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_shingles", "sketch", "bands"],
+                [b.column("doc_id"), b.column("mark"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "digest", "n_shingles", "sketch", "bands"],
             )
         pa.default_memory_pool().release_unused()  # a worker process lives on for other tasks
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, n_shingles long, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.md5("text").alias("mark")).mapInArrow(run, "doc_id long, mark string, digest binary, n_shingles long, sketch binary, bands array<long>")
 
 
 def least_agreement(threshold: float, values: int) -> float:
@@ -117,12 +119,12 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, permutations
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, values) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
 
-    x, y = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    x, y = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents (doc_id, digest) in ``wanted``, a written table.
+    """node and compressed text of the documents (doc_id, digest) in ``wanted`` (node, doc_id, digest), a written table.
 
     Few wanted ones go to all tasks and other texts are left where they are; many meet the
     compressed texts in a shuffle.
@@ -136,12 +138,13 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     if wanted.count() <= BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
-    return docs.mapInArrow(pack, "doc_id long, digest binary, packed binary").join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).drop("digest")
+        docs = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = docs.mapInArrow(pack, "doc_id long, digest binary, packed binary").join(wanted, ["doc_id", "digest"])
+    return found.dropDuplicates(["node"]).select("node", "packed")
 
 
 def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
@@ -158,7 +161,7 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
                 held.append(100 * both >= percent * (len(known[k]) + len(s) - both))
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    x, y = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
+    x, y = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -171,13 +174,13 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     of, column = of[shared], rank[column[shared]]
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
         m = np.zeros((len(sets), COLUMNS), np.float32)
         m[of[part], column[part] - lo] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+        out += (m @ m.T).astype(np.int64)  # a block's products are whole numbers that float32 holds
+    return out
 
 
 def _group_links(width: int, percent: int):
@@ -204,14 +207,16 @@ def _group_links(width: int, percent: int):
 def blocks_across(groups: DataFrame) -> DataFrame:
     """whole, i, j, rep and part: the blocks (whole, i, j) in which members of different parts meet.
 
-    ``groups``: rep, part and whole (the group). Members of a group's largest part meet the others
-    only, in blocks of up to ``MEMBERS`` by ``MEMBERS``: the largest part costs its size times
-    that of the rest.
+    ``groups``: rep, part, whole (the group) and weight (bytes of what a member brings). Members of a
+    group's largest part meet the others only, in blocks of about ``MEMBERS`` by ``MEMBERS`` members and
+    ``MEMBER_BYTES`` on a side: the largest part costs its size times that of the rest.
     """
-    sizes = groups.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
-    totals = sizes.groupBy("whole").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top")).where(F.col("all") > F.col("top.n"))
-    blocks = lambda n: F.ceil(n / F.lit(MEMBERS)).cast("int")
-    totals = materialize(totals.select("whole", F.col("top.part").alias("top"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("top.n")).alias("lines")))
+    sizes = groups.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    totals = sizes.groupBy("whole").agg(F.sum("n").alias("all"), F.sum("weight").alias("weight"), F.max(F.struct("n", "part", "weight")).alias("top")).where(F.col("all") > F.col("top.n"))
+    blocks = lambda n, weight: F.least(n, F.ceil(F.greatest(n / F.lit(MEMBERS), weight / F.lit(MEMBER_BYTES)))).cast("int")
+    totals = materialize(
+        totals.select("whole", F.col("top.part").alias("top"), blocks(F.col("all"), F.col("weight")).alias("columns"), blocks(F.col("all") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("lines"))
+    )
     rows = groups.join(small(totals), "whole")
     place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     as_column = rows.select("*", place(F.col("columns")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("i"))
@@ -220,7 +225,7 @@ def blocks_across(groups: DataFrame) -> DataFrame:
 
 
 def crowds(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """whole, rep and part of the members of buckets that hold several parts.
+    """whole, rep, part and weight (0) of the members of buckets that hold several parts.
 
     ``entries``: rep, n_shingles and key (the bucket). A pair of the threshold's similarity has sizes
     within its ratio, so that a bucket is split by size: a member is in the class of its size and in
@@ -232,7 +237,7 @@ def crowds(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
     several = held.groupBy("key", "size").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *same).where("lo <> hi")
     several = several.groupBy("n", "x", "y").agg(F.min(F.struct("key", "size")).alias("one")).select("one.key", "one.size")
-    return held.join(small(materialize(several)), ["key", "size"]).select(F.xxhash64("key", "size").alias("whole"), "rep", "part")
+    return held.join(small(materialize(several)), ["key", "size"]).select(F.xxhash64("key", "size").alias("whole"), "rep", "part", F.lit(0).alias("weight"))
 
 
 def likely_across(groups: DataFrame, sketches: DataFrame, threshold: float, permutations: int) -> DataFrame:
@@ -258,7 +263,7 @@ def likely_across(groups: DataFrame, sketches: DataFrame, threshold: float, perm
                 b.append(ids[touched][keep])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
-    dealt = blocks_across(groups).join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = blocks_across(groups).join(sketches.withColumnRenamed("node", "rep"), "rep")
     blocks = dealt.groupBy("whole", "i", "j").agg(F.collect_list(F.struct("rep", "part", "sketch")).alias("members"))
     return blocks.select("members").mapInArrow(run, "a long, b long").distinct()
 
@@ -268,39 +273,45 @@ def links_across(groups: DataFrame, packed: DataFrame, width: int, percent: int)
 
     Sets are compared exactly; what comes out is linear in the members.
     """
-    dealt = blocks_across(groups).join(packed.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = blocks_across(groups).join(packed.withColumnRenamed("node", "rep"), "rep")
     return dealt.groupBy("whole", "i", "j").applyInArrow(_group_links(width, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 80, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
+def text_groups(docs: DataFrame, width: int, percent: int, permutations: int, rows: int, same_ids: bool) -> DataFrame:
+    """doc_id, mark (md5 of the text), n_shingles, rep, own, head and leads of each row of ``docs``.
 
-    Two documents are linked if their sets of ``width``-word shingles (A-Z as a-z) have a Jaccard
-    similarity of at least ``percent`` / 100. component_id is the least doc_id reachable.
+    Nodes are classes of texts with equal words, numbered (rep) in the order of their least doc_ids (own).
+    ``same_ids``: classes that share a doc_id are connected. head is the least doc_id of the component;
+    leads says whether the row's class is that with the component's least number. Rows without words or
+    doc_id have no class.
     """
     if permutations % rows:
         raise ValueError("bands hold minima or maxima only: rows has to divide permutations")
     sigs = materialize(signatures(docs, width, permutations, rows))
-    classes = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    repeated = materialize(classes.where("n > 1").select("digest", F.col("rep").alias("least")))
-    members = looked_up(sigs.select("doc_id", "digest", "n_shingles"), repeated, "digest", F.col("doc_id"))
-    members = members.withColumn("rep", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))))
-    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("digest"))
-    reps = materialize(sigs.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
-    entries = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
+    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("own"))
+    classes = materialize(numbered(classes, [F.col("own"), F.col("digest")]).withColumnRenamed("row_number", "rep"))
+    members = looked_up(sigs.select("doc_id", "mark", "digest", "n_shingles"), classes, "digest", F.struct("doc_id", "mark"))
+    members = materialize(members.select("doc_id", "mark", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("rep", "own")]))
+    reps = sigs.join(classes.select("digest", F.col("own").alias("doc_id"), F.col("rep").alias("node")), ["doc_id", "digest"])
+    reps = materialize(reps.select("node", "doc_id", "digest", "n_shingles", "sketch", "bands").dropDuplicates(["node"]))
+    entries = reps.select(F.col("node").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
     pairs = entries.join(shared, "key").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialize(likely(pairs, reps.select("doc_id", "sketch"), percent / 100, permutations))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    packed = materialize(packed_texts(docs, materialize(reps.select("doc_id", "digest").join(ends, "doc_id", "left_semi"))))
-    parts = materialize(connected_components(confirmed(pairs, packed, width, percent)))
+    pairs = materialize(likely(pairs, reps.select("node", "sketch"), percent / 100, permutations))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    packed = materialize(packed_texts(docs, materialize(reps.select("node", "doc_id", "digest").join(ends, "node", "left_semi"))))
+    links = confirmed(pairs, packed, width, percent)
+    if same_ids:
+        several = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+        links = links.unionByName(members.join(small(materialize(several)), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    parts = materialize(connected_components(links))
 
     # what shares a bucket of several parts, but is like its least member in none
     crowded = materialize(crowds(entries.join(shared.where("n > 2").select("key"), "key"), parts, percent))
-    rest = materialize(likely_across(crowded, reps.select("doc_id", "sketch"), percent / 100, permutations))
+    rest = materialize(likely_across(crowded, reps.select("node", "sketch"), percent / 100, permutations))
     pairs = pairs.unionByName(rest)
-    late = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(ends, "doc_id", "left_anti")
-    late = materialize(reps.select("doc_id", "digest").join(late, "doc_id", "left_semi"))
+    late = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ends, "node", "left_anti")
+    late = materialize(reps.select("node", "doc_id", "digest").join(late, "node", "left_semi"))
     if not late.isEmpty():
         packed = packed.unionByName(materialize(packed_texts(docs, late)))
 
@@ -308,17 +319,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     contracted = lambda edges: edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     wholes = materialize(connected_components(contracted(pairs))).select(F.col("id").alias("part"), F.col("component").alias("whole"))
-    groups = packed.select(F.col("doc_id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"))
-    groups = materialize(groups.join(wholes, "part"))
-    more = links_across(groups, packed, width, percent)
-    joined = connected_components(contracted(more)).select(F.col("id").alias("_part"), F.col("component").alias("_joined"))
-    return (
-        members.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-        .withColumn("_part", F.coalesce("component", "rep"))
-        .join(joined, "_part", "left")
-        .select("doc_id", "n_shingles", F.coalesce("_joined", "_part", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    groups = packed.select(F.col("node").alias("rep"), F.octet_length("packed").cast("long").alias("weight")).join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    groups = materialize(groups.select("rep", "weight", F.coalesce("component", "rep").alias("part")).join(wholes, "part"))
+    joined = connected_components(contracted(links_across(groups, packed, width, percent))).select(F.col("id").alias("part"), F.col("component").alias("joined"))
+    # each linked class with the least number of its component, and that one's doc_id
+    linked = parts.select(F.col("id").alias("rep"), F.col("component").alias("part")).join(joined, "part", "left").select("rep", F.coalesce("joined", "part").alias("lead"))
+    linked = materialize(linked.unionByName(joined.join(parts.select(F.col("id").alias("part")), "part", "left_anti").select(F.col("part").alias("rep"), F.col("joined").alias("lead"))))
+    heads = materialize(classes.select(F.col("rep").alias("lead"), F.col("own").alias("head")).join(linked.where("rep = lead").select("lead"), "lead", "left_semi"))
+    linked = materialize(looked_up(linked, heads, "lead", F.col("rep")))
+    found = looked_up(members, linked, "rep", F.col("doc_id"))
+    return found.select("doc_id", "mark", "n_shingles", "rep", "own", F.coalesce("head", "own").alias("head"), F.coalesce(F.col("rep") == F.col("lead"), F.lit(True)).alias("leads"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 80, rows: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
+
+    Two documents are linked if their sets of ``width``-word shingles (A-Z as a-z) have a Jaccard
+    similarity of at least ``percent`` / 100. component_id is the least doc_id reachable.
+    """
+    found = text_groups(docs, width, percent, permutations, rows, same_ids=True)
+    return found.select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def repeats(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 80, rows: int = 5) -> DataFrame:
+    """doc_id and mark (md5 of the text) of the texts of ``docs`` that near-duplicates of a kept one repeat.
+
+    Links are those of texts: a second text of a doc_id has a component of its own, if it isn't linked
+    with the first. Of each component the class of texts with the least doc_id stays, and of that class
+    the row of this doc_id with the least mark.
+    """
+    found = materialize(text_groups(docs, width, percent, permutations, rows, same_ids=False).where("rep is not null"))
+    several = found.where("leads and doc_id = own").groupBy("rep").agg(F.min("mark").alias("least"), F.max("mark").alias("greatest")).where("least <> greatest").select("rep", "least")
+    other = found.where("leads and doc_id = own").join(small(materialize(several)), "rep").where("mark <> least")
+    return found.where("not leads or doc_id <> own").select("doc_id", "mark").unionByName(other.select("doc_id", "mark")).distinct()
 
 
 SQL = r"""

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs of plain Python sets."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -132,3 +133,38 @@ def test_copies_behind_long_quoting_documents(spark):
     got = {d: c for d, _, c, _ in found(spark, rows, 5)}
     assert (got[5030], got[5060]) == (5030, 5030)
     assert all(got[i] == i for i in range(2000))
+
+
+def near(rng, text, changes=1):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+    return " ".join(words)
+
+
+def test_all_texts_of_an_id_are_compared(spark):
+    """Ids with two and more texts, copies and near copies of each; also with blocks weighed by bytes."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    rows = []
+    for i in range(60):
+        a, b = text(), text()
+        rows += [(10 * i + 3, a), (10 * i + 3, b), (10 * i + 5, near(rng, a)), (10 * i + 7, near(rng, b)), (10 * i + 1 + 3 * (i % 2), b)]
+    rows += [(9, "A b c d"), (9, "B q r s t"), (12, "A b c d z y x w v u"), (13, "B q r s t z")]
+    assert found(spark, rows, 2) == brute(rows, 2)
+    before, minhash.MEMBER_BYTES = minhash.MEMBER_BYTES, 300
+    try:
+        assert found(spark, rows, 5) == brute(rows, 5)
+    finally:
+        minhash.MEMBER_BYTES = before
+
+
+def test_repeats_are_those_of_texts(spark):
+    """A second text of a repeated id stays; of one class one row stays."""
+    rng = random.Random(9)
+    a, b = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    rows = [(5, a), (9, near(rng, a)), (9, b), (12, near(rng, b)), (9, b.upper()), (9, b), (None, a), (3, None), (4, "")]
+    gone = minhash.repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    mark = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert {tuple(r) for r in gone} == {(9, mark(rows[1][1])), (12, mark(rows[3][1])), (9, max(mark(b), mark(b.upper())))}
+    assert len(gone) == 3
