@@ -32,13 +32,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near-duplicates (five-word shingles, similarity 0.8), and of each group the least doc_id.
 
-    Of rows that repeat doc_id and text one stays, whichever its other columns. Texts without words,
-    null texts and rows without doc_id have no duplicates; an empty table gives an empty table. No
-    column name clashes with those of the joins.
+    Texts are judged, not their ids: of two texts under one doc_id each has its own duplicates. Of rows
+    that repeat doc_id and text one stays, whichever its other columns. Texts without words, null texts
+    and rows without doc_id have no duplicates; an empty table gives an empty table. No column name
+    clashes with those of the joins.
     """
-    dropped, repeated = fresh(docs.columns, "_dropped"), fresh(docs.columns, "_repeated")
-    gone = materialize(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(dropped)).distinct())
-    left = docs.join(small(gone), F.col("doc_id") == F.col(dropped), "left_anti")
+    dropped, gone_mark, repeated = (fresh(docs.columns, c) for c in ("_dropped", "_mark", "_repeated"))
+    gone = materialize(minhash.repeats(docs).select(F.col("doc_id").alias(dropped), F.col("mark").alias(gone_mark)))
+    left = docs.join(small(gone), (F.col("doc_id") == F.col(dropped)) & (F.md5("text") == F.col(gone_mark)), "left_anti")
     twice = left.where("doc_id is not null").groupBy(F.col("doc_id").alias(repeated), F.md5("text")).count().where("count > 1").select(repeated).distinct()
     twice = small(materialize(twice))
     once = left.join(twice, F.col("doc_id") == F.col(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
