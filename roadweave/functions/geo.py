@@ -182,23 +182,46 @@ def clip(line, start, end) -> Column:
     return F.when(_c(start) > _c(end), F.reverse(out)).otherwise(out)
 
 
-def bezier(x0, y0, bearing0, x1, y1, bearing1, reach, samples: int = 12, most: float = 15.0) -> Column:
+def bezier(x0, y0, bearing0, x1, y1, bearing1, reach, samples: int | Column = 12, most: float = 15.0, reach1=None) -> Column:
     """Cubic curve that leaves and arrives in these compass bearings, as samples + 1 points.
 
-    Its handles are ``reach`` long, from 0 to ``most``; 0.45 of the ends' distance where it is null.
+    Its handles are ``reach`` long (the second one ``reach1``, if given), from 0 to ``most``; 0.45 of
+    the ends' distance where it is null.
     """
     span = F.hypot(_c(x1) - _c(x0), _c(y1) - _c(y0))
-    reach = F.least(F.lit(most), F.greatest(F.lit(0.0), F.coalesce(_c(reach), span * 0.45)))
-    hx0, hy0 = _c(x0) + _c(reach) * F.sin(F.radians(_c(bearing0))), _c(y0) + _c(reach) * F.cos(F.radians(_c(bearing0)))
-    hx1, hy1 = _c(x1) - _c(reach) * F.sin(F.radians(_c(bearing1))), _c(y1) - _c(reach) * F.cos(F.radians(_c(bearing1)))
+    held = lambda r: F.least(F.lit(most), F.greatest(F.lit(0.0), span * 0.45 if r is None else F.coalesce(_c(r), span * 0.45)))
+    r0, r1 = held(reach), held(reach if reach1 is None else reach1)
+    hx0, hy0 = _c(x0) + r0 * F.sin(F.radians(_c(bearing0))), _c(y0) + r0 * F.cos(F.radians(_c(bearing0)))
+    hx1, hy1 = _c(x1) - r1 * F.sin(F.radians(_c(bearing1))), _c(y1) - r1 * F.cos(F.radians(_c(bearing1)))
+    samples = samples if isinstance(samples, Column) else F.lit(samples)
 
     def at(k: Column) -> Column:
-        t = k / F.lit(float(samples))
+        t = k / samples.cast("double")
         u = F.lit(1.0) - t
         f = lambda a, b, c, d: u * u * u * a + 3 * u * u * t * b + 3 * u * t * t * c + t * t * t * d
         return F.struct(f(_c(x0), hx0, hx1, _c(x1)).alias("x"), f(_c(y0), hy0, hy1, _c(y1)).alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(samples)), at)
+    return F.transform(F.sequence(F.lit(0), samples), at)
+
+
+def _cut(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether segments a-b and c-d cross within both (ends that touch don't)."""
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+
+
+def crosses(line, other) -> Column:
+    """Whether two lines cross: a segment of one and a segment of the other do."""
+    line, other = _c(line), _c(other)
+    upto = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(upto(line), lambda i: F.exists(upto(other), lambda j: _cut(F.get(line, i - 1), F.get(line, i), F.get(other, j - 1), F.get(other, j))))
+
+
+def crosses_itself(line) -> Column:
+    """Whether two segments of a line cross that don't follow each other."""
+    line = _c(line)
+    upto = F.when(F.size(line) > 1, F.sequence(F.lit(1), F.size(line) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(upto, lambda i: F.exists(upto, lambda j: (j > i + 1) & _cut(F.get(line, i - 1), F.get(line, i), F.get(line, j - 1), F.get(line, j))))
 
 
 def interpolated(x, table: list[tuple[float, float]]) -> Column:
