@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "network", "details", "routes", "functions")
+MODULES = ("relational", "network", "details", "routes", "functions", "lanes")
 
 
 def _modules():
