@@ -83,13 +83,36 @@ def section_progress(lines: DataFrame, px, py) -> DataFrame:
     return lines.withColumn("_at", at).where("_at.dist <= 60").withColumns({"progress": F.col("_at.along") / F.col("_at.total"), "left": F.col("_at.total") - F.col("_at.along")}).drop("_at")
 
 
-def gradient(sensors: DataFrame, pieces: int = 8, least: float = 1.0) -> DataFrame:
-    """Linear speed pieces between neighbouring sensors (line, seq, along, speed); spans under ``least`` merge."""
-    w = Window.partitionBy("line").orderBy("along", "seq")
-    spans = sensors.withColumns({"_to": F.lead("along").over(w), "_speed": F.lead("speed").over(w)}).where(F.col("_to") - F.col("along") >= least)
-    cut = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    at = lambda c, to, k: F.col(c) + (F.col(to) - F.col(c)) * k / float(pieces)
-    return cut.withColumns({"start": at("along", "_to", F.col("piece")), "stop": at("along", "_to", F.col("piece") + 1), "_mid": at("speed", "_speed", F.col("piece") + 0.5)}).drop("speed", "_to", "_speed").withColumnRenamed("_mid", "speed")
+def gradient(sensors: DataFrame, pieces: int = 8, least: float = 1.0, shortest: float = 0.5) -> DataFrame:
+    """(line, piece, start, stop, speed) along lines with ``sensors`` (line, seq, along, speed, total: the line's length).
+
+    From the start, a reading under ``least`` metres beyond a node's first joins it, with the mean of both
+    speeds; any other begins a node. Between two nodes the speed goes linearly over ``pieces`` pieces;
+    before the first and behind the last it stays. Pieces under ``shortest`` metres are left out, and
+    lines of fewer than two nodes have none: they keep their own speed.
+    """
+    rows = sensors.where("speed is not null and along is not null").groupBy("line").agg(F.array_sort(F.collect_list(F.struct(F.col("along").cast("double").alias("along"), "seq", F.col("speed").cast("double").alias("speed")))).alias("_s"), F.max("total").cast("double").alias("_total"))
+    node = lambda along, speed: F.struct(along.alias("along"), speed.alias("speed"))
+
+    def met(nodes: Column, s: Column) -> Column:
+        top = F.element_at(nodes, -1)
+        joined = F.concat(F.slice(nodes, F.lit(1), F.size(nodes) - 1), F.array(node(top["along"], (top["speed"] + s["speed"]) / 2)))
+        return F.when(s["along"] - top["along"] < least, joined).otherwise(F.concat(nodes, F.array(node(s["along"], s["speed"]))))
+
+    first = F.array(node(F.get("_s", F.lit(0))["along"], F.get("_s", F.lit(0))["speed"]))
+    rows = rows.withColumn("_n", F.reduce(F.slice("_s", F.lit(2), F.size("_s")), first, met)).where("size(_n) > 1")
+    ends = lambda a, b, speed: F.struct(a.alias("start"), b.alias("stop"), speed.alias("speed"))
+
+    def cut(i: Column) -> Column:
+        a, b = F.get("_n", i), F.get("_n", i + 1)
+        at = lambda c, k: a[c] + (b[c] - a[c]) * k / float(pieces)
+        return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: ends(at("along", k), at("along", k + 1), at("speed", k + 0.5)))
+
+    head, tail = F.get("_n", F.lit(0)), F.element_at("_n", -1)
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_n") - 2), cut))
+    whole = F.concat(F.array(ends(F.lit(0.0), head["along"], head["speed"])), spans, F.array(ends(tail["along"], F.col("_total"), tail["speed"])))
+    cuts = rows.select("line", F.posexplode(whole).alias("piece", "_c"))
+    return cuts.select("line", "piece", "_c.start", "_c.stop", F.round("_c.speed", 1).alias("speed")).where(F.col("stop") - F.col("start") >= shortest)
 
 
 def main_and_extra(sites: DataFrame) -> DataFrame:

@@ -11,26 +11,28 @@ from ..scratch import materialize
 def walk(chain: DataFrame, pairs: DataFrame, most: int = 400) -> DataFrame:
     """(start, goal, path) of pairs whose goal is reached along ``chain`` (loc, next) in ``most`` steps.
 
-    All walks advance together by one join a round; those that arrive, end or turn in a circle
-    leave. Every eighth round is written, so plans stay short.
+    By doubling: a table holds the next 2^k places of each place and is joined with itself for the next
+    power, and each round gives all walks that many places more, so 400 steps take nine rounds. A walk
+    leaves where its goal is among its places or the chain ends; one in a circle has met all it will ever
+    meet within ``most`` steps. Both tables are written a round.
     """
-    live = pairs.select("start", "goal", F.col("start").alias("at"), F.array("start").alias("path"))
-    done = live.where("at = goal")
-    live = live.where("at <> goal")
-    steps = chain.where("next is not null").select(F.col("loc").alias("at"), "next")
-    for n in range(most):
-        moved = live.join(steps, "at").where(~F.array_contains("path", F.col("next")))
-        live = moved.select("start", "goal", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
-        if n % 8 == 7 or n == most - 1:
-            live = materialize(live)
-            done = done.unionByName(live.where("at = goal"))
-            live = live.where("at <> goal")
-            if live.isEmpty():
-                break
-        else:
-            done = done.unionByName(live.where("at = goal"))
-            live = live.where("at <> goal")
-    return done.select("start", "goal", "path")
+    pairs = pairs.select("start", "goal")
+    ahead = chain.where("next is not null and loc is not null").select("loc", F.array("next").alias("ahead"))
+    done = pairs.where("start = goal").select("start", "goal", F.array("start").alias("path"))
+    live = pairs.where("start <> goal").select("start", "goal", F.array("start").alias("path"))
+    size = 1
+    while True:
+        moved = live.withColumn("loc", F.element_at("path", -1)).join(ahead, "loc")
+        moved = moved.select("start", "goal", F.concat("path", "ahead").alias("path"), (F.size("ahead") == size).alias("_whole"))
+        moved = materialize(moved.withColumn("_at", F.array_position("path", F.col("goal"))))
+        done = done.unionByName(moved.where(f"_at > 0 and _at <= {most + 1}").select("start", "goal", F.slice("path", F.lit(1), F.col("_at").cast("int")).alias("path")))
+        live = moved.where(f"_at = 0 and _whole and size(path) <= {most}").select("start", "goal", "path")
+        if live.isEmpty():
+            return done
+        further = ahead.select(F.col("loc").alias("_end"), F.col("ahead").alias("_more"))
+        longer = ahead.withColumn("_end", F.when(F.size("ahead") == size, F.element_at("ahead", -1))).join(further, "_end", "left")
+        ahead = materialize(longer.select("loc", F.when(F.col("_more").isNotNull(), F.concat("ahead", "_more")).otherwise(F.col("ahead")).alias("ahead")))
+        size *= 2
 
 
 def walk_both(tmc: DataFrame, pairs: DataFrame, most: int = 400) -> DataFrame:
@@ -49,6 +51,31 @@ def line_of(paths: DataFrame, points: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.filter("line", lambda p, i: (i == 0) | (p != F.get("line", i - 1))))
 
 
+def road_line_of(paths: DataFrame, points: DataFrame, chain: DataFrame, roads: DataFrame) -> DataFrame:
+    """(start, goal, line) along the roads of each path; paths that come to fewer than two points are left out.
+
+    ``points``: loc, x, y; ``chain``: loc, lin_ref (the road of a place); ``roads``: lin_ref, line. Between two
+    places of one road the line is that road's from one place's projection to the other's, turned into
+    this order; else, or where a place or the road has no geometry, it is straight. Points that repeat
+    the one before are left out.
+    """
+    from ..functions import geo
+
+    steps = paths.where("size(path) > 1").select("start", "goal", "path", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos", "a")).withColumn("b", F.get("path", F.col("pos") + 1)).drop("path")
+    spot = lambda k: points.select(F.col("loc").alias(k), F.struct("x", "y").alias(f"at_{k}"))
+    road = lambda k: chain.select(F.col("loc").alias(k), F.col("lin_ref").alias(f"on_{k}"))
+    for k in ("a", "b"):
+        steps = steps.join(spot(k), k, "left").join(road(k), k, "left")
+    steps = steps.withColumn("lin_ref", F.when(F.col("on_a") == F.col("on_b"), F.col("on_a"))).join(roads.select("lin_ref", F.col("line").alias("_road")), "lin_ref", "left")
+    at = lambda k: F.when(F.col(f"at_{k}").isNotNull(), geo.project("_road", F.col(f"at_{k}.x"), F.col(f"at_{k}.y"))["along"])
+    steps = materialize(steps.withColumns({"_from": at("a"), "_to": at("b")}))
+    straight = F.filter(F.array("at_a", "at_b"), lambda p: p.isNotNull())
+    piece = F.coalesce(F.when(F.col("_from").isNotNull() & F.col("_to").isNotNull(), geo.clip("_road", "_from", "_to")), straight)
+    lines = steps.select("start", "goal", "pos", piece.alias("piece")).groupBy("start", "goal").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("_p"))
+    whole = lines.select("start", "goal", F.flatten(F.transform("_p", lambda p: p["piece"])).alias("line"))
+    return whole.withColumn("line", F.filter("line", lambda p, i: (i == 0) | (p != F.get("line", i - 1)))).where("size(line) > 1")
+
+
 def direction(sites: DataFrame) -> DataFrame:
     """Travel bearing of sites from a chain: (bearing, derived carriageway) columns added.
 

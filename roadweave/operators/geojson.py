@@ -10,7 +10,7 @@ from ..functions.geo import _c
 
 def point(lon, lat, digits: int = 6) -> Column:
     at = F.array(F.round(_c(lon), digits), F.round(_c(lat), digits))
-    return F.when(_c(lon).isNotNull() & _c(lat).isNotNull(), F.struct(F.lit("Point").alias("type"), at.alias("coordinates")))
+    return F.when(number(lon).isNotNull() & number(lat).isNotNull(), F.struct(F.lit("Point").alias("type"), at.alias("coordinates")))
 
 
 def line(points, digits: int = 6) -> Column:
@@ -18,8 +18,14 @@ def line(points, digits: int = 6) -> Column:
     return F.when(_c(points).isNotNull(), F.struct(F.lit("LineString").alias("type"), at.alias("coordinates")))
 
 
+def number(value) -> Column:
+    """A double as JSON knows numbers: NaN and infinities become null."""
+    v = _c(value)
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
 def feature(geometry: Column, properties: dict[str, Column]) -> Column:
-    """One feature; null properties are left out, NaN becomes null."""
+    """One feature; null properties are left out. Doubles that may be NaN have to go through :func:`number`."""
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[v.alias(k) for k, v in properties.items()]).alias("properties")))
 
 

@@ -1,12 +1,11 @@
 """Latest-snapshot semantics: a table holds what its feeds said last.
 
 Each function takes the stored snapshot and a batch and returns the new snapshot; nothing is
-changed in place. Write the result beside the old one and swap (:func:`publish`).
+changed in place. :mod:`roadweave.operators.buckets` stores what changed and publishes it.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,12 +65,11 @@ def guarded_prune(stored: DataFrame, batch: DataFrame, keys: Sequence[str], cate
     return rows.where(F.col("_alive").isNull() | F.col("_held").isNotNull()).select(*stored.columns)
 
 
-def shrinks(stored: DataFrame, batch: DataFrame, share: float = 0.5) -> Column:
-    """Guard: raise where the batch has under ``share`` of the stored rows, else true."""
+def shrinks(stored: DataFrame, batch: DataFrame, share: float = 0.5) -> None:
+    """Guard: raise where the batch has under ``share`` of the stored rows."""
     was, now = stored.count(), batch.count()
     if now < share * was:
         raise ValueError(f"the new snapshot has {now} rows, the stored one {was}: refused")
-    return F.lit(True)
 
 
 def replace_extract(members: DataFrame, roads: DataFrame, batch: DataFrame, extract: str) -> tuple[DataFrame, DataFrame]:
@@ -115,43 +113,6 @@ def changed_roads(existing: DataFrame, generated: DataFrame) -> DataFrame:
     return sides.where("sides <> 3").select("road_id").distinct()
 
 
-def publish(df: DataFrame, folder: str) -> str:
-    """Write a version beside the others and point to it; readers see all or nothing, always one version.
-
-    Pointers are numbered files that appear by a rename and are never changed; the highest holds. Of
-    two writers of one number the later fails.
-    """
-    spark = df.sparkSession
-    fs, path = _fs(spark, folder)
-    number = _newest(fs, path, folder) + 1
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
-    fs.mkdirs(path(f"{folder}/current"))
-    out = fs.create(path(f"{folder}/.pointer-{name}"), True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    if not fs.rename(path(f"{folder}/.pointer-{name}"), path(f"{folder}/current/{number:09d}")):
-        raise RuntimeError(f"version {number} of {folder} has been published by another writer")
-    return name
-
-
-def _newest(fs, path, folder: str) -> int:
-    """Number of the latest pointer, 0 without any."""
-    if not fs.exists(path(f"{folder}/current")):
-        return 0
-    return max((int(f.getPath().getName()) for f in fs.listStatus(path(f"{folder}/current")) if f.getPath().getName().isdigit()), default=0)
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The published version, if any."""
-    fs, path = _fs(spark, folder)
-    number = _newest(fs, path, folder)
-    if not number:
-        return None
-    name = spark.read.text(f"{folder}/current/{number:09d}").first()[0]
-    return spark.read.parquet(f"{folder}/{name}")
-
-
 def _fs(spark: SparkSession, folder: str):
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     return make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make

@@ -126,7 +126,7 @@ def traversal_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("lane_refs", refs.matcher_refs("ref"))
 
 
-@query(f"""WITH {overlay.SQL}, {SIGNS}, {overlay.PAIRS.format(radius=80).replace("site s", "sign s")},
+@query(f"""WITH {overlay.SQL}, {SIGNS}, {overlay.PAIRS.format(radius=20).replace("site s", "sign s")},
 k AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY dist, source_id) AS kk FROM near),
 c AS (SELECT sign, gantry, road, carriageway, number, round(dist, 6) AS dist, round(abs((((line_bearing - bearing + 180) % 360) + 360) % 360 - 180), 6) AS angle, {WAYS} FROM k WHERE kk <= 64),
 e AS (SELECT *, CASE WHEN road IS NULL OR refs IS NULL THEN 'absent' WHEN list_contains(string_split(refs, ';'), road) THEN 'exact' WHEN highway = 'motorway_link' AND dist <= 5 AND coalesce(angle <= 45, true) THEN 'connector' ELSE 'conflict' END AS evidence,
@@ -158,9 +158,9 @@ SELECT sign, gantry, CASE WHEN ok THEN 'matched' WHEN tied THEN 'ambiguous' ELSE
   CASE WHEN ok THEN winner END AS segment, CASE WHEN ok THEN winner_way END AS direction, CASE WHEN ok THEN coalesce(lane1, lane0) END AS lane_id, CASE WHEN ok THEN lane1 END AS applies_to, CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN dist0 ELSE dist1 END) END AS dist,
   CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN angle0 ELSE angle1 END) END AS angle, CASE WHEN ok THEN (CASE WHEN lane1 IS NULL THEN evidence0 ELSE evidence1 END) END AS ref_quality FROM x""")
 def gantry_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All signs, the 64 nearest lanes within 80 m each, one traversal for each gantry."""
+    """All signs, the 64 nearest lanes within 20 m each, one traversal for each gantry."""
     s = signs(spark, sf_dir)
-    near = spatial.knn_within(s, traversal_lanes(spark, sf_dir), "sign", "source_id", 80.0, 64, first=40.0).where("source_id is not null")
+    near = matching.lanes_near(s, traversal_lanes(spark, sf_dir), "sign")
     return matching.match_gantries(s, near.withColumn("dist", F.round("dist", 6)))
 
 
@@ -228,14 +228,22 @@ def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.one_per_band(s, ["device"], [500.0, 1500.0, 3000.0]).select("device", "band", "id", "held")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS line, l_linenumber AS seq, (l_linenumber * 120 + min(l_partkey) % 50)::DOUBLE AS along, max(l_quantity) AS speed FROM lineitem GROUP BY 1, 2),
-n AS (SELECT *, lead(along) OVER w AS along2, lead(speed) OVER w AS speed2 FROM s WINDOW w AS (PARTITION BY line ORDER BY along, seq)),
-p AS (SELECT n.*, k FROM n, generate_series(0, 7) g(k) WHERE along2 - along >= 1)
-SELECT line, seq, k::INTEGER AS piece, round(along + (along2 - along) * k / 8, 4) AS start, round(along + (along2 - along) * (k + 1) / 8, 4) AS stop, round(speed + (speed2 - speed) * (k + 0.5) / 8, 4) AS speed FROM p""")
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS line, l_linenumber AS seq, ((l_linenumber + 1) // 2 * 120 + min(l_partkey) % 7 * 0.3::DOUBLE)::DOUBLE AS along, max(l_quantity)::DOUBLE AS speed FROM lineitem GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY line ORDER BY along, seq) AS i FROM s),
+r AS (SELECT line, i, along, speed, 1 AS node FROM w WHERE i = 1
+  UNION ALL SELECT w.line, w.i, CASE WHEN w.along - r.along < 1 THEN r.along ELSE w.along END, CASE WHEN w.along - r.along < 1 THEN (r.speed + w.speed) / 2 ELSE w.speed END, r.node + (w.along - r.along >= 1)::INT FROM r JOIN w ON w.line = r.line AND w.i = r.i + 1),
+n AS (SELECT line, node, any_value(along) AS along, arg_max(speed, i) AS speed, max(max(node)) OVER (PARTITION BY line) AS m FROM r GROUP BY line, node),
+v AS (SELECT *, lead(along) OVER (PARTITION BY line ORDER BY node) AS along2, lead(speed) OVER (PARTITION BY line ORDER BY node) AS speed2 FROM n WHERE m > 1),
+p AS (SELECT line, 0 AS piece, 0.0::DOUBLE AS start, along AS stop, speed FROM v WHERE node = 1
+  UNION ALL SELECT line, 1 + (node - 1) * 8 + k, along + (along2 - along) * k / 8, along + (along2 - along) * (k + 1) / 8, speed + (speed2 - speed) * (k + 0.5) / 8 FROM v, generate_series(0, 7) g(k) WHERE along2 IS NOT NULL
+  UNION ALL SELECT line, 1 + (m - 1) * 8, along, 600.0::DOUBLE, speed FROM v WHERE node = m)
+SELECT line, piece::INTEGER AS piece, round(start, 4) AS start, round(stop, 4) AS stop, round(speed, 1) AS speed FROM p WHERE stop - start >= 0.5""")
 def gradient_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose readings come in pairs up to two metres apart."""
     one = _one_per_line(spark, sf_dir)
-    s = one.select(C("l_orderkey").alias("line"), C("l_linenumber").alias("seq"), (C("l_linenumber") * 120 + C("l_partkey") % 50).cast("double").alias("along"), C("l_quantity").alias("speed"))
-    return ahead.gradient(s).select("line", "seq", "piece", F.round("start", 4).alias("start"), F.round("stop", 4).alias("stop"), F.round("speed", 4).alias("speed"))
+    along = F.floor((C("l_linenumber") + 1) / 2) * 120 + C("l_partkey") % 7 * 0.3
+    s = one.select(C("l_orderkey").alias("line"), C("l_linenumber").alias("seq"), along.cast("double").alias("along"), C("l_quantity").alias("speed"), F.lit(600.0).alias("total"))
+    return ahead.gradient(s).select("line", "piece", F.round("start", 4).alias("start"), F.round("stop", 4).alias("stop"), "speed")
 
 
 @query(f"""WITH {overlay.SQL} SELECT site_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || round(lon, 6)::VARCHAR || ',' || round(lat, 6)::VARCHAR || ']}},"properties":{{"site_id":' || site_id::VARCHAR || CASE WHEN road_ref IS NULL THEN '' ELSE ',"road":"' || road_ref || '"' END || '}}}}' AS feature FROM site""")
@@ -310,7 +318,9 @@ def site_location_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = C("p_partkey"), C("p_size")
     side = lambda r, left: F.when(k % 2 == 0, F.lit(r)).otherwise(F.lit(left))
     name = F.when(k % 3 == 0, F.concat(F.lpad(n.cast("string"), 3, "0"), side("hrr", "hrl"), F.lpad(k.cast("string"), 6, "0"))).when(k % 3 == 1, F.concat(F.lit("N"), n.cast("string"), F.lit(" hmp "), n.cast("string"), F.lit(",5 "), side("Re", "Li"))).otherwise(F.lit("x"))
-    site = F.when(k % 3 == 0, F.lit("GEO01_1")).when(k % 3 == 1, F.lit("PZH01_1")).otherwise(F.concat(F.lit("RWS08_A"), n.cast("string"), F.lit("_"), side("HRR", "HRL"), F.lit("_"), F.format_string("%.1f", k / 10.0), F.lit("_1")))
+    # free text is read under every family but one, that of the loop codes and aggregates too
+    free = F.when(n % 3 == 0, F.lit("PZH01_1")).when(n % 3 == 1, F.lit("GEO01_1")).otherwise(F.lit("RWS01_1"))
+    site = F.when(k % 3 == 0, F.lit("GEO01_1")).when(k % 3 == 1, free).otherwise(F.concat(F.lit("RWS08_A"), n.cast("string"), F.lit("_"), side("HRR", "HRL"), F.lit("_"), F.format_string("%.1f", k / 10.0), F.lit("_1")))
     at = refs.site_location(site, name)
     return table(spark, sf_dir, "part").select(k.alias("id"), at["road"].alias("road"), at["carriageway"].alias("carriageway"), at["km"].alias("km"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational, snapshot
+from ..operators.buckets import Change, Store
 from ..scratch import materialize
 from . import binary_feeds, json_feeds, xml_feeds
 
@@ -83,6 +84,8 @@ def merged(stored: DataFrame | None, batch: DataFrame, feed: Feed, now: Column)
         raise ValueError(f"{feed.name}: the file has no rows, which would empty the snapshot: refused")
     if stored is None:
         return batch.withColumn(snapshot.STAMP, now)
+    if feed.absent == "guarded" and not feed.category:
+        snapshot.shrinks(stored, batch)  # a cut file must not delete what it lacks
     if feed.merge == "changed":
         new = snapshot.merge_changed(stored, batch, keys, [c for c in batch.columns if c not in keys], now).select(*stored.columns)
     else:
@@ -105,7 +108,8 @@ def replaced(stored: DataFrame | None, children: DataFrame, parents: DataFrame,
 def ingest(spark: SparkSession, feed: Feed, path: str, folder: str, now: str, changed: bool = True, etag: str | None = None, last_modified: str | None = None) -> DataFrame:
     """Read a landed file, merge it into the feed's snapshot and publish; the run's row, also on error.
 
-    An error leaves the snapshots as they were. A file that has not ``changed`` isn't read. The run is
+    A feed and its children are published as one version, of which only changed buckets are new. An
+    error leaves the snapshots as they were. A file that has not ``changed`` isn't read. The run is
     added to the ledger, ``folder``/runs, with what the next conditional request needs.
     """
     stamp = F.lit(now).cast("timestamp")
@@ -124,17 +128,21 @@ def _store(spark: SparkSession, feed: Feed, path: str, folder: str, stamp: Colum
     batch, *rest = got if isinstance(got, tuple) else (got,)
     # the place in the file decides between rows of one key; written once, so that all steps see one order
     batch = materialize(snapshot.last_of_batch(batch.withColumn("_place", F.monotonically_increasing_id()), feed.keys, "_place").drop("_place"))
-    whole = merged(snapshot.current(spark, f"{folder}/{feed.name}"), batch, feed, stamp)
-    children = None
+    # what a file lacks may be in any bucket
+    changes = [Change(feed.name, batch, feed.keys, lambda old, new: merged(old, new, feed, stamp), whole=feed.absent != "keep")]
     if feed.children and rest:
         name, key, parent = feed.children
-        children = materialize(replaced(snapshot.current(spark, f"{folder}/{name}"), rest[0], batch, key, parent))
-    snapshot.publish(whole, f"{folder}/{feed.name}")
-    if children is not None:
-        snapshot.publish(children, f"{folder}/{feed.children[0]}")
+        of = batch.select(F.col(key).alias(parent))
+        changes.append(Change(name, rest[0], [parent], lambda old, new: replaced(old, new, batch, key, parent), touched=of.unionByName(rest[0].select(parent))))
+    Store(spark, f"{folder}/{feed.name}").commit(changes)
     return batch.count()
 
 
+def stored(spark: SparkSession, folder: str, feed: Feed, table: str | None = None) -> DataFrame | None:
+    """The published rows of a feed, or of its children's ``table``; None before its first file."""
+    return Store(spark, f"{folder}/{feed.name}").read(table or feed.name)
+
+
 def conditions(spark: SparkSession, folder: str, feed: str) -> tuple[str | None, str | None]:
     """ETag and modification time of the feed's last run that read or needed no file."""
     runs = spark.read.parquet(f"{folder}/runs").where((F.col("feed") == feed) & F.col("status").isin("ok", "not_modified"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import snapshot
+from ..operators.buckets import Change, Store
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -24,19 +24,23 @@ def feed_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parqu
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", 1).options(**options).load(folder)
 
 
-def maintain(stream: DataFrame, folder: str, checkpoint: str, merge: Merge, empty: DataFrame) -> StreamingQuery:
-    """Start a query that merges each batch into the snapshot under ``folder``.
+#: The table that :func:`maintain` keeps in its store.
+ROWS = "rows"
 
-    A batch that was published before (a restart repeats the last one) is left out by its number.
+
+def maintain(stream: DataFrame, folder: str, checkpoint: str, merge: Merge, empty: DataFrame, keys: Sequence[str], whole: bool = False) -> StreamingQuery:
+    """Start a query that merges each batch into the snapshot ``rows`` of the store under ``folder``.
+
+    ``merge`` sees the stored rows of the buckets that the batch's ``keys`` fall into, or all rows if
+    ``whole``. A batch that was published before (a restart repeats the last one) is left out by its
+    number, which the version is marked with.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        stored = snapshot.current(df.sparkSession, folder)
-        done = -1 if stored is None else stored.agg(F.max("_batch")).first()[0]
-        if done is not None and number <= done:
-            return
-        stored = empty if stored is None else stored.drop("_batch")
-        snapshot.publish(merge(stored, df).withColumn("_batch", F.lit(number)), folder)
+        store = Store(df.sparkSession, folder)
+        done = store.manifest()["mark"]
+        if done is None or number > int(done):
+            store.commit([Change(ROWS, df, keys, lambda old, new: merge(empty if old is None else old, new), whole)], mark=str(number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -56,10 +60,12 @@ def latest_values(stream: DataFrame, keys: Sequence[str], order: str, values: Se
         held = state.get if state.exists else None
         changed = False
         for b in batches:
+            if b.empty:
+                continue
             rows = b.sort_values(order, kind="stable") if event_time_guard else b
-            for r in rows[[order, *values]].itertuples(index=False):
-                if held is None or not event_time_guard or r[0] >= held[0]:
-                    held, changed = tuple(r), True
+            last = next(rows[[order, *values]].iloc[[-1]].itertuples(index=False, name=None))
+            if held is None or not event_time_guard or last[0] >= held[0]:
+                held, changed = last, True
         if changed:
             state.update(held)
             yield pd.DataFrame([(*key, *held)], columns=columns)

@@ -129,3 +129,36 @@ def test_lane_speeds(spark):
     r = matching.lane_speeds(lanes, readings).collect()
     assert len(r) == 1 and (r[0].speed, r[0].sensor, r[0].sensors) == (90.0, "b", ["a", "b", "c"])
     assert matching.lane_speeds(lanes, readings.limit(0)).count() == 0 and F is not None
+
+
+def test_walks_by_doubling_equal_single_steps(spark):
+    import random
+
+    rng = random.Random(6)
+    after = {i: i + 1 for i in range(700)} | {i: rng.choice([None, *range(1000, 1060)]) for i in range(1000, 1060)}
+    pairs = {(rng.randrange(700), rng.randrange(701)) for _ in range(300)} | {(rng.randrange(1000, 1060), rng.randrange(1000, 1060)) for _ in range(200)} | {(0, 400), (0, 401), (5, 5)}
+
+    def plain(start, goal, most):
+        path = [start]
+        while path[-1] != goal:
+            nxt = after.get(path[-1])
+            if nxt is None or len(path) > most:
+                return None
+            path.append(nxt)
+        return tuple(path)
+
+    df = spark.createDataFrame([*after.items()], "loc long, next long")
+    for most in (400, 7):
+        got = {(r.start, r.goal): tuple(r.path) for r in chains.walk(df, spark.createDataFrame([*pairs], "start long, goal long"), most).collect()}
+        assert got == {p: w for p in pairs if (w := plain(*p, most))}
+
+
+def test_lines_follow_the_shared_road(spark):
+    paths = spark.createDataFrame([(1, 3, [1, 2, 3]), (3, 1, [3, 2, 1]), (4, 9, [4, 9]), (9, 8, [9, 8])], "start long, goal long, path array<long>")
+    points = spark.createDataFrame([(1, 0.0, 1.0), (2, 10.0, -1.0), (3, 20.0, 5.0), (4, 1.0, 1.0)], "loc long, x double, y double")
+    chain = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 7), (9, 7)], "loc long, lin_ref long")
+    roads = spark.createDataFrame([(7, [(-5.0, 0.0), (4.0, 0.0), (12.0, 0.0)])], "lin_ref long, line array<struct<x:double,y:double>>")
+    got = {(r.start, r.goal): [tuple(p) for p in r.line] for r in chains.road_line_of(paths, points, chain, roads).collect()}
+    there = [(0.0, 0.0), (4.0, 0.0), (10.0, 0.0), (10.0, -1.0), (20.0, 5.0)]
+    back = [(20.0, 5.0), (10.0, -1.0), (10.0, 0.0), (4.0, 0.0), (0.0, 0.0)]
+    assert got == {(1, 3): there, (3, 1): back}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadweave.operators import ahead, geojson, lanes, relational, routing, schedule, snapshot, spatial
+from roadweave.operators.buckets import Store
 from roadweave.streaming import snapshots
 
 
@@ -56,9 +57,9 @@ def test_publish_and_stream_equal_batch(spark, tmp_path):
         spark.createDataFrame(rows, "id long, a string, b double").coalesce(1).write.mode("append").parquet(f"{feed}/{n}")
         stream = snapshots.feed_stream(spark, f"{feed}/*", "id long, a string, b double")
         merge = lambda s, b: snapshot.upsert(s, b, ["id"], now())
-        snapshots.maintain(stream, folder, str(tmp_path / "cp"), merge, stored(spark, []).limit(0)).awaitTermination(120)
-    assert {(r.id, r.a, r.b) for r in snapshot.current(spark, folder).collect()} == {(1, "e", None), (2, "c", 3.0), (3, "d", 4.0)}
-    assert snapshot.current(spark, str(tmp_path / "none")) is None
+        snapshots.maintain(stream, folder, str(tmp_path / "cp"), merge, stored(spark, []).limit(0), ["id"]).awaitTermination(120)
+    assert {(r.id, r.a, r.b) for r in Store(spark, folder).read(snapshots.ROWS).collect()} == {(1, "e", None), (2, "c", 3.0), (3, "d", 4.0)}
+    assert Store(spark, str(tmp_path / "none")).read(snapshots.ROWS) is None
 
 
 def test_keyed_state(spark, tmp_path):
@@ -228,3 +229,44 @@ def test_distances_over_many_edges(spark):
     edges = [(i, i + 1, 1.0) for i in range(70)] + [(0, 70, 100.0)]
     d = routing.distances(spark.createDataFrame(edges, "a long, b long, w double").coalesce(1), spark.createDataFrame([(0,)], "node long").coalesce(1))
     assert {(r.node, r.dist) for r in d.collect()} == {(i, float(i)) for i in range(71)}
+
+
+def test_gradient_joins_near_readings_and_has_both_ends(spark):
+    from roadweave.operators import ahead
+
+    rows = [("a", 1, 0.0, 50.0, 100.0), ("a", 2, 0.4, 60.0, 100.0), ("a", 3, 80.0, 71.0, 100.0), ("b", 1, 5.0, 50.0, 60.0), ("b", 2, 5.5, 70.0, 60.0), ("c", 1, 3.0, None, 9.0)]
+    got = ahead.gradient(spark.createDataFrame(rows, "line string, seq int, along double, speed double, total double")).orderBy("piece").collect()
+    assert {r.line for r in got} == {"a"} and [r.piece for r in got] == [*range(1, 10)]
+    assert (got[0].start, got[0].stop, got[0].speed) == (0.0, 10.0, 56.0) and (got[-1].start, got[-1].stop, got[-1].speed) == (80.0, 100.0, 71.0)
+
+
+def test_site_names_are_read_as_text_where_they_are_no_codes(spark):
+    from roadweave.functions import refs
+
+    rows = [(p, "N457 hmp 4.75 Re") for p in ("GEO01_1", "RWS01_1", "PZH_1")] + [("RWS08_1", "N457 hmp 4.75 Re"), ("GEO01_1", "009hrl057760")]
+    df = spark.createDataFrame(rows, "site string, name string")
+    got = [tuple(r) for r in df.select(refs.site_location("site", "name").alias("s")).select("s.road", "s.carriageway", "s.km").collect()]
+    assert got == [("N457", "R", 4.75)] * 3 + [(None, None, None), ("A9", "L", 57.76)]
+
+
+def test_json_has_no_nan(spark):
+    import json
+
+    from roadweave.operators import geojson
+
+    df = spark.createDataFrame([(1.5, 2.0), (float("nan"), float("inf")), (None, 1.0)], "a double, b double")
+    got = [json.loads(r[0]) for r in df.select(geojson.feature(geojson.point("a", "b"), {"a": geojson.number("a"), "b": geojson.number("b")})).collect()]
+    assert [g["properties"] for g in got] == [{"a": 1.5, "b": 2.0}, {}, {"b": 1.0}] and [g.get("geometry") is None for g in got] == [False, True, True]
+
+
+def test_a_cut_camera_file_is_refused(spark):
+    from pyspark.sql import functions as F
+
+    from roadweave.sources import ingest
+
+    feed = ingest.BY_NAME["speed_cameras"]
+    cameras = lambda n: spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit(1.0).alias("x"))
+    stored = ingest.merged(None, cameras(100), feed, F.lit("2024-01-01").cast("timestamp"))
+    with pytest.raises(ValueError, match="refused"):
+        ingest.merged(stored, cameras(10), feed, F.current_timestamp())
+    assert ingest.merged(stored, cameras(60), feed, F.current_timestamp()).count() == 60

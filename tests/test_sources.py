@@ -10,7 +10,6 @@ import zlib
 import pytest
 
 from roadweave.operators.relational import first_and_latest
-from roadweave.operators import snapshot
 from roadweave.sources import binary_feeds, ingest, json_feeds, xml_feeds
 
 NS = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns="http://d"'
@@ -172,11 +171,11 @@ def test_ingest_and_ledger(spark, tmp_path):
     feed = ingest.BY_NAME["speed_cameras"]
     assert tuple(ingest.ingest(spark, feed, cam(1, 2), folder, "2024-01-01 00:00:00").first())[:3] == ("speed_cameras", "ok", 2)
     ingest.ingest(spark, feed, cam(2, 3), folder, "2024-01-02 00:00:00")
-    assert {(r.id, r.ingested_at.day) for r in snapshot.current(spark, f"{folder}/speed_cameras").collect()} == {(2, 2), (3, 2)}
+    assert {(r.id, r.ingested_at.day) for r in ingest.stored(spark, folder, feed).collect()} == {(2, 2), (3, 2)}
     bad = ingest.ingest(spark, feed, put(tmp_path, "b.json", "{}"), folder, "2024-01-03 00:00:00").first()
-    assert bad.status == "error" and snapshot.current(spark, f"{folder}/speed_cameras").count() == 2
+    assert bad.status == "error" and ingest.stored(spark, folder, feed).count() == 2
     empty = ingest.ingest(spark, feed, cam(), folder, "2024-01-03 01:00:00").first()
-    assert empty.status == "error" and snapshot.current(spark, f"{folder}/speed_cameras").count() == 2
+    assert empty.status == "error" and ingest.stored(spark, folder, feed).count() == 2
     same = ingest.ingest(spark, feed, "nowhere", folder, "2024-01-04 00:00:00", changed=False, etag="e1").first()
     assert same.status == "not_modified" and ingest.conditions(spark, folder, "speed_cameras") == ("e1", None)
     ledger = spark.read.parquet(f"{folder}/runs").orderBy("finished").collect()
@@ -190,28 +189,28 @@ def test_merges_of_feeds(spark, tmp_path):
     tables = {}
     feed = lambda name, **o: ingest.Feed(name, "realtime", 60, ("k",), lambda spark, path: tables[path], **o)
     put_rows = lambda path, rows, schema="k long, v long": tables.__setitem__(path, spark.createDataFrame(rows, schema).coalesce(1))
-    read = lambda name: {tuple(r[:-1]): r[-1].day for r in snapshot.current(spark, f"{folder}/{name}").collect()}
+    read = lambda f: {tuple(r[:-1]): r[-1].day for r in ingest.stored(spark, folder, f).collect()}
     speed = feed("speed", merge="changed")
     put_rows("a", [(1, 5), (2, 5), (1, 6)])
     put_rows("b", [(2, 5), (1, 7), (3, None)])
     assert ingest.ingest(spark, speed, "a", folder, "2024-01-01 00:00:00").first().rows == 2
-    assert read("speed") == {(1, 6): 1, (2, 5): 1}
+    assert read(speed) == {(1, 6): 1, (2, 5): 1}
     ingest.ingest(spark, speed, "b", folder, "2024-01-02 00:00:00")
-    assert read("speed") == {(1, 7): 2, (2, 5): 1, (3, None): 2}
+    assert read(speed) == {(1, 7): 2, (2, 5): 1, (3, None): 2}
     kinds = feed("kinds", absent="guarded", category="c")
     put_rows("c", [(1, "x"), (2, "x"), (3, "y")], "k long, c string")
     put_rows("d", [(1, "x")], "k long, c string")
     put_rows("e", [], "k long, c string")
     for day, path in ((1, "c"), (2, "d"), (3, "e")):
         ingest.ingest(spark, kinds, path, folder, f"2024-01-0{day} 00:00:00")
-    assert read("kinds") == {(1, "x"): 2, (3, "y"): 1}
+    assert read(kinds) == {(1, "x"): 2, (3, "y"): 1}
     pruned = feed("pruned", absent="prune")
     for day, path in ((1, "a"), (2, "b")):
         ingest.ingest(spark, pruned, path, folder, f"2024-01-0{day} 00:00:00")
-    assert set(read("pruned")) == {(2, 5), (1, 7), (3, None)}
+    assert set(read(pruned)) == {(2, 5), (1, 7), (3, None)}
     tables["p"] = tuple(spark.createDataFrame(r, s) for r, s in (([(1, 0), (2, 0)], "k long, v long"), ([(1, "a"), (2, "b"), (2, "c")], "parent long, child string")))
     tables["q"] = tuple(spark.createDataFrame(r, s) for r, s in (([(2, 0), (3, 0)], "k long, v long"), ([(3, "d")], "parent long, child string")))
     whole = feed("parents", children=("children", "k", "parent"))
     for day, path in ((1, "p"), (2, "q")):
         assert ingest.ingest(spark, whole, path, folder, f"2024-01-0{day} 00:00:00").first().status == "ok"
-    assert {tuple(r) for r in snapshot.current(spark, f"{folder}/children").collect()} == {(1, "a"), (3, "d")}
+    assert {tuple(r) for r in ingest.stored(spark, folder, whole, "children").collect()} == {(1, "a"), (3, "d")}
