@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -76,24 +76,48 @@ def road_line_of(paths: DataFrame, points: DataFrame, chain: DataFrame, roads: D
     return whole.withColumn("line", F.filter("line", lambda p, i: (i == 0) | (p != F.get("line", i - 1)))).where("size(line) > 1")
 
 
+#: How far places may be from their line, how alike two parts may be, and half the tangent's span.
+PLACE_M, TIE_M, TANGENT_M = 50.0, 0.5, 20.0
+
+
+def component(parts, tx, ty, nx, ny) -> Column:
+    """The part of a line (array of lines) nearest to two places together, both within 50 m.
+
+    Null where no part is that near, or where the second best is within half a metre of the best.
+    """
+    from ..functions import geo
+
+    away = lambda part, x, y: geo.project(part, x, y)["dist"]
+    whole = F.filter(F.col(parts) if isinstance(parts, str) else parts, lambda p: F.size(p) > 1)
+    scored = F.transform(whole, lambda p: F.struct(away(p, tx, ty).alias("t"), away(p, nx, ny).alias("n"), p.alias("line")))
+    near = F.transform(F.filter(scored, lambda s: (s["t"] <= PLACE_M) & (s["n"] <= PLACE_M)), lambda s: F.struct((s["t"] + s["n"]).alias("sum"), s["line"].alias("line")))
+    best = lambda o: F.when((F.size(o) == 1) | (F.get(o, F.lit(1))["sum"] - F.get(o, F.lit(0))["sum"] > TIE_M), F.get(o, F.lit(0))["line"])
+    return F.element_at(F.transform(F.array(F.array_sort(near)), lambda o: F.when(F.size(o) > 0, best(o))), 1)
+
+
 def direction(sites: DataFrame) -> DataFrame:
     """Travel bearing of sites from a chain: (bearing, derived carriageway) columns added.
 
-    ``sites``: line, tmc and neighbour places (tx, ty, nx, ny), place (x, y),
-    neighbour_is_positive, tmc_direction, hecto_dir and carriageway. Both places have to lie within
-    50 m of the line; the tangent over 20 m around the site follows the chain, against it for
-    ``negative``. The carriageway is R where the chain's sign is the hectometre direction.
+    ``sites``: parts (the lines of a place's road) or line, tmc and neighbour places (tx, ty, nx, ny), place
+    (x, y), neighbour_is_positive, tmc_direction, hecto_dir and carriageway. The tangent over 20 m around
+    the site on the chosen part follows the chain, against it for ``negative``; there is none where the
+    two places are within half a metre along it. The carriageway is R where the chain's sign is the
+    hectometre direction, whatever the line.
     """
     from ..functions import geo
 
-    line = F.col("line")
-    t, n, s = geo.project(line, "tx", "ty"), geo.project(line, "nx", "ny"), geo.project(line, "x", "y")
-    ok = (t["dist"] <= 50) & (n["dist"] <= 50) & (t["along"] != n["along"])
-    back, front = geo.point_at(line, s["along"] - 20.0), geo.point_at(line, s["along"] + 20.0)
-    rises = F.when(F.col("neighbour_is_positive"), n["along"] > t["along"]).otherwise(n["along"] < t["along"])
-    tangent = geo.azimuth(front["x"] - back["x"], front["y"] - back["y"])
-    turned = (~rises).cast("int") + (F.col("tmc_direction") == "negative").cast("int")
-    bearing = F.when(ok, F.round(F.pmod(tangent + turned * 180.0, F.lit(360.0)), 1))
+    parts = F.col("parts") if "parts" in sites.columns else F.array("line")
+    rows = materialize(sites.withColumn("_part", component(parts, "tx", "ty", "nx", "ny")))
+    at = lambda x, y: geo.project("_part", x, y)["along"]
+    rows = materialize(rows.withColumns({"_t": at("tx", "ty"), "_n": at("nx", "ny"), "_s": at("x", "y"), "_len": geo.line_length("_part")}))
+    rows = rows.withColumns({"_from": F.greatest(F.lit(0.0), F.col("_s") - TANGENT_M), "_to": F.least(F.col("_len"), F.col("_s") + TANGENT_M)})
+    rows = materialize(rows.withColumns({"_a": geo.point_at("_part", "_from"), "_b": geo.point_at("_part", "_to")}))
+    dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    ahead = (F.col("_n") > F.col("_t")) == F.col("neighbour_is_positive")
+    ok = F.col("_part").isNotNull() & F.col("tmc_direction").isin("positive", "negative") & (F.abs(F.col("_n") - F.col("_t")) >= 0.5) & (F.col("_to") - F.col("_from") >= 0.5) & (F.hypot(dx, dy) >= 0.01)
+    turned = (~ahead).cast("int") + (F.col("tmc_direction") == "negative").cast("int")
+    bearing = F.when(ok, F.round(F.pmod(geo.azimuth(dx, dy) + turned * 180.0, F.lit(360.0)), 1))
     sign = F.when(F.col("tmc_direction") == "negative", -1).when(F.col("tmc_direction") == "positive", 1)
-    derived = F.when(ok & (F.col("hecto_dir") != 0), F.when(sign == F.col("hecto_dir"), F.lit("R")).otherwise(F.lit("L")))
-    return sites.withColumns({"chain_bearing": bearing, "derived_carriageway": derived}).withColumn("carriageway_conflict", F.col("carriageway") != F.col("derived_carriageway"))
+    derived = F.when(F.col("hecto_dir").isin(-1, 1) & sign.isNotNull(), F.when(sign == F.col("hecto_dir"), F.lit("R")).otherwise(F.lit("L")))
+    conflict = F.when(F.col("carriageway").isin("R", "L"), F.col("carriageway") != F.col("derived_carriageway"))
+    return rows.withColumns({"chain_bearing": bearing, "derived_carriageway": derived}).withColumn("carriageway_conflict", conflict).select(*sites.columns, "chain_bearing", "derived_carriageway", "carriageway_conflict")

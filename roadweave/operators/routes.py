@@ -112,6 +112,19 @@ def viewport(rows: DataFrame, box: tuple[float, float, float, float], order: Seq
     return (inside if only is None else inside.where(only)).orderBy(*order).limit(limit)
 
 
+def travel_times(times: DataFrame, sites: DataFrame, box: tuple[float, float, float, float], limit: int) -> DataFrame:
+    """Travel times (segment_id, index, ...) whose segment's line, or point where it has none, meets the box.
+
+    ``sites``: id, lon, lat and line (array of points in degrees, null where unknown); each row gets these and
+    ``fid``, segment and index.
+    """
+    placed = sites.select(F.col("id").alias("segment_id"), "lon", "lat", "line")
+    inside = F.when(F.size("line") > 1, geo.line_in_box("line", box)).otherwise(geo.point_in_box("lon", "lat", box))
+    met = placed.where(inside)
+    rows = times.join(met, "segment_id").withColumn("fid", F.concat_ws(":", "segment_id", "index"))
+    return rows.orderBy("segment_id", "index").limit(limit)
+
+
 def situations(feeds: dict[str, DataFrame], box: tuple[float, float, float, float], limit: int, category: str | None = None) -> DataFrame:
     """Records of all feeds (or of one ``category``) in the box, with their category; unknown categories raise."""
     for c in [*feeds, *([category] if category else [])]:

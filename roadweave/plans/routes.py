@@ -292,3 +292,20 @@ def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "part").withColumn("link_index", F.lit(0)).select(*[F.expr(e).alias(c) for c, e in LINKS.items()])
     rows = _columns(spark, sf_dir, "part", ASSIGNMENTS).join(links, "uuid").withColumns({"status": C("match_status"), "road_id": F.when(C("match_status") == "matched", C("matched_road_id"))})
     return rows.select("uuid", routes.match_json(["uuid", "status", "road_id"]).alias("result"))
+
+
+_CROSS = " AND ".join(["least(lon, lon2) <= {2!r}", "greatest(lon, lon2) >= {0!r}", "least(lat, lat2) <= {3!r}", "greatest(lat, lat2) >= {1!r}"]).format(*BOX)
+_SIDES = ", ".join(f"(lon2 - lon) * ({y!r} - lat) - (lat2 - lat) * ({x!r} - lon)" for x in (BOX[0], BOX[2]) for y in (BOX[1], BOX[3]))
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, {_lon("c_custkey")} AS lon, {_lat("c_custkey")} AS lat, c_custkey % 3 > 0 AS lined FROM customer),
+p AS (SELECT *, lon + (id % 41 - 20) * 0.0005::DOUBLE AS lon2, lat + (id % 37 - 18) * 0.0005::DOUBLE AS lat2 FROM s),
+m AS (SELECT id FROM p WHERE CASE WHEN lined THEN {_CROSS} AND least({_SIDES}) <= 0 AND greatest({_SIDES}) >= 0 ELSE {_within("lon", "lat")} END)
+SELECT o_custkey AS segment_id, o_orderkey AS index, round(o_totalprice / 1000, 2) AS duration_s, o_custkey::VARCHAR || ':' || o_orderkey::VARCHAR AS fid FROM orders JOIN m ON m.id = o_custkey ORDER BY segment_id, index LIMIT 5000""")
+def route_travel_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of all customers, two thirds of them with a line, and the travel times of their orders."""
+    sites = _columns(spark, sf_dir, "customer", {"id": "c_custkey", "lon": _lon("c_custkey"), "lat": _lat("c_custkey")})
+    far = F.struct((C("lon") + (C("id") % 41 - 20) * 0.0005).alias("x"), (C("lat") + (C("id") % 37 - 18) * 0.0005).alias("y"))
+    sites = sites.withColumn("line", F.when(C("id") % 3 > 0, F.array(F.struct(C("lon").alias("x"), C("lat").alias("y")), far)))
+    times = _columns(spark, sf_dir, "orders", {"segment_id": "o_custkey", "index": "o_orderkey", "duration_s": "round(o_totalprice / 1000, 2)"})
+    return routes.travel_times(times, sites, BOX, 5000).select("segment_id", "index", "duration_s", "fid")

@@ -111,7 +111,27 @@ def test_chain_direction(spark):
     base = ([(0.0, 0.0), (0.0, 100.0)], 0.0, 20.0, 0.0, 80.0, 2.0, 50.0, True)
     rows = [(*base, "positive", 1, "R"), (*base, "negative", 1, "R"), (*base, "positive", 0, None), ([(0.0, 0.0), (0.0, 100.0)], 90.0, 20.0, 0.0, 80.0, 2.0, 50.0, True, "positive", 1, None)]
     got = [(r.chain_bearing, r.derived_carriageway, r.carriageway_conflict) for r in chains.direction(spark.createDataFrame(rows, schema)).collect()]
-    assert got == [(0.0, "R", False), (180.0, "L", True), (0.0, None, None), (None, None, None)]
+    assert got == [(0.0, "R", False), (180.0, "L", True), (0.0, None, None), (None, "R", None)]
+
+
+def test_direction_chooses_its_part_of_the_road(spark):
+    schema = "parts array<array<struct<x:double,y:double>>>, tx double, ty double, nx double, ny double, x double, y double, neighbour_is_positive boolean, tmc_direction string, hecto_dir int, carriageway string"
+    up, down, far = [(0.0, 0.0), (0.0, 100.0)], [(30.0, 100.0), (30.0, 0.0)], [(500.0, 0.0), (500.0, 100.0)]
+    at = lambda parts, x, way="positive", hecto=1: (parts, x, 20.0, x, 80.0, x, 50.0, True, way, hecto, "L")
+    rows = [
+        at([far, up, down], 2.0),  # the nearest of two that are near
+        at([up, down], 28.0),
+        at([up, down], 15.0),  # both as near: none
+        at([up, down], 15.1),  # within half a metre
+        at([far], 2.0),  # none near
+        at([up], 2.0, "negative", -1),
+        at([up], 2.0, None),
+        ([up], 2.0, 20.0, 2.0, 20.3, 2.0, 50.0, True, "positive", 1, "R"),  # the places are one
+        ([[(0.0, 0.0), (0.0, 0.2)]], 0.0, 0.0, 0.0, 0.2, 0.0, 0.1, True, "positive", 1, "R"),
+    ]
+    got = [(r.chain_bearing, r.derived_carriageway, r.carriageway_conflict) for r in chains.direction(spark.createDataFrame(rows, schema).coalesce(1)).collect()]
+    # a neighbour ahead of the place along the chain: the chain runs from the place to it, whichever way the part is drawn
+    assert got == [(0.0, "R", True), (0.0, "R", True), (None, "R", True), (None, "R", True), (None, "R", True), (180.0, "R", True), (None, None, None), (None, "R", False), (None, "R", False)]
 
 
 def test_chain_walks_guard_against_circles(spark):
