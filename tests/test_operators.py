@@ -244,9 +244,10 @@ def test_site_names_are_read_as_text_where_they_are_no_codes(spark):
     from roadweave.functions import refs
 
     rows = [(p, "N457 hmp 4.75 Re") for p in ("GEO01_1", "RWS01_1", "PZH_1")] + [("RWS08_1", "N457 hmp 4.75 Re"), ("GEO01_1", "009hrl057760")]
+    rows += [("P_1", t) for t in ("A  12 Km 3,5 Links km 7", "N9a km 1 Rex", "B9 km 1 Re", "AB 9 km 1 Re", "N9 KM 1 Re", "N9 km x Re", "N9 km 1 re", " N9 km 1 Re", "N9 km 1", "", "hmp")]
     df = spark.createDataFrame(rows, "site string, name string")
     got = [tuple(r) for r in df.select(refs.site_location("site", "name").alias("s")).select("s.road", "s.carriageway", "s.km").collect()]
-    assert got == [("N457", "R", 4.75)] * 3 + [(None, None, None), ("A9", "L", 57.76)]
+    assert got == [("N457", "R", 4.75)] * 3 + [(None, None, None), ("A9", "L", 57.76), ("A12", "L", 3.5), ("N9a", "R", 1.0)] + [(None, None, None)] * 9
 
 
 def test_json_has_no_nan(spark):
