@@ -1,7 +1,6 @@
-"""Shapefiles, DBF tables and OSM extracts from binary files, decoded inside tasks.
+"""Shapefiles and DBF tables from binary files, decoded inside tasks.
 
-Spark lists and reads the files (``binaryFile``, any store). Zip members and OSM blocks become
-rows first, so that one large extract is decoded by many tasks.
+Spark lists and reads the files (``binaryFile``, any store). Zip members become rows first.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE = "array<struct<x:double,y:double>>"
-#: Road classes that are kept.
-DRIVING = ["motorway", "trunk", "primary", "secondary", "motorway_link", "trunk_link", "primary_link", "secondary_link"]
 
 
 def members(spark: SparkSession, path: str, suffixes: tuple[str, ...], folder: str | None = None) -> DataFrame:
@@ -133,135 +129,3 @@ def sign_shapes(spark: SparkSession, path: str) -> DataFrame:
     rows = shapes(spark, path)
     at = F.get(F.get("parts", F.lit(0)), F.lit(0))
     return rows.select(id_of("attributes", "UUID").alias("uuid"), at["x"].alias("x"), at["y"].alias("y"), id_of("attributes", "BEARING", "BERING").try_cast("double").alias("bearing")).where("uuid is not null")
-
-
-# OSM extracts -------------------------------------------------------------------------------
-
-
-def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """(number, value) of a protobuf message: varints as int, the rest as bytes."""
-    at, end = 0, len(data)
-    while at < end:
-        key, at = _varint(data, at)
-        kind = key & 7
-        if kind == 0:
-            value, at = _varint(data, at)
-        else:
-            if kind == 2:
-                n, at = _varint(data, at)
-            else:
-                n = {1: 8, 5: 4}[kind]
-            value, at = data[at : at + n], at + n
-        yield key >> 3, value
-
-
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    out = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        out |= (b & 127) << shift
-        if b < 128:
-            return out, at
-        shift += 7
-
-
-def _packed(data: bytes, signed: bool = False, running: bool = False) -> list[int]:
-    out, at, total = [], 0, 0
-    while at < len(data):
-        v, at = _varint(data, at)
-        v = (v >> 1) ^ -(v & 1) if signed else v
-        total = total + v if running else v
-        out.append(total)
-    return out
-
-
-def osm_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(block, data): the data blocks of OSM extracts, still compressed, dealt over all tasks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                at = block = 0
-                while at < len(data):
-                    (n,) = struct.unpack_from(">I", data, at)
-                    head = dict(_fields(data[at + 4 : at + 4 + n]))
-                    size, at = head[3], at + 4 + n
-                    if head[1] == b"OSMData":
-                        yield pd.DataFrame({"block": [block], "data": [data[at : at + size]]})
-                        block += 1
-                    at += size
-
-    blocks = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "block long, data binary")
-    return blocks.repartition("block")
-
-
-def _primitives(blob: bytes) -> tuple[list[str], int, int, int, list[bytes]]:
-    raw = dict(_fields(blob))
-    data = raw[1] if 1 in raw else zlib.decompress(raw[3])
-    strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
-    for k, v in _fields(data):
-        if k == 1:
-            strings = [s.decode("utf-8", "replace") for f, s in _fields(v) if f == 1]
-        elif k == 2:
-            groups.append(v)
-        elif k == 17:
-            grain = v
-        elif k == 19:
-            lat0 = v
-        elif k == 20:
-            lon0 = v
-    return strings, grain, lat0, lon0, groups
-
-
-def osm_ways(blocks: DataFrame) -> DataFrame:
-    """(osm_id, tags, node_refs) of all ways."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for blob in b["data"]:
-                strings, *_, groups = _primitives(blob)
-                out = []
-                for g in groups:
-                    for k, way in _fields(g):
-                        if k == 3:
-                            f = dict(_fields(way))
-                            tags = dict(zip((strings[i] for i in _packed(f.get(2, b""))), (strings[i] for i in _packed(f.get(3, b""))), strict=True))
-                            out.append((f[1], tags, _packed(f.get(8, b""), True, True)))
-                yield pd.DataFrame(out, columns=["osm_id", "tags", "node_refs"])
-
-    return blocks.select("data").mapInPandas(run, "osm_id long, tags map<string,string>, node_refs array<long>")
-
-
-def osm_nodes(blocks: DataFrame) -> DataFrame:
-    """(node, lon, lat) of all dense nodes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for blob in b["data"]:
-                _, grain, lat0, lon0, groups = _primitives(blob)
-                for g in groups:
-                    for k, dense in _fields(g):
-                        if k == 2:
-                            f = dict(_fields(dense))
-                            ids, lat, lon = (_packed(f[n], True, True) for n in (1, 8, 9))
-                            yield pd.DataFrame({"node": ids, "lon": [1e-9 * (lon0 + grain * v) for v in lon], "lat": [1e-9 * (lat0 + grain * v) for v in lat]})
-
-    return blocks.select("data").mapInPandas(run, "node long, lon double, lat double")
-
-
-def osm_roads(spark: SparkSession, path: str) -> DataFrame:
-    """Driving roads (osm_id, highway, name, ref, node_refs, line, tags, shared): ways with a missing node are left out.
-
-    Only nodes that kept ways use are joined; ``shared`` are those that several ways use.
-    """
-    blocks = osm_blocks(spark, path)
-    highway = F.try_element_at("tags", F.lit("highway"))
-    ways = osm_ways(blocks).where(highway.isin(*DRIVING) & (F.size("node_refs") >= 2))
-    use = ways.select("osm_id", F.posexplode("node_refs").alias("pos", "node"))
-    several = use.groupBy("node").agg((F.min("osm_id") != F.max("osm_id")).alias("several"))
-    placed = use.join(osm_nodes(blocks), "node").join(several, "node")
-    lines = placed.groupBy("osm_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("p"), F.array_sort(F.collect_set(F.when(F.col("several"), F.col("node")))).alias("shared"))
-    whole = ways.join(lines, "osm_id").where(F.size("p") == F.size("node_refs"))
-    tag = lambda k: F.try_element_at("tags", F.lit(k)).alias(k)
-    return whole.select("osm_id", tag("highway"), tag("name"), tag("ref"), "node_refs", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"), "tags", "shared")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import relational, snapshot
 from ..operators.buckets import Change, Store
 from ..scratch import materialize
-from . import binary_feeds, json_feeds, xml_feeds
+from . import binary_feeds, json_feeds, osm_extract, xml_feeds
 
 @dataclass(frozen=True)
 class Feed:
@@ -68,7 +68,7 @@ FEEDS = [
     Feed("measurement_places", "maintenance", 86400, ("id",), binary_feeds.measurement_places),
     Feed("chain", "maintenance", 604800, ("loc_nr",), binary_feeds.chain_table),
     Feed("sign_shapes", "maintenance", 86400, ("uuid",), binary_feeds.sign_shapes),
-    Feed("osm_roads", "maintenance", 604800, ("osm_id",), binary_feeds.osm_roads),
+    Feed("osm_roads", "maintenance", 604800, ("osm_id",), osm_extract.osm_roads),
 ]
 BY_NAME = {f.name: f for f in FEEDS}
 

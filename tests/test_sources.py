@@ -1,11 +1,9 @@
 """Sources on small hand-made files."""
 
 import gzip
-import io
 import json
 import struct
 import zipfile
-import zlib
 
 import pytest
 
@@ -129,42 +127,6 @@ def test_shapefiles(spark, tmp_path):
     assert {(r.loc_nr, r.pos_off, r.road_number) for r in binary_feeds.chain_table(spark, path).collect()} == {(11, 12, "A9"), (12, None, None)}
 
 
-def varint(n):
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
-
-
-def fld(k, v):
-    return varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
-
-
-def zz(values):
-    out, last = b"", 0
-    for v in values:
-        d, last = v - last, v
-        out += varint(d << 1 if d >= 0 else (-d << 1) - 1)
-    return out
-
-
-def test_osm_extract(spark, tmp_path):
-    strings = [b"", b"highway", b"motorway", b"ref", b"A9", b"footway"]
-    table = b"".join(fld(1, s) for s in strings)
-    dense = fld(1, zz([10, 11, 12])) + fld(8, zz([520000000, 520001000, 520002000])) + fld(9, zz([47000000, 47001000, 47002000]))
-    way = lambda i, keys, vals, nodes: fld(3, fld(1, i) + fld(2, bytes(keys)) + fld(3, bytes(vals)) + fld(8, zz(nodes)))
-    ways = way(1, [1, 3], [2, 4], [10, 11]) + way(2, [1], [2], [11, 12]) + way(3, [1], [5], [10, 12]) + way(4, [1], [2], [10, 99])
-    block = fld(1, table) + fld(2, fld(2, dense)) + fld(2, ways)
-    blob = fld(2, len(block)) + fld(3, zlib.compress(block))
-    out = io.BytesIO()
-    for kind, body in ((b"OSMHeader", fld(1, b"x")), (b"OSMData", blob)):
-        head = fld(1, kind) + fld(3, len(body))
-        out.write(struct.pack(">I", len(head)) + head + body)
-    got = {r.osm_id: r for r in binary_feeds.osm_roads(spark, put(tmp_path, "x.pbf", out.getvalue())).collect()}
-    assert set(got) == {1, 2} and (got[1].highway, got[1].ref, got[2].ref, got[1].node_refs) == ("motorway", "A9", None, [10, 11])
-    assert [(round(p.x, 4), round(p.y, 4)) for p in got[1].line] == [(4.7, 52.0), (4.7001, 52.0001)] and 11 in got[1].shared
-
-
 def test_ingest_and_ledger(spark, tmp_path):
     folder = str(tmp_path / "lake")
     cam = lambda *ids: put(tmp_path, "c.json", json.dumps({"result": [{"id": i, "land": "NL", "status": "A", "lat": "52", "lng": "5"} for i in ids]}))
