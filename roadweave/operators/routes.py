@@ -163,13 +163,52 @@ def matrix_signs(signs: DataFrame, states: DataFrame, assignments: DataFrame, li
     inside = signs.where(geo.point_in_box("lon", "lat", box)).join(states, "uuid", "left").withColumn("_km", F.round("km", 2))
     kept = rel.latest(inside, ["road", "carriageway", "lane", "_km"], [F.col("ts_state").desc_nulls_last(), F.col("uuid")]).drop("_km")
     page = kept.orderBy("uuid").limit(limit).withColumn("gantry_id", refs.gantry_id("road", "carriageway", "km"))
+    return _matched(page, "uuid", assignments, links, roads, geometry)
+
+
+def _matched(page: DataFrame, key: str, assignments: DataFrame, links: DataFrame, roads: DataFrame, geometry: str) -> DataFrame:
+    """Rows of a page with their assignment, first link and road, at the place that ``geometry`` names."""
     first = links.where("link_index = 0").drop("link_index")
-    rows = page.join(assignments, "uuid", "left").join(first, "uuid", "left").join(roads, F.col("matched_road_id") == F.col("osm_id"), "left").drop("osm_id")
+    rows = page.join(assignments, key, "left").join(first, key, "left").join(roads, F.col("matched_road_id") == F.col("osm_id"), "left").drop("osm_id")
     matched = {"source": F.lit(False), "matched": F.lit(True), "best": F.coalesce((F.col("match_status") == "matched") & F.col("matched_lon").isNotNull(), F.lit(False))}[geometry]
     point = lambda c: F.when(matched, F.col(f"matched_{c}")).otherwise(F.col(c))
     return rows.withColumns({"lon": point("lon"), "lat": point("lat")}).drop("matched_lon", "matched_lat")
 
 
+def panels(shown: DataFrame, assignments: DataFrame, links: DataFrame, roads: DataFrame, box: tuple[float, float, float, float], limit: int, geometry: str = "source") -> DataFrame:
+    """Panels (controller_id, vms_index, lon, lat, what they show) in the box by controller and index, with match and road.
+
+    ``assignments`` and ``links`` are those of panels, under ``source_key``, the text of :func:`refs.panel_key`; a
+    panel without them stays, with nulls. Of the links of a panel that of index 0 counts; ``geometry`` as for
+    :func:`matrix_signs`.
+    """
+    page = viewport(shown, box, [F.col("controller_id"), F.col("vms_index")], limit).withColumn("source_key", refs.panel_key("controller_id", "vms_index"))
+    return _matched(page, "source_key", assignments, links, roads, geometry).drop("source_key")
+
+
+def location_codes(rows: DataFrame, box: tuple[float, float, float, float], limit: int, shape: str) -> DataFrame:
+    """Points (lon, lat), lines (``line``) or areas (``ring``, no holes) of the location table that meet the box, by id.
+
+    ``shape`` is point, line or area. ``properties`` are the id and those of the row's ``raw`` values that are not
+    null; a raw ``id`` wins. Rows without a place are left out.
+    """
+    inside = {"point": lambda: geo.point_in_box("lon", "lat", box), "line": lambda: geo.line_in_box("line", box), "area": lambda: geo.polygon_in_box("ring", box)}[shape]()
+    page = rows.where(inside).orderBy("id").limit(limit)
+    raw = F.coalesce(F.map_filter("raw", lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
+    both = F.map_concat(F.create_map(F.lit("id"), F.col("id").cast("string")), raw)
+    return page.withColumn("properties", F.when(F.map_contains_key(raw, "id"), raw).otherwise(both)).drop("raw")
+
+
+def cameras(rows: DataFrame, box: tuple[float, float, float, float], limit: int) -> DataFrame:
+    """Speed cameras (id, lon, lat and what is known of them) in the box, by id."""
+    return viewport(rows, box, [F.col("id")], limit)
+
+
+def camera_routes(rows: DataFrame, box: tuple[float, float, float, float], limit: int) -> DataFrame:
+    """Routes between two cameras (sc_id, sce_id, street, line) that meet the box, by their cameras; those without a line go."""
+    return rows.where(geo.line_in_box("line", box)).orderBy("sc_id", "sce_id").limit(limit)
+
+
 def lane_lines(lanes: DataFrame, connections: DataFrame, roads: DataFrame, box: tuple[float, float, float, float], lane_cap: int, connection_cap: int) -> tuple[DataFrame, DataFrame]:
     """(lanes with the tags of their road, connections with both lanes' cross-sections), each with ``truncated``.
 

@@ -309,3 +309,71 @@ def route_travel_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = sites.withColumn("line", F.when(C("id") % 3 > 0, F.array(F.struct(C("lon").alias("x"), C("lat").alias("y")), far)))
     times = _columns(spark, sf_dir, "orders", {"segment_id": "o_custkey", "index": "o_orderkey", "duration_s": "round(o_totalprice / 1000, 2)"})
     return routes.travel_times(times, sites, BOX, 5000).select("segment_id", "index", "duration_s", "fid")
+
+
+PANELS = {
+    "controller_id": f"concat('DRIP ', CAST({K} - {K} % 3 AS VARCHAR(20)))",
+    "vms_index": f"CAST({K} % 3 AS INT)",
+    "lon": _lon(K),
+    "lat": _lat(K),
+    "bearing": f"CASE WHEN {K} % 5 <> 0 THEN CAST({K} * 7 % 360 AS INT) END",
+    "display_text": "c_mktsegment",
+}
+PANEL_KEY = "concat('[\"DRIP ', CAST(p_partkey - p_partkey % 3 AS VARCHAR(20)), '\",', CAST(p_partkey % 3 AS VARCHAR(20)), ']')"
+PANEL_MATCH = {"source_key": PANEL_KEY} | {c: e for c, e in ASSIGNMENTS.items() if c != "uuid"}
+PANEL_LINKS = {"source_key": PANEL_KEY} | {c: e for c, e in LINKS.items() if c != "uuid"} | {"matched_direction": "CASE WHEN p_size % 2 = 0 THEN 'fwd' ELSE 'bwd' END"}
+
+
+@query(f"""WITH d AS ({_select(PANELS, "customer")}), a AS ({_select(PANEL_MATCH, "part")}), l AS ({_select(PANEL_LINKS, "part, (SELECT unnest([0, 1])::INTEGER AS link_index)")}),
+p AS (SELECT *, '["' || controller_id || '",' || vms_index::VARCHAR || ']' AS source_key FROM d WHERE {_within("lon", "lat")} ORDER BY controller_id, vms_index LIMIT 2000)
+SELECT controller_id, vms_index, bearing, display_text, match_status, match_confidence, matched_road_id, matched_direction, n_name AS matched_road_name,
+CASE WHEN match_status = 'matched' AND matched_lon IS NOT NULL THEN matched_lon ELSE lon END AS lon, CASE WHEN match_status = 'matched' AND matched_lon IS NOT NULL THEN matched_lat ELSE lat END AS lat
+FROM p LEFT JOIN a ON a.source_key = p.source_key LEFT JOIN l ON l.source_key = p.source_key AND l.link_index = 0 LEFT JOIN nation ON n_nationkey = matched_road_id""")
+def route_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels of all customers, with the matches and links of all parts."""
+    links = table(spark, sf_dir, "part").withColumn("link_index", F.explode(F.sequence(F.lit(0), F.lit(1)))).select(*[F.expr(e).alias(c) for c, e in PANEL_LINKS.items()])
+    roads = table(spark, sf_dir, "nation").select(C("n_nationkey").alias("osm_id"), C("n_name").alias("matched_road_name"))
+    return routes.panels(_columns(spark, sf_dir, "customer", PANELS), _columns(spark, sf_dir, "part", PANEL_MATCH), links, roads, BOX, 2000, "best")
+
+
+CODES = {"id": "o_orderkey", "lon": _lon("o_orderkey"), "lat": _lat("o_orderkey")}
+AREAS = {"id": K, "lon": _lon(K), "lat": _lat(K), "lon2": f"{_lon(K)} + CAST({K} % 400 + 1 AS DOUBLE) / 100000", "lat2": f"{_lat(K)} + CAST({K} % 300 + 1 AS DOUBLE) / 100000"}
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN id % 3 <> 0 THEN id % 10 END AS level FROM ({_select(CODES, "orders")})), l AS ({_select(ROADS, "part")}), a AS ({_select(AREAS, "customer")})
+SELECT * FROM (SELECT 'point' AS shape, id, 'id:' || id::VARCHAR || CASE WHEN level IS NOT NULL THEN ',level:' || level::VARCHAR ELSE '' END AS properties FROM p WHERE {_within("lon", "lat")} ORDER BY id LIMIT 2000)
+UNION ALL SELECT * FROM (SELECT 'line', osm_id, 'id:other' FROM l WHERE {_meets()} ORDER BY osm_id LIMIT 2000)
+UNION ALL SELECT * FROM (SELECT 'area', id, 'id:' || id::VARCHAR FROM a WHERE lon <= {BOX[2]!r}::DOUBLE AND lon2 >= {BOX[0]!r}::DOUBLE AND lat <= {BOX[3]!r}::DOUBLE AND lat2 >= {BOX[1]!r}::DOUBLE ORDER BY id LIMIT 2000)""")
+def route_location_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of all orders, lines of all parts (whose raw values carry an id), rectangles of all customers (without raw values)."""
+    at = lambda x, y: F.struct(C(x).alias("x"), C(y).alias("y"))
+    level = F.when(C("id") % 3 != 0, (C("id") % 10).cast("string"))
+    points = _columns(spark, sf_dir, "orders", CODES).withColumn("raw", F.create_map(F.lit("level"), level))
+    lines = _columns(spark, sf_dir, "part", ROADS).withColumns({"line": F.array(at("ax", "ay"), at("bx", "by")), "raw": F.create_map(F.lit("id"), F.lit("other"))}).withColumnRenamed("osm_id", "id")
+    ring = F.array(at("lon", "lat"), at("lon2", "lat"), at("lon2", "lat2"), at("lon", "lat2"))
+    areas = _columns(spark, sf_dir, "customer", AREAS).withColumns({"ring": ring, "raw": F.lit(None).cast("map<string,string>")})
+    out = None
+    for shape, rows in (("point", points), ("line", lines), ("area", areas)):
+        found = routes.location_codes(rows, BOX, 2000, shape)
+        pairs = F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
+        part = found.select(F.lit(shape).alias("shape"), "id", F.array_join(pairs, ",").alias("properties"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CAMERAS = {"id": "o_orderkey", "street": "concat('N', CAST(o_custkey % 40 AS VARCHAR(20)))", "camera_type": "substr(o_orderpriority, 1, 1)", "rotatable": "o_orderkey % 2 = 0", "lon": _lon("o_orderkey"), "lat": _lat("o_orderkey")}
+
+
+@query(f"""WITH c AS ({_select(CAMERAS, "orders")}) SELECT * FROM c WHERE {_within("lon", "lat")} ORDER BY id LIMIT 5000""")
+def route_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.cameras(_columns(spark, sf_dir, "orders", CAMERAS), BOX, 5000)
+
+
+CAMERA_ROUTES = {"sc_id": "l_orderkey", "sce_id": "1000000000 + l_orderkey * 1000 + l_linenumber", "street": "l_returnflag"} | {c: e for c, e in CONNECTIONS.items() if c in ("ax", "ay", "bx", "by")}
+
+
+@query(f"""WITH r AS ({_select(CAMERA_ROUTES, "lineitem")}) SELECT sc_id, sce_id, street FROM r WHERE {_meets()} ORDER BY sc_id, sce_id LIMIT 5000""")
+def route_camera_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda x, y: F.struct(C(x).alias("x"), C(y).alias("y"))
+    rows = _columns(spark, sf_dir, "lineitem", CAMERA_ROUTES).withColumn("line", F.array(at("ax", "ay"), at("bx", "by")))
+    return routes.camera_routes(rows, BOX, 5000).select("sc_id", "sce_id", "street")

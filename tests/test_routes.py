@@ -59,3 +59,25 @@ def test_speed_without_readings(spark):
     lanes = spark.createDataFrame([], "site_id string, index int, lane int, veh_length_min int, veh_length_max int")
     chains = spark.createDataFrame([], "loc_nr int, road_number string, hecto_dir int")
     assert routes.speed_locations(measured, sites, lanes, chains, 5, by_km=True).count() == 0
+
+
+NEAR = (4.705, 52.505, 4.715, 52.515)
+
+
+def test_panels_keep_rows_without_match(spark):
+    shown = spark.createDataFrame([('a "b" c', 1, 4.71, 52.51), ('a "b" c', 0, 4.71, 52.51), (None, 0, 4.71, 52.51), ("far", 0, 9.0, 52.51)], "controller_id string, vms_index int, lon double, lat double")
+    status = spark.createDataFrame([('["a \\"b\\" c",1]', "matched"), ('["a \\"b\\" c",0]', "ambiguous")], "source_key string, match_status string")
+    links = spark.createDataFrame([('["a \\"b\\" c",1]', 1, 7, 1.0, 2.0), ('["a \\"b\\" c",1]', 0, 5, 4.0, 52.0), ('["a \\"b\\" c",0]', 0, 5, 4.0, 52.0)], "source_key string, link_index int, matched_road_id int, matched_lon double, matched_lat double")
+    roads = spark.createDataFrame([(5, "Ring")], "osm_id int, matched_road_name string")
+    got = {(r.controller_id, r.vms_index): (r.match_status, r.matched_road_name, r.lon) for r in routes.panels(shown, status, links, roads, NEAR, 10, "best").collect()}
+    assert got == {('a "b" c', 1): ("matched", "Ring", 4.0), ('a "b" c', 0): ("ambiguous", "Ring", 4.71), (None, 0): (None, None, 4.71)}
+    assert routes.panels(shown, status, links, roads, NEAR, 1).first().controller_id is None
+
+
+def test_location_codes(spark):
+    kind = "id long, lon double, lat double, raw map<string,string>"
+    rows = spark.createDataFrame([(2, 4.71, 52.51, {"a": "x", "b": None}), (1, 4.71, 52.51, None), (3, None, 52.51, {}), (4, 4.71, 52.51, {"id": "own"}), (5, 4.9, 52.51, {})], kind)
+    got = routes.location_codes(rows, NEAR, 10, "point").collect()
+    assert [(r.id, r.properties) for r in got] == [(1, {"id": "1"}), (2, {"id": "2", "a": "x"}), (4, {"id": "own"})]
+    lines = spark.createDataFrame([(1, [(4.7, 52.51), (4.72, 52.51)], None), (2, None, None)], "id long, line array<struct<x:double,y:double>>, raw map<string,string>")
+    assert [r.id for r in routes.location_codes(lines, NEAR, 10, "line").collect()] == [1], "a line that only crosses the box, and one without a place"
