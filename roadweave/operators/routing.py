@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,17 +46,71 @@ def graph(lines: DataFrame) -> DataFrame:
     return e.unionByName(e.select("way", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
+def _between_two(both: DataFrame, starts: DataFrame) -> DataFrame:
+    """Nodes with exactly two neighbours (node, lo, hi) that are no starts."""
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("n = 2")
+    return materialize(degree.select(F.col("a").alias("node"), "lo", "hi").join(starts.select("node"), "node", "left_anti"))
+
+
+def _chain_ends(both: DataFrame, inner: DataFrame) -> DataFrame:
+    """The ends of the chains that nodes between two others form (node, side, at, w).
+
+    A walk leaves such a node to either side and ends at a node of another kind or a start. Walks are found by
+    doubling: each round a walk goes on by the one that leaves from where it stands. Walks in circles without
+    an end never arrive; when a round brings no walk to its end only they are left, for every chain has walks
+    of all lengths up to its longest.
+    """
+    steps = both.join(inner.select(F.col("node").alias("a")), "a", "left_semi").join(inner, F.col("b") == F.col("node"), "left")
+    # (a, b) names the walk: it left a towards b; it stands at ``at`` and goes on to ``to``, nowhere at its end
+    steps = materialize(steps.select("a", "b", F.col("b").alias("at"), F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")).alias("to"), "w"))
+    arrived, live = steps.where("to is null"), steps.where("to is not null")
+    left = live.count()
+    while left:
+        on = arrived.unionByName(live).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("w").alias("_w"))
+        moved = live.join(on, (F.col("at") == F.col("_a")) & (F.col("to") == F.col("_b")))
+        moved = materialize(moved.select("a", "b", F.col("_at").alias("at"), F.col("_to").alias("to"), (F.col("w") + F.col("_w")).alias("w")))
+        arrived, live, before = arrived.unionByName(moved.where("to is null")), moved.where("to is not null"), left
+        left = live.count()
+        if left == before:
+            break
+    return materialize(arrived.select(F.col("a").alias("node"), F.col("b").alias("side"), "at", "w"))
+
+
 def distances(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(node, dist) from the nearest of ``starts`` (node) over undirected ``edges`` (a, b, w).
 
     Bellman and Ford's rounds as joins: only nodes that came nearer push their neighbours; minima
-    are combined before the shuffle; each round is written. The rounds end when no node came nearer;
-    with ``most``, paths have at most so many edges. Weights are not negative.
+    are combined before the shuffle; each round is written. The rounds end when no node came nearer.
+    Chains of nodes between two others, most of a road network, count as one edge in these rounds and get their
+    distances from their ends, so the rounds follow the junctions on a path and not its nodes. With ``most``,
+    paths have at most so many edges, and each edge is a step. Weights are not negative; edges without an end
+    or a weight are none, nor are loops.
     """
-    both = materialize(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
-    known = materialize(starts.select("node").distinct().withColumn("dist", F.lit(0.0)))
+    edges = edges.where("a <> b and w is not null").select("a", "b", F.col("w").cast("double").alias("w"))
+    turned = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
+    shortest_of = lambda e: e.unionByName(turned(e)).groupBy("a", "b").agg(F.min("w").alias("w"))
+    both = materialize(shortest_of(edges))
+    starts = materialize(starts.select("node").where("node is not null").distinct())
+    if most is not None:
+        return _relaxed(both, starts, range(most))
+    inner = _between_two(both, starts)
+    if inner.isEmpty():
+        return _relaxed(both, starts, itertools.count())
+    ends = _chain_ends(both, inner)
+    named = lambda c: inner.select(F.col("node").alias(c))
+    core = both.where("a < b").join(named("a"), "a", "left_anti").join(named("b"), "b", "left_anti").select("a", "b", "w")
+    across = ends.groupBy("node").agg(F.min(F.struct("side", "at", "w")).alias("p"), F.max(F.struct("side", "at", "w")).alias("q"))
+    across = across.select(F.col("p.at").alias("a"), F.col("q.at").alias("b"), (F.col("p.w") + F.col("q.w")).alias("w")).where("a <> b")
+    known = _relaxed(materialize(shortest_of(core.unionByName(across))), starts, itertools.count())
+    between = ends.join(known.withColumnRenamed("node", "at"), "at").groupBy("node").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+    return known.unionByName(between)
+
+
+def _relaxed(both: DataFrame, starts: DataFrame, rounds: Iterable[int]) -> DataFrame:
+    """(node, dist) after so many rounds over edges in both directions, or when no node comes nearer."""
+    known = materialize(starts.withColumn("dist", F.lit(0.0)))
     fresh = known
-    for _ in itertools.count() if most is None else range(most):
+    for _ in rounds:
         reach = fresh.join(both, fresh.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         both_sides = materialize(known.join(reach, "node", "full_outer").withColumn("nearer", F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull())))
         known = both_sides.select("node", F.least("dist", "new").alias("dist"))
