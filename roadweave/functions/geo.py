@@ -174,6 +174,16 @@ def point_at(line, metres) -> Column:
     return _let(_let(held, lambda h: F.coalesce(F.try_element_at(F.filter(h, lambda s: s["start"] + s["len"] >= m), F.lit(1)), F.try_element_at(h, F.lit(-1)))), on)
 
 
+def bearing_at(line, fraction, span: float = 0.001) -> Column:
+    """Azimuth of a line around a fraction of its length: from ``span`` before it to ``span`` after it, held to the ends.
+
+    Null where both points are one.
+    """
+    total = line_length(line)
+    ends = F.struct(point_at(line, (_c(fraction) - span) * total).alias("a"), point_at(line, (_c(fraction) + span) * total).alias("b"))
+    return _let(ends, lambda e: F.when(e["a"] != e["b"], azimuth(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
+
+
 def clip(line, start, end) -> Column:
     """The part of a line between two distances along it; reversed if start > end."""
     lo, hi = F.least(_c(start), _c(end)), F.greatest(_c(start), _c(end))
@@ -252,6 +262,24 @@ def box_around(lon, lat, metres) -> tuple[Column, Column, Column, Column]:
     return _c(lon) - dx, _c(lat) - dy, _c(lon) + dx, _c(lat) + dy
 
 
+def forward_box(lon, lat, heading, ahead: float = 2500.0, behind: float = 700.0, side: float = 700.0) -> tuple[Column, Column, Column, Column]:
+    """The box around a rectangle that reaches further ahead than behind and aside, six decimals; without a heading ``ahead`` counts all around."""
+    east_m = M_LON * F.coalesce(F.nullif(F.cos(F.radians(_c(lat))), F.lit(0.0)), F.lit(1.0))
+    sin, cos = F.sin(F.radians(_c(heading))), F.cos(F.radians(_c(heading)))
+    corners = [(along, cross) for along in (-behind, ahead) for cross in (-side, side)]
+    east, north = [a * sin + c * cos for a, c in corners], [a * cos - c * sin for a, c in corners]
+    reach = lambda pick, metres, around: F.when(_c(heading).isNull(), F.lit(around)).otherwise(pick(*metres))
+    place = lambda at, metres, scale: F.round(_c(at) + metres / scale, 6)
+    low = place(lon, reach(F.least, east, -ahead), east_m), place(lat, reach(F.least, north, -ahead), F.lit(M_LON))
+    return *low, place(lon, reach(F.greatest, east, ahead), east_m), place(lat, reach(F.greatest, north, ahead), F.lit(M_LON))
+
+
+def padded_box(box: tuple[float, float, float, float], share: float = 0.75, least: tuple[float, float] = (0.015, 0.010)) -> tuple[float, float, float, float]:
+    """A viewport wider by this share of its size on every side, by at least so many degrees, six decimals."""
+    x, y = max((box[2] - box[0]) * share, least[0]), max((box[3] - box[1]) * share, least[1])
+    return round(box[0] - x, 6), round(box[1] - y, 6), round(box[2] + x, 6), round(box[3] + y, 6)
+
+
 def parse_bbox(text: str, most: float = 25.0) -> tuple[float, float, float, float]:
     """min lon, min lat, max lon, max lat of a request; raises where it makes no sense."""
     try:

@@ -159,3 +159,26 @@ SELECT kind, id, round(along, 6) AS along FROM (SELECT *, row_number() OVER (PAR
 def signs_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir, kind="CASE o_orderkey % 2 WHEN 0 THEN 'gantry' ELSE 'panel' END", lon="4.7 + (o_orderkey * 7 % 1009) / 50000.0D", lat="52.5 + (o_custkey * 11 % 1013) / 50000.0D")
     return ahead.next_signs(rows, {"lon": 4.71, "lat": 52.51, "heading": 30.0}).select("kind", "id", F.round("along", 6).alias("along"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, (470000 + o_orderkey * 7919 % 3001)::DOUBLE / 100000 AS lon, (5250000 + o_orderkey * 104729 % 3011)::DOUBLE / 100000 AS lat,
+CASE WHEN o_orderkey % 5 <> 0 THEN radians((o_orderkey * 37 % 360)::DOUBLE) END AS h FROM orders),
+m AS (SELECT *, CASE WHEN h IS NULL THEN 2500 ELSE greatest(2500 * sin(h), -700 * sin(h)) + 700 * abs(cos(h)) END AS e, CASE WHEN h IS NULL THEN 2500 ELSE greatest(-2500 * sin(h), 700 * sin(h)) + 700 * abs(cos(h)) END AS w,
+CASE WHEN h IS NULL THEN 2500 ELSE greatest(2500 * cos(h), -700 * cos(h)) + 700 * abs(sin(h)) END AS n, CASE WHEN h IS NULL THEN 2500 ELSE greatest(-2500 * cos(h), 700 * cos(h)) + 700 * abs(sin(h)) END AS s FROM t)
+SELECT id, round(lon - w / (111320 * cos(radians(lat))), 6) AS min_lon, round(lat - s / 111320, 6) AS min_lat, round(lon + e / (111320 * cos(radians(lat))), 6) AS max_lon, round(lat + n / 111320, 6) AS max_lat FROM m""")
+def forward_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders(spark, sf_dir, lon="CAST(470000 + o_orderkey * 7919 % 3001 AS DOUBLE) / 100000", lat="CAST(5250000 + o_orderkey * 104729 % 3011 AS DOUBLE) / 100000", h="CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey * 37 % 360 AS DOUBLE) END")
+    box = geo.forward_box("lon", "lat", "h")
+    return rows.select("id", *[v.alias(k) for k, v in zip(("min_lon", "min_lat", "max_lon", "max_lat"), box, strict=True)])
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, (o_orderkey % 50 + 10)::DOUBLE AS leg, (o_orderkey % 1001)::DOUBLE / 1000 AS f, unnest([0.001, 0.0333])::DOUBLE AS s FROM orders),
+d AS (SELECT id, s, greatest(f - s, 0) AS a, least(f + s, 1) AS b, leg FROM t)
+SELECT id, s AS span, round(CASE WHEN b <= 0.5 THEN 90 WHEN a >= 0.5 THEN 0 ELSE degrees(atan2(leg - 2 * leg * a, 2 * leg * b - leg)) END, 5) AS bearing FROM d""")
+def bearings_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of two equal legs, east and then north, for each order: the bearing turns around the bend."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rows = _orders(spark, sf_dir, leg="CAST(o_orderkey % 50 + 10 AS DOUBLE)", f="CAST(o_orderkey % 1001 AS DOUBLE) / 1000")
+    rows = rows.withColumn("line", F.array(at(F.lit(5.0), F.lit(7.0)), at(C("leg") + 5, F.lit(7.0)), at(C("leg") + 5, C("leg") + 7)))
+    of = lambda span: rows.select("id", F.lit(span).alias("span"), F.round(geo.bearing_at("line", "f", span), 5).alias("bearing"))
+    return of(0.001).unionByName(of(0.0333))

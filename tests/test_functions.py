@@ -127,3 +127,27 @@ def test_positions_and_tables(one):
     t = [(0.0, 17.0), (50.0, 16.0), (100.0, 14.0)]
     assert tuple(one(a=geo.interpolated(F.lit(25.0), t), b=geo.interpolated(F.lit(-3.0), t), c=geo.interpolated(F.lit(200.0), t), d=geo.interpolated(F.lit(75.0), t))) == (16.5, 17.0, 14.0, 15.0)
     assert one(a=geo.smoothed_angle(F.array(F.lit(350.0), F.lit(10.0))))[0] == pytest.approx(358)
+
+
+def test_bearing_around_a_fraction(one):
+    bend = line((0, 0), (10, 0), (10, 10))
+    of = lambda f, span=0.001, path=bend: geo.bearing_at(path, F.lit(f), span)
+    got = one(first=of(0.0), before=of(0.4), bend=of(0.5), wide=of(0.5, 0.5), last=of(1.0), still=of(0.5, path=line((1, 1), (1, 1))), none=of(0.5, path=F.lit(None).cast(LINE)), unknown=of(None))
+    assert (got.first, got.before, got.last) == pytest.approx((90.0, 90.0, 0.0))
+    assert (got.bend, got.wide) == pytest.approx((45.0, 45.0)) and (got.still, got.none, got.unknown) == (None, None, None)
+
+
+def test_forward_box(one):
+    """Against the four corners, turned and placed one by one."""
+    for heading in (0.0, 37.0, 90.0, 200.0, 359.0):
+        lon, lat, h = 4.7, 52.5, math.radians(heading)
+        xs, ys = [], []
+        for along in (-700, 2500):
+            for cross in (-700, 700):
+                xs.append(lon + (along * math.sin(h) + cross * math.cos(h)) / (111320 * math.cos(math.radians(lat))))
+                ys.append(lat + (along * math.cos(h) - cross * math.sin(h)) / 111320)
+        got = one(**dict(zip("abcd", geo.forward_box(F.lit(lon), F.lit(lat), F.lit(heading)))))
+        assert list(got) == pytest.approx([min(xs), min(ys), max(xs), max(ys)], abs=1e-6)
+    around = one(**dict(zip("abcd", geo.forward_box(F.lit(4.7), F.lit(0.0), F.lit(None).cast("double")))))
+    assert list(around) == pytest.approx([4.7 - 2500 / 111320, -2500 / 111320, 4.7 + 2500 / 111320, 2500 / 111320], abs=1e-6)
+    assert geo.padded_box((4.0, 52.0, 4.1, 52.01)) == (3.925, 51.99, 4.175, 52.02)
