@@ -1,8 +1,12 @@
 """Golden matching cases: evidence order, refusal of what can't be told apart."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from roadweave.operators import chains, matching
+from roadweave.plans import network
 
 PAIRS = "site_id long, road_ref string, bearing double, num_lanes int, source_id long, dist double, line_bearing double, ref string, lane_count int, connected array<long>"
 
@@ -182,3 +186,30 @@ def test_lines_follow_the_shared_road(spark):
     there = [(0.0, 0.0), (4.0, 0.0), (10.0, 0.0), (10.0, -1.0), (20.0, 5.0)]
     back = [(20.0, 5.0), (10.0, -1.0), (10.0, 0.0), (4.0, 0.0), (0.0, 0.0)]
     assert got == {(1, 3): there, (3, 1): back}
+
+
+def test_gantry_query_searches_80_metres(spark):
+    r = network.gantry_consensus(spark, "/root/testdata/sf0.001").agg(F.max("dist").alias("far")).first()
+    assert 20 < r.far <= 80
+
+
+def test_lanes_near_equals_brute_force(spark):
+    rng = random.Random(4)
+    spread = lambda n, size: [(rng.uniform(0, size), rng.uniform(0, size)) for _ in range(n)]
+    # one place full of lanes, few elsewhere, and one lane twice
+    lanes = [(i, x, y, x + rng.uniform(-20, 20), y + rng.uniform(-20, 20), f"s{i}") for i, (x, y) in enumerate(spread(200, 30) + spread(60, 900))]
+    lanes.append(lanes[0])
+    places = [(i, x, y) for i, (x, y) in enumerate(spread(10, 40) + spread(20, 900) + [(5000.0, 5000.0)])]
+
+    def dist(x, y, a, b, c, d):
+        t = max(0.0, min(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))
+        return math.hypot(a + t * (c - a) - x, b + t * (d - b) - y)
+
+    expected = []
+    for p, x, y in places:
+        near = sorted((dist(x, y, *n[1:5]), n[0], n[5]) for n in lanes)
+        expected += [(p, i, segment) for d, i, segment in [n for n in near if n[0] <= 80][:64]]
+    shape = "source_id long, ax double, ay double, bx double, by double, segment string"
+    found = lambda rows: matching.lanes_near(spark.createDataFrame(places, "sign long, x double, y double"), spark.createDataFrame(rows, shape), "sign", 80.0)
+    assert sorted((r.sign, r.source_id, r.segment) for r in found(lanes).collect()) == sorted(expected)
+    assert found([]).count() == 0
