@@ -148,8 +148,7 @@ def street_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = lambda x, pad, lead: {f"{lead}min_lon": (x * 10 - pad) / 100, f"{lead}max_lon": (x * 10 + pad) / 100, f"{lead}min_lat": F.lit(52.0), f"{lead}max_lat": F.lit(52.1)}
     cameras = table(spark, sf_dir, "customer").select(k.alias("pair"), F.when(k % 4 != 0, F.concat(F.lit("r"), (k % 6).cast("string"))).alias("street"), *[c.alias(n) for n, c in sides(k % 100, 15, "").items()])
     ways = table(spark, sf_dir, "part").select(p.alias("way"), F.concat(F.lit("R"), (C("p_size") % 9).cast("string")).alias("ref"), F.concat(F.lit("R"), (p % 12).cast("string")).alias("name"), *[c.alias(n) for n, c in sides(p % 100, 16, "w_").items()])
-    how = F.when(C("street").isNull(), 0).when(F.upper("street") == C("ref"), 1).otherwise(2)
-    return routing.ways_of_street(ways, cameras).groupBy("pair").agg(F.count(F.lit(1)).alias("ways"), F.min("way").alias("first"), F.max(how).alias("how"))
+    return routing.street_summary(ways, cameras).select("pair", "ways", "first", "how")
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN 'gantry' ELSE 'panel' END AS kind, 4.7 + (o_orderkey * 7 % 1009) / 50000.0 AS lon, 52.5 + (o_custkey * 11 % 1013) / 50000.0 AS lat FROM orders),
